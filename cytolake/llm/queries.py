@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compression_bands, simhash
-from .common import table
+from . import bpe_replay, cdc_dedup, compression_bands, hash_tree, packing, simhash
+from .common import table, unsigned32
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -19,11 +19,48 @@ def _query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return f
 
 
+def _tokenizer_files():
+    """The public tokenizers' folder, given as a path to the operators; a module, so found wherever it is installed."""
+    import public_tokenizers
+
+    return public_tokenizers
+
+
+@_query
+def op2_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _tokenizer_files()
+    packed = packing.pack(table(spark, sf_dir, "documents"), files.path("byte_bpe_50k.json"), files.PATTERN)
+    return packed.select(
+        "doc_id", "start", "length", unsigned32(F.crc32("ids")).alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source"
+    )
+
+
 @_query
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_dedup(table(spark, sf_dir, "documents"))
 
 
+@_query
+def op5_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hash_tree.assign(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _tokenizer_files()
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe_replay.encode_decode(docs, files.path("byte_bpe_multi_50k.tiktoken"), files.PATTERN, carry=["doc_id"])
+
+
+@_query
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each repeated passage that is not the first of its kind."""
+    found = cdc_dedup.spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", "start", "length", "n_words", F.col("first_id").alias("first_doc_id"), unsigned32(F.crc32(F.col("passage").cast("binary"))).alias("passage_crc32")
+    )
+
+
 @_query
 def op10_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
