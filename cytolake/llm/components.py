@@ -43,6 +43,25 @@ class Forest:
             self.up[max(a, b)] = min(a, b)
 
 
+def star_edges(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, smallest node of its component) for the links ``a[k]``-``b[k]`` in hand, roots left out."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = at[: len(a)], at[len(a) :]
+    low = np.arange(len(nodes))
+    while True:
+        least = np.minimum(low[i], low[j])
+        new = low.copy()
+        for ends in (i, j, low[i], low[j]):
+            np.minimum.at(new, ends, least)
+        while (new != (jump := new[new])).any():
+            new = jump
+        if (new == low).all():
+            break
+        low = new
+    away = low != np.arange(len(nodes))
+    return nodes[away], nodes[low[away]]
+
+
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     forest = Forest()
     for b in batches:

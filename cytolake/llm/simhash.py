@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import save
-from .components import Forest, connected_components
+from .components import connected_components, star_edges
 
 SEED = 42
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -109,22 +109,20 @@ def _short(postings: DataFrame, shared: int, max_bits: int) -> DataFrame:
 
 def _tile(shared: int, max_bits: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ends = np.flatnonzero(pdf["side"].to_numpy() == 0), np.flatnonzero(pdf["side"].to_numpy() == 1)
-        fp, rep = pdf["fp"].to_numpy().view(np.uint64), pdf["rep"].to_numpy()
-        left, right = ends[0], ends[1] if len(ends[1]) else ends[0]
-        forest, links = Forest(), []
+        fp, rep, side = pdf["fp"].to_numpy().view(np.uint64), pdf["rep"].to_numpy(), pdf["side"].to_numpy()
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        right = right if len(right) else left
+        a, b = [rep[:0]], [rep[:0]]
         for at in range(0, len(left), 256):
             rows = left[at : at + 256]
             x = fp[rows][:, None] ^ fp[right][None, :]
             i, j = np.nonzero(np.bitwise_count(x) <= max_bits)
-            same = (x[i, j][:, None].view(np.uint8).reshape(-1, 8) == 0).sum(1) >= shared
-            i, j = rows[i[same]], right[j[same]]
-            # one link for each row and smallest partner, then the rest only where it joins two trees
-            for p, q in zip(rep[i].tolist(), rep[j].tolist(), strict=True):
-                if p != q:
-                    forest.link(p, q)
-        links = [(x, forest.root(x)) for x in list(forest.up)]
-        return pd.DataFrame(links, columns=["src", "dst"]).astype("int64")
+            enough = (x[i, j][:, None].view(np.uint8).reshape(-1, 8) == 0).sum(1) >= shared
+            tree = star_edges(rep[rows[i[enough]]], rep[right[j[enough]]])  # at most one link a node from each stripe
+            a.append(tree[0])
+            b.append(tree[1])
+        node, root = star_edges(np.concatenate(a), np.concatenate(b))
+        return pd.DataFrame({"src": node, "dst": root}).astype("int64")
 
     return run
 
