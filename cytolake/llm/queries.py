@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_replay, cdc_dedup, compression_bands, hash_tree, packing, simhash
+from . import bpe_replay, cdc_dedup, compression_bands, hash_tree, hnsw, importance, packing, secret_forest, simhash, url_lists
 from .common import table, unsigned32
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,28 @@ def _query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return f
 
 
+@_query
+def op1_hnsw_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.near_dedup(table(spark, sf_dir, "embeddings"))
+
+
+ORACLE["op1_hnsw_near_dedup"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+  ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.98
+), r(a, b) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a
+), c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c.component_id, e.vec_id = c.component_id AS kept
+FROM embeddings e JOIN c ON c.a = e.vec_id LEFT JOIN n ON n.a = e.vec_id
+"""
+
+
 def _tokenizer_files():
     """The public tokenizers' folder, given as a path to the operators; a module, so found wherever it is installed."""
     import public_tokenizers
@@ -40,6 +62,13 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_dedup(table(spark, sf_dir, "documents"))
 
 
+@_query
+def op4_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each secret; its CRC stands for the secret itself."""
+    found = secret_forest.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "start", "length", unsigned32(F.crc32(F.col("secret").cast("binary"))).alias("secret_crc32"), "votes")
+
+
 @_query
 def op5_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hash_tree.assign(table(spark, sf_dir, "documents"))
@@ -52,6 +81,66 @@ def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_replay.encode_decode(docs, files.path("byte_bpe_multi_50k.tiktoken"), files.PATTERN, carry=["doc_id"])
 
 
+def _dated_list(pages: DataFrame) -> DataFrame:
+    """A dated list over the sites of the pages. The tables hold no list, so a hash of the site, which SQL
+    can compute too, dates its entries: every site whose name has a hyphen and one in eight of the others."""
+    site = F.regexp_extract(F.col("url"), r"([^./@]+\.[^./@]+\.[^./@:?#]+)(?:[/:?#]|$)", 1)
+    n = F.conv(F.substring(F.md5("pattern"), 1, 6), 16, 10).cast("long")
+    sites = pages.select(site.alias("pattern")).where("pattern != ''").distinct().withColumn("n", n)
+    listed = sites.where("pattern like '%-%' or n % 8 = 0").withColumn(
+        "list", F.when(F.col("pattern").like("%-%"), F.lit("spam")).otherwise(F.lit("sampled"))
+    )
+    day = F.col("n") % 300
+    events = F.array(
+        F.struct(F.lit("add").alias("action"), day.alias("day")),
+        F.struct(F.when(F.col("n") % 3 == 0, F.lit("remove")).alias("action"), (day + 20).alias("day")),
+        F.struct(F.when(F.col("n") % 5 == 0, F.lit("add")).alias("action"), (day + 45).alias("day")),
+    )
+    return listed.select("list", "pattern", F.inline(events)).select(
+        "list", "pattern", "action", F.timestamp_seconds(F.lit(1704067200) + F.col("day") * 86400).alias("at")
+    )
+
+
+@_query
+def op7_temporal_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages carry no fetch time; the page's number gives the hour of 2024 at which it counts as fetched."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    hour = F.pmod(F.col("page_id") * 37, F.lit(8760))
+    captures = pages.withColumn("fetched_at", F.timestamp_seconds(F.lit(1704067200) + hour * 3600))
+    judged = url_lists.judge(captures, _dated_list(pages))
+    return judged.select("page_id", "blocked", "n_lists", "lists", "matched", F.unix_timestamp("since").alias("since_s"))
+
+
+ORACLE["op7_temporal_url_lists"] = r"""
+WITH p AS (
+  SELECT page_id, url, 1704067200 + (page_id * 37) % 8760 * 3600 AS at_s,
+         regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]+(/[^?#]*)', 1) AS path
+  FROM pages
+), s AS (
+  SELECT DISTINCT regexp_extract(url, '([^./@]+\.[^./@]+\.[^./@:?#]+)(?:[/:?#]|$)', 1) AS pattern FROM pages
+), n AS (SELECT pattern, ('0x' || substr(md5(pattern), 1, 6))::BIGINT AS n FROM s WHERE pattern <> ''),
+listed AS (
+  SELECT CASE WHEN pattern LIKE '%-%' THEN 'spam' ELSE 'sampled' END AS list, pattern, n FROM n WHERE pattern LIKE '%-%' OR n % 8 = 0
+), ev AS (
+  SELECT list, pattern, 'add' AS action, n % 300 AS day FROM listed
+  UNION ALL SELECT list, pattern, 'remove', n % 300 + 20 FROM listed WHERE n % 3 = 0
+  UNION ALL SELECT list, pattern, 'add', n % 300 + 45 FROM listed WHERE n % 5 = 0
+), iv AS (
+  SELECT list, pattern, action, 1704067200 + day * 86400 AS since_s,
+         1704067200 + 86400 * lead(day) OVER (PARTITION BY list, pattern ORDER BY day, action) AS until_s
+  FROM ev
+), m AS (
+  SELECT p.page_id, iv.list, iv.pattern, iv.since_s FROM p JOIN iv
+  ON iv.action = 'add' AND iv.since_s <= p.at_s AND (iv.until_s IS NULL OR p.at_s < iv.until_s)
+  AND (p.host = iv.pattern OR ends_with(p.host, '.' || iv.pattern))
+)
+SELECT p.page_id, count(m.list) > 0 AS blocked, count(DISTINCT m.list) AS n_lists,
+       coalesce(string_agg(DISTINCT m.list, ',' ORDER BY m.list), '') AS lists,
+       max_by(m.pattern, (length(m.pattern), m.pattern)) AS matched, min(m.since_s)::BIGINT AS since_s
+FROM p LEFT JOIN m ON m.page_id = p.page_id GROUP BY p.page_id
+"""
+
+
 @_query
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each repeated passage that is not the first of its kind."""
@@ -61,6 +150,11 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query
+def op9_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @_query
 def op10_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
