@@ -11,10 +11,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
-from itertools import islice
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Characters of text in a block, words kept from earlier blocks, and words of one text handled at once.
-BLOCK_CHARS, KEEP_WORDS, PART_WORDS = 1 << 22, 400_000, 1 << 18
+BLOCK_CHARS, KEEP_WORDS, PART_WORDS = 1 << 25, 600_000, 1 << 18
+#: Words whose merges are replayed together at most.
+REPLAY_WORDS = 300_000
 
 
 class Bpe:
@@ -32,129 +35,144 @@ class Bpe:
     def __init__(self, path: str, pattern: str) -> None:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, f)}
-        self.token = {r: t for t, r in self.ranks.items()}
+        self.size = max(self.ranks.values()) + 1
+        self.token: list[bytes] = [b""] * self.size
+        for t, r in self.ranks.items():
+            self.token[r] = t
         self.split = regex.compile(pattern)
-        self.size = max(self.token) + 1
-        self.byte = [self.ranks[bytes([b])] for b in range(256)]
-        self.merge: dict[int, int] = {}  # pair -> the id that it merges to, -1 if none
-        self.dtype = "<u2" if self.size <= 65536 else "<u4"
-        self.known: dict[str, bytes] = {}
-
-    def _merged(self, a: int, b: int) -> int:
+        self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int64)
+        pairs = {
+            self.ranks[t[:i]] * self.size + self.ranks[t[i:]]: r
+            for t, r in self.ranks.items()
+            for i in range(1, len(t))
+            if t[:i] in self.ranks and t[i:] in self.ranks
+        }
+        self.pair = np.array(sorted(pairs), dtype=np.int64)
+        self.merge = np.array([pairs[k] for k in self.pair.tolist()], dtype=np.int64)
+        self.forget()
+
+    def forget(self) -> None:
+        self.index: defaultdict[str, int] = defaultdict(count().__next__)  # word -> its number
+        self.flat, self.ends = np.empty(0, dtype=np.int64), np.zeros(1, dtype=np.int64)
+
+    def _merged(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The id that each pair of neighbours merges to, -1 for none."""
         key = a * self.size + b
-        out = self.merge.get(key)
-        if out is None:
-            if len(self.merge) > 2_000_000:
-                self.merge.clear()
-            out = self.merge[key] = self.ranks.get(self.token[a] + self.token[b], -1)
-        return out
-
-    def replay(self, words: list[bytes]) -> list[list[int]]:
-        """The ids of each word."""
-        out: list[list[int]] = [[] for _ in words]
-        sym: list[int] = []  # token at each position, -1 once it has been merged away
-        owner: list[int] = []
-        begin: list[tuple[int, int]] = []
-        for i, w in enumerate(words):
-            whole = self.ranks.get(w)
-            if whole is not None:
-                out[i] = [whole]
-            elif w:
-                begin.append((i, len(sym)))
-                sym += [self.byte[b] for b in w]
-                owner += [i] * len(w)
-        n = len(sym)
-        right = list(range(1, n + 1))
-        left = list(range(-1, n - 1))
-        for k, (_, at) in enumerate(begin):
-            left[at] = -1
-            right[(begin[k + 1][1] if k + 1 < len(begin) else n) - 1] = -1
-        merged, memo = self._merged, self.merge.get
-        size = self.size
-        index: dict[int, list[int]] = {}
-        for p in range(n):
-            q = right[p]
-            if q >= 0:
-                m = memo(sym[p] * size + sym[q])
-                if m is None:
-                    m = merged(sym[p], sym[q])
-                if m >= 0:
-                    index.setdefault(m, []).append(p)
-        heap = list(index)
+        at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
+        return np.where(self.pair[at] == key, self.merge[at], -1)
+
+    def replay(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, where each word's ids end)."""
+        size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        whole = np.fromiter((self.ranks.get(w, -1) for w in words), dtype=np.int64, count=len(words))
+        # a word that is a token needs no merge; it stands in the sequence as that token
+        sizes = np.where(whole >= 0, 1, size)
+        owner = np.repeat(np.arange(len(words)), sizes)
+        n = len(owner)
+        sym = np.empty(n, dtype=np.int64)
+        sym[(whole >= 0)[owner]] = whole[whole >= 0]
+        raw = np.frombuffer(b"".join(w for w, t in zip(words, whole.tolist(), strict=True) if t < 0), dtype=np.uint8)
+        sym[(whole < 0)[owner]] = self.byte[raw]
+        inner = np.concatenate([owner[1:] == owner[:-1], [False]])
+        right = np.where(inner, np.arange(1, n + 1), -1)
+        left = np.where(np.concatenate([[False], inner[:-1]]), np.arange(-1, n - 1), -1)
+        alive = np.ones(n, dtype=bool)
+        merges = np.full(n, -1, dtype=np.int64)  # what a position and its right neighbour merge to
+        at = np.flatnonzero(inner)
+        merges[at] = self._merged(sym[at], sym[at + 1])
+        postings: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def post(rank: np.ndarray, place: np.ndarray) -> None:
+            order = np.argsort(rank, kind="stable")
+            rank, place = rank[order], place[order]
+            cuts = np.flatnonzero(rank[1:] != rank[:-1]) + 1
+            firsts = rank[np.concatenate([[0], cuts])].tolist() if len(rank) else []
+            starts = [0, *cuts.tolist(), len(rank)]
+            for k, r in enumerate(firsts):
+                got = postings.get(r)
+                if got is None:
+                    postings[r] = [place[starts[k] : starts[k + 1]]]
+                    heappush(heap, r)
+                else:
+                    got.append(place[starts[k] : starts[k + 1]])
+
+        some = at[merges[at] >= 0]
+        post(merges[some], some)
         heapify(heap)
-        odd: set[int] = set()  # words where a merge opened one of lower rank: their order is their own
+        odd: list[np.ndarray] = []  # words where a merge opened one of lower rank: their order is their own
         while heap:
             r = heappop(heap)
-            places = index.pop(r)
-            places.sort()
-            for p in places:
-                a, q = sym[p], right[p]
-                if a < 0 or q < 0 or memo(a * size + sym[q], None) != r and merged(a, sym[q]) != r:
-                    continue
-                sym[p], sym[q] = r, -1
-                s = right[p] = right[q]
-                if s >= 0:
-                    left[s] = p
-                    m = memo(r * size + sym[s])
-                    if m is None:
-                        m = merged(r, sym[s])
-                    if m >= 0:
-                        if m in index:
-                            index[m].append(p)
-                        elif m > r:
-                            index[m] = [p]
-                            heappush(heap, m)
-                        if m <= r:
-                            odd.add(owner[p])
-                o = left[p]
-                if o >= 0:
-                    m = memo(sym[o] * size + r)
-                    if m is None:
-                        m = merged(sym[o], r)
-                    if m >= 0:
-                        if m in index:
-                            index[m].append(o)
-                        elif m > r:
-                            index[m] = [o]
-                            heappush(heap, m)
-                        if m <= r:
-                            odd.add(owner[p])
-        for i, p in begin:
-            if i in odd:
-                out[i] = self.alone(words[i])
+            got = postings.pop(r)
+            p = np.unique(np.concatenate(got)) if len(got) > 1 else got[0]
+            p = p[merges[p] == r]
+            if not len(p):
                 continue
-            ids = out[i]
-            while p >= 0:
-                ids.append(sym[p])
-                p = right[p]
-        return out
+            if len(p) > 1 and (follows := right[p[:-1]] == p[1:]).any():
+                k = np.arange(len(p))  # overlapping places: the first of each chain, the third, and so on
+                p = p[(k - np.maximum.accumulate(np.where(np.concatenate([[True], ~follows]), k, 0))) % 2 == 0]
+            q = right[p]
+            s = right[q]
+            sym[p], alive[q], merges[q], right[p] = r, False, -1, s
+            has = s >= 0
+            left[s[has]] = p[has]
+            o = left[p]
+            o = o[o >= 0]
+            merges[p[~has]] = -1
+            new = np.concatenate([p[has], o])
+            made = self._merged(sym[new], sym[right[new]])
+            merges[new] = made
+            low = (made >= 0) & (made < r)
+            if low.any():
+                odd.append(owner[new[low]])
+            more = made > r
+            if more.any():
+                post(made[more], new[more])
+        lengths = np.bincount(owner[alive], minlength=len(words))
+        ids, ends = sym[alive], np.cumsum(lengths)
+        if odd:
+            split = np.split(ids, ends[:-1])
+            for w in np.unique(np.concatenate(odd)).tolist():
+                split[w] = np.array(self.alone(words[w]), dtype=np.int64)
+            ids, ends = np.concatenate(split), np.cumsum([len(x) for x in split])
+        return ids, ends
 
     def alone(self, word: bytes) -> list[int]:
         """One word on its own: the leftmost pair of lowest rank, again and again."""
-        ids = [self.byte[b] for b in word]
-        while len(ids) > 1:
-            best = min(((m, i) for i in range(len(ids) - 1) if (m := self._merged(ids[i], ids[i + 1])) >= 0), default=None)
+        parts = [word[i : i + 1] for i in range(len(word))]
+        while len(parts) > 1:
+            best = min(((m, i) for i in range(len(parts) - 1) if (m := self.ranks.get(parts[i] + parts[i + 1])) is not None), default=None)
             if best is None:
                 break
-            ids[best[1] : best[1] + 2] = [best[0]]
-        return ids
-
-    def learn(self, words: list[str]) -> None:
-        """Replay the merges over those of the words that are not known yet."""
-        new = list({w for w in words if w not in self.known})
-        if len(self.known) + len(new) > KEEP_WORDS:
-            self.known.clear()
-            new = list(set(words))
-        for w, ids in zip(new, self.replay([w.encode("utf-8") for w in new]), strict=True):
-            self.known[w] = np.array(ids, dtype=self.dtype).tobytes()
-
-    def parts(self, text: str) -> Iterator[list[str]]:
+            parts[best[1] : best[1] + 2] = [self.token[best[0]]]
+        return [self.ranks[p] for p in parts]
+
+    def number(self, text: str) -> np.ndarray:
+        """The number of each word of a text; new words get new numbers."""
         if len(text) <= BLOCK_CHARS:
-            yield self.split.findall(text)
-        else:
-            words = (m.group() for m in self.split.finditer(text))
-            while part := list(islice(words, PART_WORDS)):
-                yield part
+            words = self.split.findall(text)
+            return np.fromiter(map(self.index.__getitem__, words), dtype=np.int32, count=len(words))
+        words, parts = (m.group() for m in self.split.finditer(text)), []
+        while part := list(islice(words, PART_WORDS)):
+            parts.append(np.fromiter(map(self.index.__getitem__, part), dtype=np.int32, count=len(part)))
+        return np.concatenate(parts)
+
+    def learn(self) -> None:
+        """Replay the merges over the words that have a number but no ids yet."""
+        done = len(self.ends) - 1
+        new = [w.encode("utf-8") for w in islice(self.index, done, None)]
+        flat, ends = [self.flat], [self.ends]
+        for at in range(0, len(new), REPLAY_WORDS):
+            ids, stop = self.replay(new[at : at + REPLAY_WORDS])
+            flat.append(ids)
+            ends.append(stop + ends[-1][-1])
+        self.flat, self.ends = np.concatenate(flat), np.concatenate(ends)
+
+    def ids(self, numbers: np.ndarray) -> np.ndarray:
+        """The ids of numbered words, one after another."""
+        start, size = self.ends[numbers], self.ends[numbers + 1] - self.ends[numbers]
+        total = np.cumsum(size)
+        return self.flat[np.repeat(start - total + size, size) + np.arange(total[-1] if len(total) else 0)]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
@@ -187,19 +205,16 @@ def _round_trip(path: str, pattern: str, with_ids: bool):
         for b in batches:
             rows = []
             column = b.column(b.num_columns - 1)
-            texts = [column[i].as_py() or "" for i in range(b.num_rows)]
-            for block in _blocks(texts):
-                split = [list(codec.parts(t)) if len(t) <= BLOCK_CHARS else codec.parts(t) for t in block]
-                if all(isinstance(x, list) for x in split):
-                    codec.learn([w for x in split for part in x for w in part])
-                for x in split:
+            for block in _blocks([column[i].as_py() or "" for i in range(b.num_rows)]):
+                if len(codec.index) > KEEP_WORDS:
+                    codec.forget()
+                numbered = [codec.number(t) for t in block]
+                codec.learn()
+                for words in numbered:
                     n, ids_hash, back, every = 0, hashlib.sha256(), hashlib.sha256(), []
-                    for part in x:
-                        if not isinstance(x, list):
-                            codec.learn(part)
-                        ids = np.frombuffer(b"".join(map(codec.known.__getitem__, part)), dtype=codec.dtype).tolist()
-                        if ids:
-                            ids_hash.update((("," if n else "") + ",".join(map(decimal.__getitem__, ids))).encode())
+                    for at in range(0, len(words), PART_WORDS):
+                        ids = codec.ids(words[at : at + PART_WORDS]).tolist()
+                        ids_hash.update((("," if n else "") + ",".join(map(decimal.__getitem__, ids))).encode())
                         back.update(codec.decode(ids))
                         n += len(ids)
                         if with_ids:
