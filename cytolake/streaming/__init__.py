@@ -1,0 +1 @@
+"""Nothing here yet: all inputs of the engine are bounded files, and no operator needs a stream."""
