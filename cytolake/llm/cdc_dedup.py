@@ -103,7 +103,7 @@ def _digests(how: Chunking):
             made = []
             for i in range(b.num_rows):
                 c = chunk((b.column(1)[i].as_py() or "").encode("utf-8", "surrogatepass"), how)
-                made.append(c.digest if c is not None else np.empty(0, np.int64))
+                made.append(np.unique(c.digest) if c is not None else np.empty(0, np.int64))
             sizes = np.cumsum([0, *map(len, made)]).astype(np.int32)
             flat = pa.array(np.concatenate(made) if made else np.empty(0, np.int64))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(sizes), flat)], ["_id", "_digests"])
@@ -111,46 +111,47 @@ def _digests(how: Chunking):
     return run
 
 
-def runs(c: Chunks, repeats: dict[int, tuple[int, int]], min_words: int) -> list[tuple[int, int, int, int, int]]:
+def runs(c: Chunks, doc: int | None, earlier: dict[int, int], min_words: int) -> list[tuple[int, int, int, int, int]]:
     """(start, end, follow, words, first document) of each run of repeats that is long enough.
-    ``repeats``: by chunk number the digest expected there and the document that had it first."""
-    out, n, k = [], len(c.digest), 0
+
+    A chunk is a repeat if its digest is in ``earlier``, digests of documents of smaller id with the
+    smallest of them, or has come before in the document itself."""
+    digests, out, n, k = c.digest.tolist(), [], len(c.digest), 0
+    own: set[int] = set()
     while k < n:
         j, words, seen = k, 0, Counter()
-        while j < n and (r := repeats.get(j)) is not None and r[0] == int(c.digest[j]):
+        while j < n and ((first := earlier.get(digests[j])) is not None or digests[j] in own):
             words += int(c.words[j])
-            seen[r[1]] += 1
+            seen[doc if first is None else first] += 1
+            own.add(digests[j])
             j += 1
         if words >= min_words:
             most = min(seen, key=lambda d: (-seen[d], d))
             out.append((int(c.start[k]), int(c.end[j - 1]), int(c.follow[j - 1]), words, most))
-        k = max(j, k + 1)
+        if j < n:
+            own.add(digests[j])
+        k = j + 1
     return out
 
 
-def _found(row, how: Chunking):
-    raw = (row[0] or "").encode("utf-8", "surrogatepass")
-    if not row[1]:
+def _found(doc: int | None, text: str | None, repeated: list | None, how: Chunking):
+    raw = (text or "").encode("utf-8", "surrogatepass")
+    if doc is None or (c := chunk(raw, how)) is None:
         return raw, []
-    c = chunk(raw, how)
-    return raw, runs(c, {r["pos"]: (r["digest"], r["first"]) for r in row[1]}, how.min_words) if c is not None else []
+    return raw, runs(c, doc, {r["digest"]: r["first"] for r in repeated or ()}, how.min_words)
 
 
 def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", how: Chunking | None = None) -> DataFrame:
-    """(_id, _repeats): for each document with a repeated chunk, the chunk numbers, their digests
-    and the document that had each first. First is by (id, chunk number)."""
+    """(_id, _repeats): for each document that shares a chunk with one of smaller id, the digests of such
+    chunks and the smallest id that has each. A digest counts once a document, so it is a long and an id that
+    is shuffled, and sums and minima of longs that are aggregated."""
     how = how or Chunking()
     src = df.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
     docs = save(src.where("_id is not null").mapInArrow(_digests(how), "_id long, _digests array<long>"), "chunks")
-    chunks = docs.select("_id", F.posexplode("_digests").alias("pos", "digest"))
-    twice = (
-        chunks.groupBy("digest")
-        .agg(F.min(F.struct("_id", "pos")).alias("f"), F.count("*").alias("n"))
-        .where("n > 1")
-        .select("digest", F.col("f._id").alias("first"), F.col("f.pos").alias("fpos"))
-    )
-    later = chunks.join(twice, "digest").where("_id != first or pos != fpos")
-    return later.groupBy("_id").agg(F.collect_list(F.struct("pos", "digest", "first")).alias("_repeats"))
+    chunks = docs.select("_id", F.explode("_digests").alias("digest"))
+    shared = chunks.groupBy("digest").agg(F.min("_id").alias("first"), F.max("_id").alias("last")).where("first < last")
+    later = chunks.join(shared.select("digest", "first"), "digest").where("_id != first")
+    return later.groupBy("_id").agg(F.collect_list(F.struct("digest", "first")).alias("_repeats"))
 
 
 def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", how: Chunking | None = None) -> DataFrame:
@@ -158,7 +159,7 @@ def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", how: Ch
     ``n_words``, ``first_id`` (the document that has most of it first) and ``passage``.
 
     Null ids, and null, empty and blank texts, have none. Rows that repeat an id are one
-    document: a passage at the same chunk of both is not a repeat. Other columns are ignored.
+    document: a passage that both hold is no repeat in either. Other columns are ignored.
     """
     how = how or Chunking()
 
@@ -166,7 +167,7 @@ def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", how: Ch
         for b in batches:
             rows = []
             for i, doc in enumerate(b.column(0).to_pylist()):
-                raw, found = _found((b.column(1)[i].as_py(), b.column(2)[i].as_py()), how)
+                raw, found = _found(doc, b.column(1)[i].as_py(), b.column(2)[i].as_py(), how)
                 rows += [(doc, s, e - s, w, first, raw[s:e].decode("utf-8", "surrogatepass")) for s, e, _, w, first in found]
             kinds = [*[pa.int64()] * 5, pa.string()]
             cols = list(zip(*rows, strict=True)) or [()] * 6
@@ -176,7 +177,7 @@ def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", how: Ch
             )
 
     src = df.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
-    return src.join(repeats(df, id_col, text_col, how), "_id").mapInArrow(
+    return src.join(repeats(df, id_col, text_col, how), "_id", "left").select("_id", "_text", "_repeats").mapInArrow(
         run, f"`{id_col}` long, start long, length long, n_words long, first_id long, passage string"
     )
 
@@ -187,28 +188,29 @@ def cut(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", how: Chun
     Null texts stay null; rows with a null id stay as they are.
     """
     how = how or Chunking()
-    names = [c for c in df.columns if c not in ("removed_words",)]
+    names = [c for c in df.columns if c not in ("removed_words", "_id", "_repeats")]
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             text, removed = [], []
             last = b.num_columns - 1
+            ids = b.column(last - 1).to_pylist()
             for i in range(b.num_rows):
                 t = b.column(at)[i].as_py()
-                raw, found = _found((t, b.column(last)[i].as_py()), how)
+                raw, found = _found(ids[i], t, b.column(last)[i].as_py(), how)
                 keep, done = [], 0
                 for s, _, follow, _, _ in found:
                     keep.append(raw[done:s])
                     done = follow
                 text.append(t if not found else b"".join([*keep, raw[done:]]).decode("utf-8", "surrogatepass"))
                 removed.append(sum(f[3] for f in found))
-            cols = list(b.columns[:-1])
+            cols = list(b.columns[:-2])
             cols[at] = pa.array(text, pa.string())
             yield pa.RecordBatch.from_arrays([*cols, pa.array(removed, pa.int64())], [*names, "removed_words"])
 
     src = df.select(*[F.col(f"`{c}`") for c in names])
-    rep = repeats(df, id_col, text_col, how).select(F.col("_id").alias("_rid"), "_repeats")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields)
-    joined = src.join(rep, src[f"`{id_col}`"].cast("long") == rep["_rid"], "left").drop("_rid")
-    return joined.mapInArrow(run, f"{kinds}, removed_words long")
+    keyed = src.select("*", F.col(f"`{id_col}`").cast("long").alias("_id"))
+    joined = keyed.join(repeats(df, id_col, text_col, how), "_id", "left")
+    return joined.select(*[F.col(f"`{c}`") for c in names], "_id", "_repeats").mapInArrow(run, f"{kinds}, removed_words long")
