@@ -74,6 +74,44 @@ def op5_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hash_tree.assign(table(spark, sf_dir, "documents"))
 
 
+def _draw_sql(node: str, weight: int) -> str:
+    return f"-ln((('0x' || substr(md5(key || ':{node}'), 1, 13))::BIGINT + 0.5) / 4503599627370496.0) / {weight}"
+
+
+def _pair_sql(a: str, b: str, weight: int) -> str:
+    return f"({_draw_sql(a, weight)} > {_draw_sql(b, weight)})::INT"
+
+
+#: The tree of two regions, racks and shards each; the ninth shard is a region of weight 1. CRC-32 byte by byte.
+ORACLE["op5_hash_tree_sharding"] = f"""
+WITH crc AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+    lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t
+), d AS (
+  SELECT doc_id, coalesce(doc_id::VARCHAR, 'null') AS key, octet_length(encode(coalesce(text, ''))) + 1 AS size,
+    xor(4294967295, list_reduce(
+      list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT)),
+      lambda c, x: xor(c // 256, t[xor(c % 256, x) + 1]))) AS text_crc32
+  FROM documents, crc
+), r AS (
+  SELECT *, {_pair_sql("r0", "r1", 4)} AS region,
+    {_draw_sql("r2", 1)} < least({_draw_sql("r0", 4)}, {_draw_sql("r1", 4)}) AS to_new
+  FROM d
+), k AS (
+  SELECT *, CASE region WHEN 0 THEN {_pair_sql("r0/k0", "r0/k1", 2)} ELSE {_pair_sql("r1/k0", "r1/k1", 2)} END AS rack FROM r
+), s AS (
+  SELECT *, CASE region * 2 + rack
+      WHEN 0 THEN {_pair_sql("r0/k0/s0", "r0/k0/s1", 1)} WHEN 1 THEN 2 + {_pair_sql("r0/k1/s2", "r0/k1/s3", 1)}
+      WHEN 2 THEN 4 + {_pair_sql("r1/k0/s4", "r1/k0/s5", 1)} ELSE 6 + {_pair_sql("r1/k1/s6", "r1/k1/s7", 1)} END AS shard
+  FROM k
+)
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'key' AS law, shard::INT AS shard,
+  (CASE WHEN to_new THEN 8 ELSE shard END)::INT AS grown_shard,
+  row_number() OVER (PARTITION BY shard ORDER BY ('0x' || substr(md5(key), 1, 13))::BIGINT, doc_id, size, text_crc32) - 1 AS slot
+FROM s
+"""
+
+
 @_query
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = _tokenizer_files()
