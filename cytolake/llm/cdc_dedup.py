@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import save, slices
 
 
 @dataclass(frozen=True)
@@ -99,7 +99,7 @@ def chunk(raw: bytes, how: Chunking) -> Chunks | None:
 
 def _digests(how: Chunking):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             made = []
             for i in range(b.num_rows):
                 c = chunk((b.column(1)[i].as_py() or "").encode("utf-8", "surrogatepass"), how)
@@ -164,7 +164,7 @@ def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", how: Ch
     how = how or Chunking()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for i, doc in enumerate(b.column(0).to_pylist()):
                 raw, found = _found(doc, b.column(1)[i].as_py(), b.column(2)[i].as_py(), how)
@@ -192,7 +192,7 @@ def cut(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", how: Chun
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             text, removed = [], []
             last = b.num_columns - 1
             ids = b.column(last - 1).to_pylist()

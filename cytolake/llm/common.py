@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch of whole texts; a text is handled on its own, so this bounds memory only.
-TEXT_BATCH = 1000
+#: Rows that a Python worker takes from an Arrow batch of whole texts at once; bounds memory only.
+TEXT_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,6 +51,13 @@ def drop(df: DataFrame) -> None:
         where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of ``TEXT_ROWS`` rows, so that what is made of one is sent before the next is made."""
+    for b in batches:
+        for at in range(0, b.num_rows, TEXT_ROWS):
+            yield b.slice(at, TEXT_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
