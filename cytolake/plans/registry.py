@@ -12,6 +12,7 @@ from ..functions.stats import LANCZOS, TERMS
 from ..operators import calls as C
 from ..operators import differential as D
 from ..operators import extract as X
+from ..operators.coordinates import from_linear
 from ..operators.dictionary import bin_of, linear_position, precedes, with_contigs
 from . import views as V
 
@@ -267,6 +268,12 @@ def linear_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sites.select("contig", "position", linear_position(F.col("contig_offset"), F.col("position")).alias("linear_position"), front.alias("in_front"))
 
 
+@_query("SELECT o_orderkey, r_name AS contig, (o_orderkey % 4999999 % 1000000 + 1)::INT AS position FROM orders JOIN region ON r_regionkey = o_orderkey % 4999999 // 1000000")
+def inverse_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", (F.col("o_orderkey") % 4_999_999 + 1).alias("linear_position"))
+    return from_linear(orders, V.dictionary(spark, sf_dir)).drop("linear_position")
+
+
 @_query(
     f"""WITH {RAW} SELECT ((contig_order * 1000000 + position) // {CHUNK})::BIGINT AS bin, count(*) AS calls, sum(total)::BIGINT AS total
 FROM raw GROUP BY 1"""

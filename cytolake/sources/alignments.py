@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.dictionary import SequenceDictionary
-from .lines import first_bytes, header, lines
+from .lines import GZIP, first_bytes, header, lines
 
 KINDS = "qname string, flag int, contig string, start int, cigar string, xm string, xg string, ordinal long"
 
@@ -37,7 +37,7 @@ def _without_gaps(rows: DataFrame) -> DataFrame:
 def read_sam(spark: SparkSession, path: str, controls: tuple[str, ...] = ()) -> tuple[DataFrame, SequenceDictionary]:
     """(qname, flag, contig, start, cigar, xm, xg, ordinal) of a SAM file and the dictionary of its header."""
     text = lines(spark, path)
-    dictionary = _sam_dictionary(header(text, "@"), controls)
+    dictionary = _sam_dictionary(header(spark, path, "@")[0], controls)
     rows = _without_gaps(text).where(~F.startswith("value", F.lit("@")))
     f = F.split("value", "\t")
     tag = lambda name: F.nullif(F.regexp_extract("value", rf"\t{name}:Z:([^\t]*)", 1), F.lit(""))
@@ -151,6 +151,6 @@ def read_bam(spark: SparkSession, path: str, controls: tuple[str, ...] = ()) ->
 
 def read_alignments(spark: SparkSession, path: str, controls: tuple[str, ...] = ()) -> tuple[DataFrame, SequenceDictionary]:
     """SAM, compressed or not, or BAM, by the file's ending."""
-    if path.endswith(".bam") and first_bytes(spark, path) == b"\x1f\x8b":
+    if path.endswith(".bam") and first_bytes(spark, path) == GZIP:
         return read_bam(spark, path, controls)
     return read_sam(spark, path, controls)

@@ -29,7 +29,7 @@ def read_calls(spark: SparkSession, path: str) -> tuple[DataFrame, SequenceDicti
 
     ``ratio`` is null in rows of five fields. The first line must be the format's marker."""
     text = lines(spark, path)
-    dictionary = _dictionary(header(text, "#"), CALLS_PRAGMA, path)
+    dictionary = _dictionary(header(spark, path, "#")[0], CALLS_PRAGMA, path)
     rows = text.where(~F.startswith("value", F.lit("#")))
     ratio = F.when(F.size(F.split("value", "\t")) > 5, F.try_element_at(F.split("value", "\t"), F.lit(6)).cast("double"))
     return (
@@ -52,11 +52,11 @@ def read_samples(spark: SparkSession, paths: list[str], conditions: list[int] |
 def read_consensus(spark: SparkSession, path: str) -> tuple[DataFrame, SequenceDictionary]:
     """Consensus calls; the first line after the marked ones is the column header."""
     text = lines(spark, path)
-    dictionary = _dictionary(header(text, "#"), CONSENSUS_PRAGMA, path)
-    body = text.where(~F.startswith("value", F.lit("#")))
-    title = body.agg(F.min("line")).first()[0]
+    head, title = header(spark, path, "#")
+    dictionary = _dictionary(head, CONSENSUS_PRAGMA, path)
+    body = text.where(~F.startswith("value", F.lit("#")) & (F.col("value") != F.lit(title)))
     kinds = (("contig", "string"), ("position", "int"), ("strand", "string"), ("ratio_mean", "double"), ("ratio_variance", "double"), ("sample_size", "int"), ("total_depth", "int"))
-    return body.where(F.col("line") > F.lit(title)).select(*[_field(i, k).alias(n) for i, (n, k) in enumerate(kinds)]), dictionary
+    return body.select(*[_field(i, k).alias(n) for i, (n, k) in enumerate(kinds)]), dictionary
 
 
 def read_regions(spark: SparkSession, path: str) -> DataFrame:

@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Fixed value: the first bytes of gzip content.
+GZIP = b"\x1f\x8b"
+
+
 def first_bytes(spark: SparkSession, path: str, n: int = 2) -> bytes:
     """The first bytes of a file, through the file system that the engine uses for the path."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -42,11 +46,23 @@ def _rows(lines: list[bytes], first: int) -> pa.RecordBatch:
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """(value, line): a file's lines and numbers that grow along it. Gzip content is recognised
     whatever the file is called."""
-    if first_bytes(spark, path) == b"\x1f\x8b" and not path.endswith(".gz"):
+    if first_bytes(spark, path) == GZIP and not path.endswith(".gz"):
         return spark.read.format("binaryFile").load(path).select("content").mapInArrow(_inflate, "value string, line long")
     return spark.read.text(path).select("value", F.monotonically_increasing_id().alias("line"))
 
 
-def header(text: DataFrame, mark: str) -> list[str]:
-    """The lines that start with ``mark``, in order: metadata of a file, read on the driver."""
-    return [r["value"] for r in text.where(F.startswith("value", F.lit(mark))).orderBy("line").collect()]
+def header(spark: SparkSession, path: str, mark: str) -> tuple[list[str], str | None]:
+    """The leading lines of a file that start with ``mark``, and the line after them: metadata, read as a
+    stream on the driver, so no job runs over the file for it."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    stream = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(where)
+    try:
+        plain = jvm.java.util.zip.GZIPInputStream(stream) if first_bytes(spark, path) == GZIP else stream
+        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(plain, jvm.java.nio.charset.StandardCharsets.UTF_8))
+        found = []
+        while (line := reader.readLine()) is not None and line.startswith(mark):
+            found.append(line)
+        return found, line
+    finally:
+        stream.close()

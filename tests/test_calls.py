@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cytolake.operators import calls as C
+from cytolake.operators.coordinates import from_linear
 from cytolake.operators.dictionary import SequenceDictionary
 
 DICT = SequenceDictionary((("b", 100), ("a", 50), ("lambda", 10)), ("lambda",))
@@ -89,6 +90,14 @@ def test_linear_coordinates_and_back():
         d.index("x")
 
 
+def test_linear_positions_of_a_frame(spark):
+    rows = [(i, p) for i, p in enumerate([1, 10, 11, 110, 111, 160, 161, 9999, 0, None])]
+    df = spark.createDataFrame(rows, "id int, linear_position long")
+    for size in (7, 1 << 20):
+        got = {r["id"]: (r["contig"], r["position"]) for r in from_linear(df, DICT.frame(spark), bin_size=size).collect()}
+        assert got == {i: DICT.from_linear(p) for i, p in rows if p}
+
+
 def test_chunks_cover_the_genome_once():
     parts = [p for chunk in DICT.chunks(48) for p in chunk]
     assert sum(b - a + 1 for _, a, b in parts) == 160
