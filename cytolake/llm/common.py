@@ -36,7 +36,8 @@ def save(df: DataFrame, name: str) -> DataFrame:
     folder is cleaned, since results are lazy and may still read it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/scratch/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    # the table is read only after the write has ended, so it needs no marker of that
+    df.write.options(compression="zstd", **{"mapreduce.fileoutputcommitter.marksuccessfuljobs": "false"}).parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._scratch = path  # for drop()
     return back
