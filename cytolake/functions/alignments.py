@@ -22,26 +22,31 @@ def reference_length(ops: Column) -> Column:
     return F.aggregate(ops, F.lit(0), lambda n, o: n + F.when(o["op"] == "I", 0).otherwise(o["size"]))
 
 
-def walk(ops: Column, start: Column, xm: Column) -> Column:
-    """An array of (position, call) structs: M steps along both, I along the calls, D along the reference."""
-    none = F.array().cast("array<struct<position:int,call:string>>")
-    zero = F.struct(start.cast("int").alias("ref"), F.lit(1).alias("query"), none.alias("out"))
+def blocks(ops: Column, start: Column) -> Column:
+    """An array of (first, last, position) structs, one for each M: the calls that it covers, counted
+    from 0, and the reference position of the first. I steps along the calls, D along the reference."""
+    none = F.array().cast("array<struct<first:int,last:int,position:int>>")
+    zero = F.struct(start.cast("int").alias("ref"), F.lit(0).alias("query"), none.alias("out"))
 
     def step(s: Column, o: Column) -> Column:
         size = o["size"]
-        matched = F.transform(
-            F.sequence(F.lit(0), size - 1),
-            lambda k: F.struct((s["ref"] + k).cast("int").alias("position"), F.substring(xm, s["query"] + k, F.lit(1)).alias("call")),
-        )
+        block = F.struct(s["query"].alias("first"), (s["query"] + size - 1).alias("last"), s["ref"].alias("position"))
         return F.struct(
             F.when(o["op"] == "I", s["ref"]).otherwise(s["ref"] + size).cast("int").alias("ref"),
             F.when(o["op"] == "D", s["query"]).otherwise(s["query"] + size).cast("int").alias("query"),
-            F.when(o["op"] == "M", F.concat(s["out"], F.filter(matched, lambda m: m["call"] != "."))).otherwise(s["out"]).alias("out"),
+            F.when(o["op"] == "M", F.concat(s["out"], F.array(block))).otherwise(s["out"]).alias("out"),
         )
 
     return F.aggregate(ops, zero, step)["out"]
 
 
+def position_of(found: Column, call: Column) -> Column:
+    """The reference position of a call by its number; null in an insertion or past the alignment."""
+    inside = F.filter(found, lambda b: (b["first"] <= call) & (call <= b["last"]))
+    one = F.when(F.size(found) == 1, F.get(found, 0)).otherwise(F.get(inside, 0))
+    return F.when((one["first"] <= call) & (call <= one["last"]), one["position"] + call - one["first"])
+
+
 def context(call: Column) -> Column:
     """The sequence context of a call letter; other letters raise an error."""
     out = None

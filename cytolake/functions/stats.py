@@ -19,8 +19,8 @@ LANCZOS = (
     0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313, -176.61502916214059,
     12.507343278686905, -0.13857109526572012, 9.9843695780195716e-6, 1.5056327351493116e-7,
 )
-#: Terms of the continued fraction of the incomplete beta function.
-TERMS = 100
+#: Terms of the continued fraction of the incomplete beta function, taken two at a time.
+TERMS = 50
 
 
 @dataclass(frozen=True)
@@ -79,13 +79,13 @@ def log_gamma(x: Column) -> Column:
 def _fraction(a: Column, b: Column, x: Column, y: Column, log_beta: Column) -> Column:
     """The regularised incomplete beta function where its continued fraction converges; y = 1 - x."""
 
-    def step(acc: Column, k: Column) -> Column:
-        m = F.floor(k / 2).cast("double")
+    def step(acc: Column, m: Column) -> Column:
         even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
         odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        return 1.0 + F.when(k % 2 == 0, even).otherwise(odd) / acc
+        return 1.0 + even / (1.0 + odd / acc)
 
-    tail = F.aggregate(F.sequence(F.lit(TERMS), F.lit(1), F.lit(-1)), F.lit(1.0), step)
+    pairs = F.array(*[F.lit(float(m)) for m in range(TERMS // 2, 0, -1)])
+    tail = 1.0 - (a + b) * x / (a + 1.0) / F.aggregate(pairs, F.lit(1.0), step)
     return F.exp(a * F.log(x) + b * F.log(y) - log_beta) / (a * tail)
 
 

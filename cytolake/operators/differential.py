@@ -45,7 +45,12 @@ def differential_sites(calls: DataFrame, min_depth: int = TEST_DEPTH, significan
     covered = calls.where(F.col("total") >= min_depth)
     sums = covered.groupBy("contig", "position").agg(first_strand(calls), *_sums()).where("n_1 > 1 and n_2 > 1")
     out = _tested(sums, ["contig", "position", "strand"])
-    return out if significance is None else out.where(~F.isnan("p_value") & (F.col("p_value") <= significance))
+    if significance is None:
+        return out
+    # a filter over the row in hand: a plain one would be pushed below the projections, and its
+    # condition, with all steps of the test put in, would be larger than the planner can take well
+    kept = F.filter(F.array(F.struct(*out.columns)), lambda r: ~F.isnan(r["p_value"]) & (r["p_value"] <= significance))
+    return out.select(F.inline(kept))
 
 
 def region_calls(calls: DataFrame, regions: DataFrame, bin_size: int = BIN) -> DataFrame:

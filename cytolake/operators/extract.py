@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.alignments import context, is_methylated, operations, reference_length, strand, walk
+from ..functions.alignments import blocks, context, is_methylated, operations, position_of, reference_length, strand
 from ..functions.numeric import safe_div
 
 UNMAPPED, PAIRED, MATE_UNMAPPED = 0x4, 0x1, 0x8
@@ -50,11 +50,12 @@ def fragment_calls(frags: DataFrame) -> DataFrame:
         s["start"].alias("s2"), s["xm"].alias("x2"), F.when(s.isNotNull(), operations(s["cigar"])).alias("o2"),
     )
     overlap = F.greatest(F.lit(0), F.col("s1") + reference_length(F.col("o1")) - F.col("s2"))
-    second = F.filter(walk(F.col("o2"), F.col("s2"), F.col("x2")), lambda c: c["position"] >= F.col("_from"))
-    both = ops.withColumn("_from", F.col("s2") + overlap).select(
-        "contig", "strand", F.concat(walk(F.col("o1"), F.col("s1"), F.col("x1")), F.coalesce(second, F.array().cast("array<struct<position:int,call:string>>"))).alias("_calls")
-    )
-    return both.select("contig", "strand", F.inline("_calls"))
+    own = F.struct(F.col("x1").alias("xm"), blocks(F.col("o1"), F.col("s1")).alias("blocks"), F.col("s1").alias("least"))
+    mate = F.struct(F.col("x2").alias("xm"), blocks(F.col("o2"), F.col("s2")).alias("blocks"), (F.col("s2") + overlap).alias("least"))
+    each = ops.select("contig", "strand", F.explode(F.array(own, mate)).alias("r")).where("r.xm is not null").select("contig", "strand", "r.*")
+    bases = each.select("contig", "strand", "blocks", "least", F.posexplode(F.split("xm", "")).alias("at", "call")).where("call not in ('.', '')")
+    placed = bases.select("contig", position_of(F.col("blocks"), F.col("at")).alias("position"), "strand", "call", "least")
+    return placed.where("position >= least").drop("least")
 
 
 def single_fragments(reads: DataFrame) -> DataFrame:
