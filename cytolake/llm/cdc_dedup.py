@@ -8,7 +8,11 @@ repeats of at least ``min_words`` words is a repeated passage and is cut.
 
 With a boundary after every sixth word on average, a repeated passage loses
 about three words of window and five of a partial chunk at its head, and as many
-of a partial chunk at its end; so passages of fifty words leave runs well above 25.
+of a partial chunk at its end. What that leaves of a passage is known from its own
+words: where a window of ``passage`` words holds no run of ``min_words`` between its
+own first and last boundary, the window is digested as a whole as well, wherever it
+stands. So every passage of at least ``passage`` words that comes again is found, by
+its chunks or by its windows; its edges up to a boundary may stay in the first case.
 """
 
 from __future__ import annotations
@@ -29,11 +33,13 @@ from .common import save, slices
 @dataclass(frozen=True)
 class Chunking:
     """mean_words: words between boundaries on average; max_words: a longer chunk is cut there;
-    min_words: words in a run of repeats from which it counts as a repeated passage."""
+    min_words: words in a run of repeats from which it counts as a repeated passage;
+    passage: words from which no repeated passage is lost."""
 
     mean_words: int = 6
     max_words: int = 64
     min_words: int = 25
+    passage: int = 51
     seed: int = 7
 
 
@@ -66,6 +72,25 @@ class Chunks:
     follow: np.ndarray  # byte of the next word
     words: np.ndarray
     digest: np.ndarray  # signed 64-bit
+    first: np.ndarray  # byte of each word
+    last: np.ndarray  # byte after each word
+    window: np.ndarray  # first word of each window that its chunks would lose
+    window_digest: np.ndarray  # signed 64-bit
+
+
+def lost_windows(begin: np.ndarray, end: np.ndarray, natural: np.ndarray, how: Chunking) -> np.ndarray:
+    """First words of the windows of ``passage`` words with fewer than ``min_words`` between the first and the last
+    boundary that their own bytes decide, which are those that no copy of the window can lack.
+
+    ``begin`` and ``end``: bytes of each word in the text of single blanks; ``natural``: words whose hash ends a chunk."""
+    n = len(begin) - how.passage + 1
+    if n <= 0:
+        return np.empty(0, np.int64)
+    at = np.concatenate([[-1], natural, [len(begin) + how.passage]])
+    own = np.searchsorted(end, begin[:n] + 16)  # the first word whose hash sees no byte before the window
+    lo = at[np.searchsorted(at, own)]
+    hi = at[np.searchsorted(at, np.arange(n) + how.passage) - 1]
+    return np.flatnonzero(hi - lo < how.min_words)
 
 
 def chunk(raw: bytes, how: Chunking) -> Chunks | None:
@@ -81,6 +106,7 @@ def chunk(raw: bytes, how: Chunking) -> Chunks | None:
     data = np.where(blank, np.uint8(32), a)[~blank | ~before]
     ends = np.cumsum(last - first + 1) - 1
     cut = rolling(data, how.seed)[ends - 1] < 65536 // how.mean_words
+    natural = np.flatnonzero(cut)
     cut[-1] = True
     at = np.flatnonzero(cut)
     gaps = np.diff(at, prepend=-1)
@@ -94,7 +120,13 @@ def chunk(raw: bytes, how: Chunking) -> Chunks | None:
         (xxhash.xxh3_64_intdigest(text[i:j]) for i, j in zip(lo.tolist(), hi.tolist(), strict=True)), dtype=np.uint64, count=len(at)
     )
     nxt = np.concatenate([first[at[:-1] + 1], [len(raw)]])
-    return Chunks(first[begin], last[at], nxt, at - begin + 1, digest.view(np.int64))
+    word = ends - (last - first)
+    window = lost_windows(word, ends, natural, how)
+    lo, hi = word[window], ends[window + how.passage - 1]
+    whole = np.fromiter(
+        (xxhash.xxh3_64_intdigest(text[i:j], how.seed) for i, j in zip(lo.tolist(), hi.tolist(), strict=True)), dtype=np.uint64, count=len(window)
+    )
+    return Chunks(first[begin], last[at], nxt, at - begin + 1, digest.view(np.int64), first, last, window, whole.view(np.int64))
 
 
 def _digests(how: Chunking):
@@ -103,7 +135,7 @@ def _digests(how: Chunking):
             made = []
             for i in range(b.num_rows):
                 c = chunk((b.column(1)[i].as_py() or "").encode("utf-8", "surrogatepass"), how)
-                made.append(np.unique(c.digest) if c is not None else np.empty(0, np.int64))
+                made.append(np.unique(np.concatenate([c.digest, c.window_digest])) if c is not None else np.empty(0, np.int64))
             sizes = np.cumsum([0, *map(len, made)]).astype(np.int32)
             flat = pa.array(np.concatenate(made) if made else np.empty(0, np.int64))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(sizes), flat)], ["_id", "_digests"])
@@ -111,12 +143,13 @@ def _digests(how: Chunking):
     return run
 
 
-def runs(c: Chunks, doc: int | None, earlier: dict[int, int], min_words: int) -> list[tuple[int, int, int, int, int]]:
+def runs(c: Chunks, doc: int | None, earlier: dict[int, int], how: Chunking) -> list[tuple[int, int, int, int, int]]:
     """(start, end, follow, words, first document) of each run of repeats that is long enough.
 
     A chunk is a repeat if its digest is in ``earlier``, digests of documents of smaller id with the
-    smallest of them, or has come before in the document itself."""
-    digests, out, n, k = c.digest.tolist(), [], len(c.digest), 0
+    smallest of them, or has come before in the document itself. So is a window, unless it overlaps
+    its copy; one that runs of chunks hold at most in part is joined with what it touches."""
+    digests, out, n, k, at = c.digest.tolist(), [], len(c.digest), 0, 0
     own: set[int] = set()
     while k < n:
         j, words, seen = k, 0, Counter()
@@ -125,12 +158,46 @@ def runs(c: Chunks, doc: int | None, earlier: dict[int, int], min_words: int) ->
             seen[doc if first is None else first] += 1
             own.add(digests[j])
             j += 1
-        if words >= min_words:
-            most = min(seen, key=lambda d: (-seen[d], d))
-            out.append((int(c.start[k]), int(c.end[j - 1]), int(c.follow[j - 1]), words, most))
+        if words >= how.min_words:
+            out.append((at, at + words, seen))
         if j < n:
             own.add(digests[j])
+            words += int(c.words[j])
+        at += words
         k = j + 1
+    out = _with_windows(out, c, doc, earlier, how) if len(c.window) else out
+    follow = lambda stop: int(c.first[stop]) if stop < len(c.first) else int(c.follow[-1])
+    return [
+        (int(c.first[a]), int(c.last[b - 1]), follow(b), b - a, min(seen, key=lambda d: (-seen[d], d))) for a, b, seen in out
+    ]
+
+
+def _with_windows(found: list, c: Chunks, doc: int | None, earlier: dict[int, int], how: Chunking) -> list:
+    """``found``, (first word, word after the last, Counter of first documents), and the repeated windows that it misses."""
+    own: dict[int, int] = {}
+    missed, k = [], 0
+    for a, digest in zip(c.window.tolist(), c.window_digest.tolist(), strict=True):
+        b = a + how.passage
+        first = earlier.get(digest)
+        if first is None and own.setdefault(digest, a) + how.passage > a:
+            continue
+        while k < len(found) and found[k][1] <= a:
+            k += 1
+        held = 0
+        for x, y, _ in found[k:]:
+            if x >= b:
+                break
+            held += min(b, y) - max(a, x)
+        if held < how.min_words:
+            missed.append((a, b, Counter([doc if first is None else first])))
+    if not missed:
+        return found
+    out: list = []
+    for a, b, seen in sorted([*found, *missed], key=lambda x: x[:2]):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]), out[-1][2] + seen)
+        else:
+            out.append((a, b, seen))
     return out
 
 
@@ -138,7 +205,7 @@ def _found(doc: int | None, text: str | None, repeated: list | None, how: Chunki
     raw = (text or "").encode("utf-8", "surrogatepass")
     if doc is None or (c := chunk(raw, how)) is None:
         return raw, []
-    return raw, runs(c, doc, {r["digest"]: r["first"] for r in repeated or ()}, how.min_words)
+    return raw, runs(c, doc, {r["digest"]: r["first"] for r in repeated or ()}, how)
 
 
 def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", how: Chunking | None = None) -> DataFrame:

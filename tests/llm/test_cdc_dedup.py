@@ -116,3 +116,39 @@ def test_rows_that_repeat_an_id_and_empty_tables(spark):
     assert [r["text"] for r in got.where("doc_id is null").collect()] == [text]
     empty = frame(spark, rows).limit(0)
     assert D.cut(empty).count() == 0 and D.spans(empty).count() == 0
+
+
+def test_no_passage_of_over_fifty_words_is_lost():
+    rng = np.random.default_rng(21)
+    lost_by_chunks = 0
+    for i in range(3000):
+        p = prose(rng, int(rng.integers(51, 61)))
+        a = D.chunk(f"{prose(rng, 30)} {p} {prose(rng, 20)}".encode(), HOW)
+        text = f"{prose(rng, int(rng.integers(0, 40)))} {p} {prose(rng, 9)}".encode()
+        b = D.chunk(text, HOW)
+        found = D.runs(b, 2, dict.fromkeys([*a.digest.tolist(), *a.window_digest.tolist()], 1), HOW)
+        at = text.index(p.encode())
+        assert len(found) == 1 and found[0][3] >= HOW.min_words and found[0][4] == 1, (i, p)
+        assert found[0][0] < at + len(p.encode()) and found[0][1] > at
+        shared = set(a.digest.tolist())
+        run = longest = 0
+        for n, d in zip(b.words.tolist(), b.digest.tolist(), strict=True):
+            run = run + n if d in shared else 0
+            longest = max(longest, run)
+        lost_by_chunks += longest < HOW.min_words
+    assert lost_by_chunks > 50
+
+
+def test_a_passage_without_a_run_of_chunks_is_found_whole(spark):
+    rng = np.random.default_rng(22)
+    while True:
+        p = prose(rng, 51)
+        if len(D.chunk(p.encode(), HOW).window):
+            break
+    rows = [(i, f"{prose(rng, 60)} {p} {prose(rng, 60)}") for i in (1, 2)]
+    rows += [(3, p), (4, prose(rng, 300))]
+    got = sorted(D.spans(frame(spark, rows)).collect(), key=lambda r: r["doc_id"])
+    assert [(r["doc_id"], r["n_words"], r["first_id"], r["passage"]) for r in got] == [(i, 51, 1, p) for i in (2, 3)]
+    twice = f"{prose(rng, 60)} {p} {prose(rng, 60)} {p} {prose(rng, 60)}"
+    got = D.spans(frame(spark, [(7, twice)])).collect()
+    assert [(r["n_words"], r["first_id"], r["start"]) for r in got] == [(51, 7, len(twice[: twice.rindex(p)].encode()))]
