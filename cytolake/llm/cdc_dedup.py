@@ -183,11 +183,10 @@ def _with_windows(found: list, c: Chunks, doc: int | None, earlier: dict[int, in
             continue
         while k < len(found) and found[k][1] <= a:
             k += 1
-        held = 0
-        for x, y, _ in found[k:]:
-            if x >= b:
-                break
-            held += min(b, y) - max(a, x)
+        held, j = 0, k
+        while j < len(found) and found[j][0] < b:
+            held += min(b, found[j][1]) - max(a, found[j][0])
+            j += 1
         if held < how.min_words:
             missed.append((a, b, Counter([doc if first is None else first])))
     if not missed:
