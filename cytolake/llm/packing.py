@@ -27,7 +27,8 @@ from tokenizers import Tokenizer
 
 from .common import power_of_two, save
 
-#: More sources than this share queues by hash, so the schedule that tasks get stays small.
+#: With more sources than this, the weighted ones, or without weights as many of the largest, keep queues of their own;
+#: the others share queues by hash, so the schedule that tasks get stays small.
 MAX_QUEUES = 4096
 _BLOCK_ROWS = 4096
 
@@ -234,6 +235,10 @@ def pack(
     Each id lies in one piece; all sequences but the last are full, so at most
     ``length - 1`` tokens of padding are needed in all. ``weights``: target proportions
     by source (default: the sources' shares); null sources are one queue of their own.
+    A given weight holds at any number of sources, though the schedule grows with the square
+    of the number of weights. Limit: of more than ``MAX_QUEUES`` sources, those without a weight
+    (without ``weights``, those below the ``MAX_QUEUES`` largest) share as many hashed queues
+    and keep the share of these, not each its own, in a window.
     Rows that repeat an id are documents of their own. In a queue documents follow a
     hash of their place in the table, which spreads any key evenly. Other columns are ignored.
     """
@@ -246,11 +251,18 @@ def pack(
     )
     kinds = "_uid long, _doc long, _queue string, _n long, _ids binary"
     tokens = save(src.mapInArrow(_tokenize(tokenizer, pattern, eos), kinds), "tokens")
+    queue, named = F.coalesce(F.concat(F.lit("="), "_queue"), F.lit("null")), tokens
     if tokens.select("_queue").distinct().limit(MAX_QUEUES + 1).count() > MAX_QUEUES:
-        queue = F.concat(F.lit("#"), F.pmod(F.xxhash64("_queue"), F.lit(MAX_QUEUES)).cast("string"))
-    else:
-        queue = F.coalesce(F.concat(F.lit("="), "_queue"), F.lit("null"))
-    named = tokens.withColumn("_q", queue)
+        if weights is not None:
+            own = spark.createDataFrame([(k,) for k in weights], "_source string")
+        else:
+            sizes = tokens.groupBy(F.col("_queue").alias("_source")).agg(F.sum("_n").alias("_n"))
+            own = sizes.orderBy(F.desc("_n"), "_source").limit(MAX_QUEUES).select("_source")
+        own = F.broadcast(own.withColumn("_own", F.lit(True)))
+        named = tokens.join(own, F.col("_queue").eqNullSafe(F.col("_source")), "left")
+        shared = F.concat(F.lit("#"), F.pmod(F.xxhash64("_queue"), F.lit(MAX_QUEUES)).cast("string"))
+        queue = F.when(F.col("_own"), queue).otherwise(shared)
+    named = named.withColumn("_q", queue)
     sums = {r["_q"]: (r["n"], r["c"]) for r in named.groupBy("_q").agg(F.sum("_n").alias("n"), F.count("*").alias("c")).collect()}
     if weights is not None:
         weights = {f"={k}" if k is not None else "null": float(v) for k, v in weights.items()}

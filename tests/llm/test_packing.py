@@ -130,3 +130,14 @@ def test_query_digest(spark, tmp_path):
     for r in got:
         part = np.array(ids[r["doc_id"]][r["start"] : r["start"] + r["length"]], "<u4").tobytes()
         assert r["ids_crc32"] == zlib.crc32(part)
+
+
+def test_a_weight_holds_with_more_sources_than_queues(spark, monkeypatch):
+    monkeypatch.setattr(packing, "MAX_QUEUES", 4)
+    rows = [(i, "one two three four five " * 4, ("a", "b")[i % 2] if i < 80 else f"s{i}") for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for weights, share in (({"a": 3.0, "b": 1.0}, 0.75), (None, 1 / 3)):
+        got = packing.pack(df, PATH, P.PATTERN, length=16, window_sequences=4, weights=weights).collect()
+        head = [r for r in got if r["sequence_id"] < 4 * 6]
+        assert sum(r["length"] for r in head) == 16 * 24
+        assert abs(sum(r["length"] for r in head if r["source"] == "a") - share * 16 * 24) <= 2
