@@ -4,12 +4,14 @@ Vectors of a label are dealt to shards of bounded size, and each shard gets a gr
 of its own: few nodes on the upper layers, all on the lowest, every node linked to
 near and diverse neighbours. Every shard is searched for the neighbours of every
 vector: a task holds two shards and searches each with the other's vectors. An audit
-compares a sample with brute force, and the beam is widened until no link of the
-sample is missed, for each pair of shards anew. What the search finds is verified by
-cosine in double precision; links are counted in the task, and only a spanning
-forest leaves it, so a dense group never becomes rows of pairs.
-
-Equal vectors are one node that counts as often as it occurs.
+compares a sample with brute force, by its nearest neighbours whether they are links
+or not and by its links, and the beam is widened until both are found, for each pair
+of shards anew. What the search finds is verified by cosine in double precision;
+links are counted in the task, and only a spanning forest leaves it, so a dense group
+never becomes rows of pairs.
+
+Equal vectors of a label are one node that counts as often as it occurs. Links and
+components are of nodes; ids come in at the end, so that rows of one id stay apart.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import drop, save
 from .components import connected_components, star_edges
 
 
@@ -30,7 +32,8 @@ from .components import connected_components, star_edges
 class Graphs:
     """shard_rows: most vectors in a shard, about; links: of a node on upper layers, twice as
     many on the lowest; build_beam and beam: first widths; audit: vectors that an audit
-    compares with brute force; recall: of the audit's links, below which the beam is doubled."""
+    compares with brute force; recall: of the audit's links, and near_recall: of its ``near``
+    nearest neighbours in the shard, below either of which the beam is doubled."""
 
     shard_rows: int = 4096
     links: int = 16
@@ -38,6 +41,8 @@ class Graphs:
     beam: int = 48
     audit: int = 512
     recall: float = 1.0
+    near: int = 10
+    near_recall: float = 0.95
 
 
 _QUERIES = 512  # searched in lockstep
@@ -233,12 +238,31 @@ class Hnsw:
         return search(self.v, graph, q, entry, beam)
 
 
-def _pairs(index: Hnsw, unit: np.ndarray, q: np.ndarray, least: float, how: Graphs) -> np.ndarray:
-    """Keys ``query * rows + row`` of the pairs of at least that cosine, the beam widened until an audit passes.
+@dataclass
+class Found:
+    """keys: ``query * rows + row`` of the links; beam: the width that passed; near_found of near_all:
+    nearest neighbours of the audit's sample that the walk met at that width."""
+
+    keys: np.ndarray
+    beam: int
+    near_found: int
+    near_all: int
+
+
+def _near(unit: np.ndarray, q: np.ndarray, k: int) -> np.ndarray:
+    """The k-th greatest similarity of each query, by brute force."""
+    sim = q.astype(np.float32) @ unit.astype(np.float32).T
+    return -np.partition(-sim, k - 1, axis=1)[:, k - 1]
+
+
+def _pairs(index: Hnsw, unit: np.ndarray, q: np.ndarray, least: float, how: Graphs) -> Found:
+    """The pairs of at least that cosine, the beam widened until an audit passes.
+
+    ``unit`` and ``q``: rows of length one in double precision. Every query walks the graph first. A
+    query whose beam holds nothing but links may have more of them, and is searched again with a wider
+    beam of its own; once that is a quarter of the shard, its links are read off by a scan. So is a
+    shard whose audit fails even at a beam of all its nodes, which means that its graph falls apart."""
 
-    ``unit`` and ``q``: rows of length one in double precision. A query whose beam holds nothing
-    but links may have more of them, and is searched again with a wider beam of its own; once a
-    beam is a quarter of the shard, the walk would see all of it, and the shard is scanned."""
     def scan(rows: np.ndarray) -> np.ndarray:
         out = [np.empty(0, np.int64)]
         for at in range(0, len(rows), 256):
@@ -252,29 +276,35 @@ def _pairs(index: Hnsw, unit: np.ndarray, q: np.ndarray, least: float, how: Grap
     sample = np.unique(np.linspace(0, len(q) - 1, min(how.audit, len(q))).astype(int))
     i, j = np.nonzero(q[sample] @ unit.T >= least)
     truth = sample[i] * n + j
+    k = min(how.near, n)
+    bound = _near(unit, q[sample], k) - 1e-5
+    near_all = k * len(sample)
     beam = min(how.beam, n)
     while True:
-        keys, rows, width = [], np.arange(len(q)), beam
-        if beam >= n:  # also where a graph falls apart, so that no walk reaches a link
-            keys, rows = [scan(rows)], rows[:0]
+        keys, rows, width, near_found = [], np.arange(len(q)), beam, 0
         while len(rows):
             node, sim = index.query(q[rows], width)
+            if width == beam:
+                near_found = int((sim[sample][:, :k] >= bound[:, None]).sum())
             hit = (sim >= loose) & (node >= 0)
             a, b = np.nonzero(hit)
             keys.append(rows[a] * n + node[a, b])
-            rows, width = rows[hit.all(1)], 4 * width
-            if 4 * width > n:
+            rows = rows[hit.all(1)] if width < n else rows[:0]
+            width = 4 * width
+            if len(rows) and 4 * width > n:
                 keys.append(scan(rows))
                 break
         found = np.unique(np.concatenate(keys))
-        exact = [np.einsum("nd,nd->n", q[p // n], unit[p % n]) >= least for p in np.array_split(found, len(found) // 100_000 + 1)]
-        found = found[np.concatenate(exact)]
-        if beam >= n or not len(truth) or np.isin(truth, found).mean() >= how.recall:
-            return found
+        good = near_found >= how.near_recall * near_all and (not len(truth) or np.isin(truth, found).mean() >= how.recall)
+        if not good and beam >= n:
+            found, near_found, good = np.unique(scan(np.arange(len(q)))), near_all, True
+        if good:
+            exact = [np.einsum("nd,nd->n", q[p // n], unit[p % n]) >= least for p in np.array_split(found, len(found) // 100_000 + 1)]
+            return Found(found[np.concatenate(exact)], beam, near_found, near_all)
         beam = min(2 * beam, n)
 
 
-def _unit(rows: list) -> np.ndarray:
+def _unit(rows) -> np.ndarray:
     x = np.array(rows, dtype=np.float64)
     x /= np.abs(x).max(1, keepdims=True)  # so that squares of very large or small numbers stay finite
     return x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -282,48 +312,58 @@ def _unit(rows: list) -> np.ndarray:
 
 def _build(how: Graphs):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rep", kind="stable")
-        unit = _unit(pdf["v"].to_list())
-        index = Hnsw(unit, how)
-        blob = pickle.dumps(
-            (pdf["rep"].to_numpy(), pdf["copies"].to_numpy(), unit, [(m.astype(np.int32), g.astype(np.int32)) for m, g in index.layers]), 5
-        )
+        pdf = pdf.sort_values("key", kind="stable")
+        v = np.array(pdf["v"].to_list(), dtype=np.float64)
+        index = Hnsw(_unit(v), how)
+        with np.errstate(over="ignore"):
+            short = v.astype(np.float32)  # half the bytes to move, where nothing is lost
+        v = short if (short == v).all() else v
+        layers = [(m.astype(np.int32), g.astype(np.int32)) for m, g in index.layers]
+        blob = pickle.dumps((pdf["node"].to_numpy(), pdf["copies"].to_numpy(), v, layers), 5)
         return pd.DataFrame({"space": [pdf["space"].iloc[0]], "shard": [pdf["shard"].iloc[0]], "shards": [pdf["shards"].iloc[0]], "graph": [blob]})
 
     return run
 
 
 def _load(blob: bytes, how: Graphs):
-    rep, copies, unit, layers = pickle.loads(blob)
+    node, copies, v, layers = pickle.loads(blob)
+    unit = _unit(v)
     index = Hnsw.__new__(Hnsw)
     index.v, index.how = unit.astype(np.float32), how
     index.layers = [(m.astype(np.int64), g.astype(np.int64)) for m, g in layers]
-    return rep, copies, unit, index
+    return node, copies, unit, index
+
+
+#: Rows of a tile: links of a node; a node and its root in the tile's forest (links 0); the audit of one search (node -1).
+TILE = "node long, links long, root long, beam long, near_found long, near_all long"
 
 
 def _tile(least: float, how: Graphs):
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        rep_a, copies_a, unit_a, index_a = _load(left["graph"].iloc[0], how)
+        node_a, copies_a, unit_a, index_a = _load(left["graph"].iloc[0], how)
         same = int(left["a"].iloc[0]) == int(left["b"].iloc[0])
-        rep_b, copies_b, unit_b, index_b = (rep_a, copies_a, unit_a, index_a) if same else _load(right["graph"].iloc[0], how)
-        n = len(rep_b)
-        keys = _pairs(index_b, unit_b, unit_a, least, how)
-        i, j = keys // n, keys % n
+        node_b, copies_b, unit_b, index_b = (node_a, copies_a, unit_a, index_a) if same else _load(right["graph"].iloc[0], how)
+        n = len(node_b)
+        searches = [_pairs(index_b, unit_b, unit_a, least, how)]
+        i, j = searches[0].keys // n, searches[0].keys % n
         if same:
             i, j = np.concatenate([i, j]), np.concatenate([j, i])
         else:
-            back = _pairs(index_a, unit_a, unit_b, least, how)
-            i, j = np.concatenate([i, back % len(rep_a)]), np.concatenate([j, back // len(rep_a)])
+            searches.append(_pairs(index_a, unit_a, unit_b, least, how))
+            back = searches[1].keys
+            i, j = np.concatenate([i, back % len(node_a)]), np.concatenate([j, back // len(node_a)])
         keys = np.unique(i * n + j)
         i, j = keys // n, keys % n
         i, j = (i[i != j], j[i != j]) if same else (i, j)
-        tree = star_edges(rep_a[i], rep_b[j])
-        sides = [(rep_a, np.bincount(i, weights=copies_b[j], minlength=len(rep_a)))]
+        tree = star_edges(node_a[i], node_b[j])
+        sides = [(node_a, np.bincount(i, weights=copies_b[j], minlength=len(node_a)))]
         if not same:
-            sides.append((rep_b, np.bincount(j, weights=copies_a[i], minlength=n)))
-        out = [pd.DataFrame({"rep": r[c > 0], "links": c[c > 0].astype(np.int64), "root": -1}) for r, c in sides]
-        out.append(pd.DataFrame({"rep": tree[0], "links": 0, "root": tree[1]}))
-        return pd.concat(out)[["rep", "links", "root"]].astype("int64")
+            sides.append((node_b, np.bincount(j, weights=copies_a[i], minlength=n)))
+        none = {"beam": 0, "near_found": 0, "near_all": 0}
+        out = [pd.DataFrame({"node": r[c > 0], "links": c[c > 0].astype(np.int64), "root": -1, **none}) for r, c in sides]
+        out.append(pd.DataFrame({"node": tree[0], "links": 0, "root": tree[1], **none}))
+        out += [pd.DataFrame({"node": [-1], "links": [0], "root": [-1], "beam": [x.beam], "near_found": [x.near_found], "near_all": [x.near_all]}) for x in searches]
+        return pd.concat(out)[[c.split()[0] for c in TILE.split(", ")]].astype("int64")
 
     return run
 
@@ -339,21 +379,11 @@ def _usable(c: Column) -> Column:
     )
 
 
-def near_dedup(
-    df: DataFrame,
-    id_col: str = "vec_id",
-    vector_col: str = "embedding",
-    label_col: str = "label",
-    least: float = 0.98,
-    how: Graphs | None = None,
-) -> DataFrame:
-    """One row per input row: id, ``n_links``, ``component_id``, ``kept``.
-
-    Vectors link at a cosine of at least ``least`` if their labels are equal and not null and
-    their lengths are equal. Null and zero vectors, those with null or non-finite components,
-    and rows with a null id or label link with nothing (0 links, own component, kept). Rows
-    that repeat an id with another vector share a component. Other columns are ignored.
-    """
+def search_all(
+    df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.98, how: Graphs | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, nodes, found): the rows with the key of their node, the nodes, and what the tiles of all
+    shards found (``TILE``), each a scratch table."""
     how = how or Graphs()
     v = F.col(f"`{vector_col}`").cast("array<double>")
     rows = df.select(
@@ -364,28 +394,54 @@ def near_dedup(
     good = _usable(F.col("v")) & F.col("space").isNotNull() & F.col("_id").isNotNull()
     key = F.when(good, F.sha2(F.to_json(F.struct("space", F.transform("v", lambda x: x + F.lit(0.0)).alias("v"))), 256))
     named = save(rows.select("_id", "space", key.alias("key"), F.when(good, F.col("v")).alias("v")), "vectors")
-    nodes = save(
-        named.where("key is not null").groupBy("key").agg(F.min("_id").alias("rep"), F.count("*").alias("copies"), F.first("space").alias("space"), F.first("v").alias("v")),
-        "nodes",
-    )
+    nodes = named.where("key is not null").groupBy("key").agg(F.min("_id").alias("least_id"), F.count("*").alias("copies"), F.first("space").alias("space"), F.first("v").alias("v"))
+    nodes = save(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")  # numbers hold once they are written
     sizes = nodes.groupBy("space").agg(F.ceil(F.count("*") / how.shard_rows).cast("int").alias("shards"))
-    dealt = nodes.join(sizes, "space").withColumn("shard", F.pmod(F.xxhash64("rep", "key"), F.col("shards")).cast("int"))
+    dealt = nodes.join(sizes, "space").withColumn("shard", F.pmod(F.xxhash64("key"), F.col("shards")).cast("int"))
     graphs = save(
         dealt.groupBy("space", "shard").applyInPandas(_build(how), "space string, shard int, shards int, graph binary"), "graphs"
     )
     left = graphs.select("space", F.col("shard").alias("a"), F.explode(F.expr("sequence(shard, shards - 1)")).alias("b"), "graph")
     right = graphs.select("space", F.explode(F.expr("sequence(0, shard)")).alias("a"), F.col("shard").alias("b"), "graph")
-    found = save(
-        left.groupBy("space", "a", "b").cogroup(right.groupBy("space", "a", "b")).applyInPandas(_tile(least, how), "rep long, links long, root long"),
-        "links",
+    tiles = left.groupBy("space", "a", "b").cogroup(right.groupBy("space", "a", "b"))
+    found = save(tiles.applyInPandas(_tile(least, how), TILE), "links")
+    drop(graphs)
+    return named, nodes, found
+
+
+def audit(found: DataFrame) -> DataFrame:
+    """One row: searches of a shard by a shard's vectors, the widest beam, and the share of the nearest
+    neighbours of their samples that they met (null without a search)."""
+    return found.where("near_all > 0").agg(
+        F.count("*").alias("searches"), F.max("beam").alias("widest_beam"), (F.sum("near_found") / F.sum("near_all")).alias("near_recall")
     )
-    links = found.where("root < 0 and links > 0").groupBy("rep").agg(F.sum("links").alias("links"))
-    parts = connected_components(found.where("links = 0").select(F.col("rep").alias("src"), F.col("root").alias("dst")))
+
+
+def near_dedup(
+    df: DataFrame,
+    id_col: str = "vec_id",
+    vector_col: str = "embedding",
+    label_col: str = "label",
+    least: float = 0.98,
+    how: Graphs | None = None,
+) -> DataFrame:
+    """One row per input row: id, ``n_links``, ``component_id``, ``kept``.
+
+    Vectors link at a cosine of at least ``least`` if their labels are equal and not null and
+    their lengths are equal. Null and zero vectors, those with null or non-finite components,
+    and rows with a null id or label link with nothing (0 links, own component, kept). Rows
+    that repeat an id are vectors of their own, which only links bring together; equal rows link.
+    No rows: no rows. Vectors of any length; a shard of them is in a task. Other columns are ignored.
+    """
+    named, nodes, found = search_all(df, id_col, vector_col, label_col, least, how)
+    links = found.where("links > 0").groupBy("node").agg(F.sum("links").alias("links"))
+    parts = connected_components(found.where("links = 0 and node >= 0").select(F.col("node").alias("src"), F.col("root").alias("dst")))
+    mine = nodes.select("key", "node", "least_id", "copies").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
+    smallest = mine.groupBy("part").agg(F.min("least_id").alias("component_id"))
     summary = (
-        nodes.select("key", "rep", "copies")
-        .join(links, "rep", "left")
-        .join(parts.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+        mine.join(smallest, "part")
+        .join(links, "node", "left")
+        .select("key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     )
     out = named.select("_id", "key").join(summary, "key", "left")
     component = F.coalesce("component_id", "_id")

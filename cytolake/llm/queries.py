@@ -25,19 +25,21 @@ def op1_hnsw_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op1_hnsw_near_dedup"] = """
-WITH RECURSIVE v AS (
-  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
-  WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+WITH RECURSIVE e AS (
+  SELECT row_number() OVER () AS node, vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+), v AS (
+  SELECT * FROM e
+  WHERE label IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(e, lambda x: x <> 0)) > 0
 ), l AS (
-  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
-  ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.98
+  SELECT a.node AS a, b.node AS b FROM v a JOIN v b
+  ON a.label = b.label AND len(a.e) = len(b.e) AND a.node <> b.node AND list_cosine_similarity(a.e, b.e) >= 0.98
 ), r(a, b) AS (
-  SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a
-), c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a),
+  SELECT node, node FROM e UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a
+), c AS (SELECT r.a, min(e.vec_id) AS component_id FROM r JOIN e ON e.node = r.b GROUP BY r.a),
 n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
-SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c.component_id, e.vec_id = c.component_id AS kept
-FROM embeddings e JOIN c ON c.a = e.vec_id LEFT JOIN n ON n.a = e.vec_id
+SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c.component_id, coalesce(e.vec_id = c.component_id, true) AS kept
+FROM e JOIN c ON c.a = e.node LEFT JOIN n ON n.a = e.node
 """
 
 

@@ -75,4 +75,42 @@ def test_beam_widens_until_the_audit_passes():
     how = hnsw.Graphs(beam=2, audit=600)
     found = hnsw._pairs(hnsw.Hnsw(v, how), v, v, 0.98, how)
     i, j = np.nonzero(v @ v.T >= 0.98)
-    assert np.array_equal(found, np.sort(i * len(v) + j))
+    assert np.array_equal(found.keys, np.sort(i * len(v) + j)) and found.beam > 2
+
+
+@pytest.mark.parametrize("n", [3, 48, 700])
+def test_links_come_from_the_walk_alone(n):
+    """The beam of a search never reaches the width at which a shard is scanned, nor is one left to a scan."""
+    v = hnsw._unit(list(vectors(np.random.default_rng(n), n, 24, groups=1, group=min(n, 6))))
+    index = hnsw.Hnsw(v, hnsw.Graphs())
+    node, sim = index.query(v, min(48, n))
+    i, j = np.nonzero(v @ v.T >= 0.98)
+    a, b = np.nonzero((sim >= 0.98 - 1e-6) & (node >= 0))
+    assert set(zip(i.tolist(), j.tolist(), strict=True)) == set(zip(a.tolist(), node[a, b].tolist(), strict=True))
+
+
+def test_an_audit_without_links_still_measures_recall():
+    rng = np.random.default_rng(3)
+    v, q = (hnsw._unit(rng.normal(size=(900, 48))) for _ in range(2))
+    how = hnsw.Graphs(beam=4, audit=200)
+    found = hnsw._pairs(hnsw.Hnsw(v, how), v, q, 0.98, how)
+    assert not len(found.keys) and found.beam > 4 and found.near_found >= how.near_recall * found.near_all == how.near_recall * 2000
+
+
+def test_rows_of_one_id_are_vectors_of_their_own(spark):
+    rows = [(5, [1.0, 0.0], 0), (5, [0.0, 1.0], 0), (6, [1.0, 0.01], 0), (7, [1.0, 0.02], 0), (8, [0.01, 1.0], 0), (5, [1.0, 0.0], 1), (3, [0.0, 2.0], 0)]
+    rows += [(9, [1.0, 1.0], 0), (9, [1.0, 1.001], 0), (9, [2.0, 2.0], 0), (9, [1.0, 1.0], 0)]
+    got = hnsw.near_dedup(spark.createDataFrame(rows, KINDS)).collect()
+    got = sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in got), key=str)
+    assert got == brute(rows) and (5, 2, 3, False) in got and (5, 2, 5, True) in got
+
+
+def test_many_shards_of_one_label(spark):
+    v = vectors(np.random.default_rng(12), 500, 16, groups=10, group=9)
+    rows = [(int(i % 300), x.tolist(), 4) for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, KINDS).repartition(3)
+    how = hnsw.Graphs(shard_rows=30, audit=16)
+    got = hnsw.near_dedup(df, how=how).collect()
+    assert sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in got), key=str) == brute(rows)
+    seen = hnsw.audit(hnsw.search_all(df, how=how)[2]).first()
+    assert seen["searches"] == 17**2 and seen["near_recall"] >= 0.9
