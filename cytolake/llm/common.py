@@ -67,6 +67,7 @@ def unsigned32(c: Column) -> Column:
     return c.bitwiseAND(F.lit(0xFFFFFFFF))
 
 
-def power_of_two(rows: int, per_block: int) -> int:
-    """Blocks, as a power of two, so that each holds about ``per_block`` rows."""
-    return 1 << max(0, (max(rows, 1) // per_block).bit_length())
+def root_bits(rows: int) -> int:
+    """Bits of a hash that make about as many blocks as each has rows: sums over rows in a block, and
+    over blocks, are then both of the square root of the rows, whatever their number."""
+    return max(rows, 1).bit_length() // 2

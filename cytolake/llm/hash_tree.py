@@ -17,11 +17,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import power_of_two, unsigned32
+from .common import root_bits, unsigned32
 
 #: Hexadecimal digits of an MD5 that a draw uses: 52 bits, which a double holds.
 _DIGITS = 13
-_BLOCK_ROWS = 4096
 
 
 @dataclass(frozen=True)
@@ -88,11 +87,12 @@ def assign(df: DataFrame, tree: Tree | None = None, id_col: str = "doc_id", text
     plus one and ``text_crc32`` their CRC; null text counts as empty. Null ids share one
     key. ``slot`` runs from 0 without gaps in each shard, in the order of a hash of the
     id, then id, size and CRC; equal rows are one group until slots are dealt, so a
-    row that repeats very often is one row in every shuffle. Other columns are ignored.
+    row that repeats very often is one row in every shuffle. Texts of any length; no rows: no rows.
+    Slots are summed up in two levels, within blocks of the hash and over a shard's blocks, each of
+    about the square root of the rows. Other columns are ignored.
     """
     tree = tree or Tree.balanced()
-    rows = df.count()
-    bits = power_of_two(rows, _BLOCK_ROWS).bit_length() - 1
+    bits = root_bits(df.count())
     id_ = F.col(f"`{id_col}`").cast("long")
     key = F.coalesce(F.col("_id").cast("string"), F.lit("null"))
     order = F.conv(F.substring(F.md5(key), 1, _DIGITS), 16, 10).cast("long")

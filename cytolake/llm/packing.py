@@ -1,14 +1,17 @@
 """Mixture-controlled packing by deficit round-robin over source queues.
 
 Every source is a queue of tokens. A window is a run of sequences; in each one the
-round-robin gives every queue its quantum (its target share of the window) plus the
+round-robin gives every queue its quantum (its target share of the window) on top of the
 deficit that it carries, serves whole tokens and carries the rest on. Since token
-streams may be cut anywhere, a deficit never exceeds one token, and what a queue has
-been served by the end of any window has a closed form. So a partition needs no
-state from the one before it: it knows the deficits at its first window, whichever
-that is, and all partitions together fill each window to the target proportions.
-
-A queue that runs dry ends a phase; the next one shares among the queues left.
+streams may be cut anywhere, a deficit stays below one token, and what a queue has
+been served by the end of any window has a closed form, which tests hold against the
+round-robin taken literally. So a partition needs no state from the one before it: it
+knows the deficits at its first window, whichever that is, and all partitions
+together fill each window to the target proportions.
+
+A queue that runs dry ends a phase; the next one shares among the queues left. Queues
+to which a phase owes less than one token a window, which no window can hold in
+proportion, are served one after another as one lane.
 """
 
 from __future__ import annotations
@@ -21,16 +24,12 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import tiktoken
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import power_of_two, save
-
-#: With more sources than this, the weighted ones, or without weights as many of the largest, keep queues of their own;
-#: the others share queues by hash, so the schedule that tasks get stays small.
-MAX_QUEUES = 4096
-_BLOCK_ROWS = 4096
+from .common import root_bits, save
 
 
 # --- tokens -----------------------------------------------------------------
@@ -98,26 +97,33 @@ def encoder(path: str, pattern: str) -> Encoder:
 
 
 def _tokenize(path: str, pattern: str, eos: int):
+    """Rows (doc, queue, text) to (doc, queue, partition, tokens of the queue before it in the partition, tokens, ids)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, pattern)
-        names = ["_uid", "_doc", "_queue", "_n", "_ids"]
+        enc, part, seen = encoder(path, pattern), TaskContext.get().partitionId(), {}
+        names = ["_doc", "_queue", "_part", "_before", "_n", "_ids"]
 
-        def out(keys, counts, ids):
-            made = [*(k.slice(0, len(ids)) for k in keys), pa.array(counts, pa.int64()), pa.array(ids, pa.binary())]
-            return pa.RecordBatch.from_arrays(made, names)
+        def out(doc, queue, before, counts, ids):
+            n = len(ids)
+            made = [pa.array([part] * n, pa.int64()), pa.array(before, pa.int64()), pa.array(counts, pa.int64()), pa.array(ids, pa.binary())]
+            return pa.RecordBatch.from_arrays([doc.slice(0, n), queue.slice(0, n), *made], names)
 
         for b in batches:
-            text, counts, ids, size, first = b.column(3), [], [], 0, 0
-            for i in range(b.num_rows):
+            queues, text = b.column(1).to_pylist(), b.column(2)
+            before, counts, ids, size, first = [], [], [], 0, 0
+            for i, queue in enumerate(queues):
                 made = np.array([*enc(text[i].as_py() or ""), eos], dtype=enc.width).tobytes()
-                counts.append(len(made) // int(enc.width[-1]))
+                n = len(made) // int(enc.width[-1])
+                before.append(seen.get(queue, 0))
+                seen[queue] = before[-1] + n
+                counts.append(n)
                 ids.append(made)
                 size += len(made)
                 if size > 1 << 22:
-                    yield out([b.column(c).slice(first) for c in range(3)], counts, ids)
-                    counts, ids, size, first = [], [], 0, i + 1
+                    yield out(b.column(0).slice(first), b.column(1).slice(first), before, counts, ids)
+                    before, counts, ids, size, first = [], [], [], 0, i + 1
             if ids:
-                yield out([b.column(c).slice(first) for c in range(3)], counts, ids)
+                yield out(b.column(0).slice(first), b.column(1).slice(first), before, counts, ids)
 
     return run
 
@@ -126,57 +132,75 @@ def _tokenize(path: str, pattern: str, eos: int):
 
 
 @dataclass(frozen=True)
-class Phase:
-    """A stretch in which the same queues are served: ``start`` in the packed stream, its
-    ``total``, and for each queue what was served before and the running sum of quanta."""
+class Turn:
+    """A queue's part in a phase: the phase's ``start`` in the packed stream and its ``total``; what the
+    queue was served ``before`` and is served in it (``own``); its lane's quanta, summed over the lanes
+    ``below`` and its own (``lane``), and the queue's place in the lane (``at``)."""
 
     start: int
     total: int
-    served: dict[str, int]
-    below: dict[str, int]
-    quantum: dict[str, int]
+    before: int
+    own: int
+    below: int
+    lane: int
+    at: int
+
+
+TURN = "array<struct<start:bigint,total:bigint,before:bigint,own:bigint,below:bigint,lane:bigint,at:bigint>>"
+
+
+def lanes(own: dict[str, int], window: int) -> dict[str, tuple[int, int, int]]:
+    """(below, lane, at) of each queue of a phase that serves ``own`` tokens of it. The greatest come first; queues
+    with less than one token a window share the last lane, which a lane of one token a window or more must be."""
+    total = sum(own.values())
+    great = sorted((q for q in own if own[q] * window >= total), key=lambda q: (-own[q], q))
+    small = sorted(q for q in own if own[q] * window < total)
+    rest = sum(own[q] for q in small)
+    out, below = {}, 0
+    for q in great:
+        out[q] = (below, own[q], 0)
+        below += own[q]
+    low, lane, at = below, rest, 0
+    if small and rest * window < total:
+        low, lane, at = out[great[-1]][0], own[great[-1]] + rest, own[great[-1]]
+        out[great[-1]] = (low, lane, 0)
+    for q in small:
+        out[q] = (low, lane, at)
+        at += own[q]
+    return out
 
 
-def phases(totals: dict[str, int], weights: dict[str, float] | None = None) -> list[Phase]:
-    """Phases until all queues are empty. Without ``weights`` a queue's target is its share of
-    all tokens, so they run dry together. Queues without a weight, or with 0, come last."""
-    left, served, out, at = {q: n for q, n in sorted(totals.items()) if n}, dict.fromkeys(totals, 0), [], 0
+def turns(totals: dict[str, int], weights: dict[str, float], window: int, start: int = 0) -> dict[str, list[Turn]]:
+    """Each queue's turns until all queues are empty, each of which has a weight above 0."""
+    left, out, served, at = {q: n for q, n in totals.items() if n}, {q: [] for q in totals}, dict.fromkeys(totals, 0), start
     while left:
-        want = {q: (left[q] if weights is None else weights.get(q, 0)) for q in left}
-        active = [q for q in left if want[q] > 0] or list(left)
-        want = {q: want[q] or left[q] for q in active}
-        dry = min(active, key=lambda q: (left[q] / want[q], q))
-        part = {
-            q: left[q] if q == dry or weights is None else min(left[q], int(want[q] * left[dry] / want[dry]))
-            for q in active
-        }
-        below, run = {}, 0
-        for q, n in part.items():
-            below[q], run = run, run + n
-        out.append(Phase(at, run, dict(served), below, part))
-        at += run
-        for q, n in part.items():
+        dry = min(left, key=lambda q: (left[q] / weights[q], q))
+        own = {q: left[q] if q == dry else min(left[q], int(weights[q] * left[dry] / weights[dry])) for q in left}
+        own = {q: n for q, n in own.items() if n}
+        total = sum(own.values())
+        for q, lane in lanes(own, window).items():
+            out[q].append(Turn(at, total, served[q], own[q], *lane))
+        at += total
+        for q, n in own.items():
             served[q] += n
             left[q] -= n
         left = {q: n for q, n in left.items() if n}
     return out
 
 
-def pieces(schedule: list[Phase], queue: str, first: int, n: int, length: int, window: int) -> Iterator[tuple[int, int, int]]:
+def pieces(own_turns: list[Turn], first: int, n: int, length: int, window: int) -> Iterator[tuple[int, int, int]]:
     """(start in the queue, tokens, place in the packed stream) of tokens ``first`` to ``first + n`` of a queue.
 
-    At x tokens into a phase, queue q has been served ``x * (below + quantum) // total -
-    x * below // total``: its quantum times x, within one token, and all queues sum to x.
+    At x tokens into a phase, a lane has been served ``x * (below + lane) // total - x * below // total``: its
+    quantum times x, within one token, and all lanes sum to x. With one token a window or more it never falls.
     """
     end = first + n
-    for ph in schedule:
-        own = ph.quantum.get(queue, 0)
-        base = ph.served.get(queue, 0)
-        if not own or end <= base or first >= base + own:
+    for t in own_turns:
+        if end <= t.before or first >= t.before + t.own:
             continue
-        low, high, total = ph.below[queue], ph.below[queue] + own, ph.total
-        p, stop = max(first, base) - base, min(end, base + own) - base
-        w = max(0, p * total // own // window - 1)
+        low, high, total, shift = t.below, t.below + t.lane, t.total, t.at - t.before
+        p, stop = max(first, t.before) + shift, min(end, t.before + t.own) + shift
+        w = max(0, p * total // t.lane // window - 1)
         while p < stop:
             x0, x1 = min(w * window, total), min((w + 1) * window, total)
             low0, low1 = x0 * low // total, x1 * low // total
@@ -184,13 +208,13 @@ def pieces(schedule: list[Phase], queue: str, first: int, n: int, length: int, w
             if a1 <= p:
                 w += 1
                 continue
-            place = ph.start + x0 + (low1 - low0) + (p - a0)
+            place = t.start + x0 + (low1 - low0) + (p - a0)
             take = min(stop - p, a1 - p, length - place % length)
-            yield base + p, take, place
+            yield p - shift, take, place
             p += take
 
 
-def _cut(schedule: list[Phase], length: int, window: int):
+def _cut(length: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "source", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
         kinds = [pa.int64(), pa.string(), *[pa.int64()] * 5, pa.binary()]
@@ -202,20 +226,64 @@ def _cut(schedule: list[Phase], length: int, window: int):
 
         for b in batches:
             rows = []
-            for doc, queue, source, first, n, raw in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+            raws = b.column(4)
+            for k, (doc, source, first, n, own) in enumerate(zip(*(b.column(i).to_pylist() for i in (0, 1, 2, 3, 5)), strict=True)):
+                raw = raws[k].as_py()
                 ids = np.frombuffer(raw, dtype=f"<u{len(raw) // n}").astype("<u4")
-                for at, take, place in pieces(schedule, queue, first, len(ids), length, window):
+                for at, take, place in pieces([Turn(**t) for t in own], first, n, length, window):
                     i = at - first
-                    rows.append((doc, source, i, take, len(ids), place // length, place % length, ids[i : i + take].tobytes()))
-                if len(rows) >= 4000:
-                    yield out(rows)
-                    rows = []
+                    rows.append((doc, source, i, take, n, place // length, place % length, ids[i : i + take].tobytes()))
+                    if len(rows) >= 4000:
+                        yield out(rows)
+                        rows = []
             if rows:
                 yield out(rows)
 
     return run
 
 
+def _natural(totals: DataFrame, start: int, window: int) -> DataFrame:
+    """(_q, turns) of queues that share by their sizes, so in one phase, with the lanes of ``lanes``. A phase has at most
+    ``window`` lanes, which one task sums up; the queues of the last lane are summed up in two levels."""
+    size = totals.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n")).first()["n"]
+    bound = -(-size // window)
+    small, great = totals.where(F.col("_n") < bound), totals.where(F.col("_n") >= bound)
+    rest = small.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n"), F.count("*").alias("c")).first()
+    before = Window.orderBy(F.desc("_n"), "_q").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.orderBy(F.desc("_n"), "_q").rowsBetween(1, Window.unboundedFollowing)
+    own = great.select("_q", "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("below"), F.count("*").over(after).alias("_after"))
+    joined = bool(rest["n"]) and rest["n"] * window < size  # the rest is less than a token a window itself
+    lane = F.col("_n") + F.when(F.col("_after") == 0, F.lit(rest["n"])).otherwise(F.lit(0)) if joined else F.col("_n")
+    out = own.select("_q", "_n", "below", lane.alias("lane"), F.lit(0).cast("long").alias("at"))
+    if rest["c"]:
+        last = out.orderBy(F.desc("below")).first() if joined else None
+        low, width, shift = (last["below"], last["lane"], last["_n"]) if joined else (size - rest["n"], rest["n"], 0)
+        bits = root_bits(rest["c"])
+        hashed = small.withColumn("_h", F.xxhash64("_q")).withColumn("_b", F.shiftrightunsigned("_h", 64 - bits) if bits else F.lit(0).cast("long"))
+        inside = Window.partitionBy("_b").orderBy("_h", "_q").rowsBetween(Window.unboundedPreceding, -1)
+        sums = hashed.groupBy("_b").agg(F.sum("_n").alias("_s"))
+        earlier = sums.select("_b", F.coalesce(F.sum("_s").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+        at = F.col("_base") + F.coalesce(F.sum("_n").over(inside), F.lit(0)) + shift
+        chained = hashed.join(earlier, "_b").select("_q", "_n", F.lit(low).cast("long").alias("below"), F.lit(width).cast("long").alias("lane"), at.alias("at"))
+        out = out.unionByName(chained)
+    turn = F.struct(F.lit(start).cast("long").alias("start"), F.lit(size).cast("long").alias("total"), F.lit(0).cast("long").alias("before"), F.col("_n").alias("own"), "below", "lane", "at")
+    return out.select("_q", F.array(turn).cast(TURN).alias("turns"))
+
+
+def _schedule(totals: DataFrame, weights: dict[str | None, float], window: int) -> DataFrame:
+    """(_q, turns) of every queue. ``weights`` is given by the caller, so what is worked out on the driver is bounded by
+    it; all other queues come after those with a weight, in shares by their sizes."""
+    spark = totals.sparkSession
+    given = {("null" if k is None else f"={k}"): float(v) for k, v in weights.items() if v > 0}
+    if not given:
+        return _natural(totals, 0, window)
+    names = F.broadcast(spark.createDataFrame([(q,) for q in given], "_q string"))  # as many rows as weights are given
+    sizes = {r["_q"]: r["_n"] for r in totals.join(names, "_q").collect()}
+    rows = [(q, [vars(t) for t in ts]) for q, ts in turns(sizes, given, window).items()]
+    made = spark.createDataFrame(rows, f"_q string, turns {TURN}")
+    return _natural(totals.join(names, "_q", "left_anti"), sum(sizes.values()), window).unionByName(made)
+
+
 def pack(
     df: DataFrame,
     tokenizer: str,
@@ -225,7 +293,7 @@ def pack(
     source_col: str = "source",
     length: int = 1024,
     window_sequences: int = 64,
-    weights: dict[str, float] | None = None,
+    weights: dict[str | None, float] | None = None,
     eos: int = 0,
 ) -> DataFrame:
     """Pieces of all documents: doc_id, source, start, length, doc_tokens, sequence_id, offset,
@@ -234,62 +302,37 @@ def pack(
     A document is its ids and then ``eos``; null and empty texts are the ``eos`` alone.
     Each id lies in one piece; all sequences but the last are full, so at most
     ``length - 1`` tokens of padding are needed in all. ``weights``: target proportions
-    by source (default: the sources' shares); null sources are one queue of their own.
-    A given weight holds at any number of sources, though the schedule grows with the square
-    of the number of weights. Limit: of more than ``MAX_QUEUES`` sources, those without a weight
-    (without ``weights``, those below the ``MAX_QUEUES`` largest) share as many hashed queues
-    and keep the share of these, not each its own, in a window.
-    Rows that repeat an id are documents of their own. In a queue documents follow a
-    hash of their place in the table, which spreads any key evenly. Other columns are ignored.
+    by source (default: the sources' shares); sources without a weight, or with 0, come after
+    the others by their shares. Null sources are one queue of their own. Any number of
+    sources is taken, each by its own name; those owed less than one token in a window
+    are served one after another in a lane of their own.
+    Rows that repeat an id are documents of their own. In a queue documents follow the table.
+    Texts of any length: a task holds one text's ids at a time. No rows: no pieces. Other
+    columns are ignored.
+
+    The ids are written once and never shuffled: a partition's rows know what came before them in
+    it, and the table of (queue, partition) totals is joined to them, by broadcast where its files
+    are below the engine's limit for that.
     """
-    spark = df.sparkSession
     src = df.select(
-        F.monotonically_increasing_id().alias("_uid"),
         F.col(f"`{id_col}`").cast("long").alias("_doc"),
         F.col(f"`{source_col}`").cast("string").alias("_queue"),
         F.col(f"`{text_col}`").cast("string").alias("_text"),
     )
-    kinds = "_uid long, _doc long, _queue string, _n long, _ids binary"
+    kinds = "_doc long, _queue string, _part long, _before long, _n long, _ids binary"
+    window = length * window_sequences
     tokens = save(src.mapInArrow(_tokenize(tokenizer, pattern, eos), kinds), "tokens")
-    queue, named = F.coalesce(F.concat(F.lit("="), "_queue"), F.lit("null")), tokens
-    if tokens.select("_queue").distinct().limit(MAX_QUEUES + 1).count() > MAX_QUEUES:
-        if weights is not None:
-            own = spark.createDataFrame([(k,) for k in weights], "_source string")
-        else:
-            sizes = tokens.groupBy(F.col("_queue").alias("_source")).agg(F.sum("_n").alias("_n"))
-            own = sizes.orderBy(F.desc("_n"), "_source").limit(MAX_QUEUES).select("_source")
-        own = F.broadcast(own.withColumn("_own", F.lit(True)))
-        named = tokens.join(own, F.col("_queue").eqNullSafe(F.col("_source")), "left")
-        shared = F.concat(F.lit("#"), F.pmod(F.xxhash64("_queue"), F.lit(MAX_QUEUES)).cast("string"))
-        queue = F.when(F.col("_own"), queue).otherwise(shared)
-    named = named.withColumn("_q", queue)
-    sums = {r["_q"]: (r["n"], r["c"]) for r in named.groupBy("_q").agg(F.sum("_n").alias("n"), F.count("*").alias("c")).collect()}
-    if weights is not None:
-        weights = {f"={k}" if k is not None else "null": float(v) for k, v in weights.items()}
-    schedule = phases({q: n for q, (n, _) in sums.items()}, weights)
-
-    # A document's place in its queue: tokens in earlier blocks, and before it in its own block.
-    bits = power_of_two(sum(c for _, c in sums.values()), _BLOCK_ROWS).bit_length() - 1
-    hashed = F.xxhash64("_uid")
-    rows = named.select("_uid", "_q", "_n", hashed.alias("_h")).withColumn(
-        "_b", F.shiftrightunsigned("_h", 64 - bits) if bits else F.lit(0).cast("long")
-    )
-    per_block = rows.groupBy("_q", "_b").agg(F.sum("_n").alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy("_q").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
-    blocks = per_block.select("_q", "_b", F.coalesce(before, F.lit(0)).alias("_base"))
-    inside = F.sum("_n").over(
-        Window.partitionBy("_q", "_b").orderBy("_h", "_uid").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    places = (
-        rows.select("_uid", "_q", "_b", F.coalesce(inside, F.lit(0)).alias("_in"))
-        .join(blocks, ["_q", "_b"])
-        .select("_uid", "_q", (F.col("_base") + F.col("_in")).alias("_first"))
-    )
+    named = tokens.withColumn("_q", F.coalesce(F.concat(F.lit("="), "_queue"), F.lit("null")))
+    sizes = save(named.groupBy("_q", "_part").agg(F.sum("_n").alias("_n")), "sizes")
+    schedule = _schedule(sizes.groupBy("_q").agg(F.sum("_n").alias("_n")), weights or {}, window)
+    earlier = Window.partitionBy("_q").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sizes.select("_q", "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
+    places = save(bases.join(schedule, "_q"), "places")
     return (
-        tokens.join(places, "_uid")
-        .select("_doc", "_q", "_queue", "_first", "_n", "_ids")
+        named.join(places, ["_q", "_part"])
+        .select("_doc", "_queue", (F.col("_base") + F.col("_before")).alias("_first"), "_n", "_ids", "turns")
         .mapInArrow(
-            _cut(schedule, length, length * window_sequences),
+            _cut(length, window),
             "doc_id long, source string, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary",
         )
     )

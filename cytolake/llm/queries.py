@@ -50,10 +50,15 @@ def _tokenizer_files():
     return public_tokenizers
 
 
+#: Target proportions of the packing query: 1, 2 and 3 parts in turn over the sources by their numbers. A source that
+#: is not named here comes after these.
+TARGETS = {f"src{k}": 1.0 + k % 3 for k in range(20)}
+
+
 @_query
 def op2_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = _tokenizer_files()
-    packed = packing.pack(table(spark, sf_dir, "documents"), files.path("byte_bpe_50k.json"), files.PATTERN)
+    packed = packing.pack(table(spark, sf_dir, "documents"), files.path("byte_bpe_50k.json"), files.PATTERN, weights=TARGETS)
     return packed.select(
         "doc_id", "start", "length", unsigned32(F.crc32("ids")).alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source"
     )

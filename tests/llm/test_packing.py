@@ -1,5 +1,6 @@
 import json
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers as P
@@ -77,23 +78,83 @@ def test_every_window_has_the_sources_shares(spark):
         assert all(abs(got.get(s, 0) - size * t / n) < 2 for s, t in total.items())
 
 
-@pytest.mark.parametrize("weights", [{"a": 1, "b": 1}, {"a": 3, "b": 1, "c": 0}, {"c": 1}])
+def literal(own, window):
+    """A phase of the round-robin, taken literally: (queue, token) in the order of the packed stream. A queue's quantum
+    comes on top of the deficit that it carries; it is served the whole tokens of that, and of the part of a token
+    that those before it in the round could not use; what is not served is carried to its next window."""
+    total, table = sum(own.values()), {}
+    for q, (below, lane, at) in packing.lanes(own, window).items():
+        table.setdefault((below, lane), []).append((at, q))
+    queues = [[(q, i) for _, q in sorted(members) for i in range(own[q])] for _, members in sorted(table.items())]
+    share = [Fraction(len(q), total) for q in queues]
+    deficit, at, out = [Fraction(0)] * len(queues), [0] * len(queues), []
+    for x in range(0, total, window):
+        size, spare = min(window, total - x), Fraction(0)
+        for k, q in enumerate(queues):
+            deficit[k] += share[k] * size
+            serve = (spare + deficit[k]) // 1
+            assert serve >= 0
+            out += q[at[k] : at[k] + serve]
+            at[k] += serve
+            deficit[k] -= serve
+            spare += deficit[k]
+            assert -1 < deficit[k] < 1
+        assert spare == 0  # a window is filled by whole tokens
+    return out
+
+
+def packed(own_turns, totals, length, window, step):
+    place = {}
+    for q, n in totals.items():
+        for first in range(0, n, step):
+            for start, take, at in packing.pieces(own_turns[q], first, min(step, n - first), length, window):
+                for k in range(take):
+                    assert at + k not in place
+                    place[at + k] = (q, start + k)
+    return [place[k] for k in range(len(place))]
+
+
+@pytest.mark.parametrize("window", [32, 128, 1024])
+@pytest.mark.parametrize(
+    "own", [{"a": 1000, "b": 500, "c": 77}, {"a": 3000, "b": 1, "c": 2, "d": 1}, {f"q{i}": 1 + i % 3 for i in range(400)}, {"a": 2000, **{f"q{i}": 7 for i in range(90)}}, {"z": 5}]
+)
+def test_closed_form_is_the_round_robin(own, window):
+    table = packing.lanes(own, window)
+    total = sum(own.values())
+    assert all(lane * window >= total for _, lane, _ in table.values())
+    own_turns = {q: [packing.Turn(0, total, 0, n, *table[q])] for q, n in own.items()}
+    assert packed(own_turns, own, 32, window, 13) == literal(own, window)
+
+
+@pytest.mark.parametrize("weights", [{"a": 1, "b": 1, "c": 1}, {"a": 3, "b": 1, "c": 0.001}, {"a": 1, "b": 1e-9, "c": 1e9}])
 def test_targets_other_than_the_shares(weights):
-    totals = {"a": 1000, "b": 500, "c": 77, "none": 0}
-    schedule = packing.phases(totals, weights)
-    seen, place = {q: 0 for q in totals}, []
+    totals = {"a": 1000, "b": 500, "c": 77}
+    own_turns = packing.turns(totals, weights, 128)
+    got = packed(own_turns, totals, 32, 128, 13)
+    assert len(got) == 1577
     for q, n in totals.items():
-        for first in range(0, n, 13):
-            for start, take, at in packing.pieces(schedule, q, first, min(13, n - first), 32, 128):
-                assert start == seen[q]
-                seen[q] += take
-                place += range(at, at + take)
-    assert seen == totals and sorted(place) == list(range(1577))
-    first = schedule[0]
-    live = {q: w for q, w in weights.items() if w}
-    for q, w in live.items():
-        assert abs(first.quantum[q] - first.total * w / sum(live.values())) <= len(live)
-    assert "c" in first.quantum or not weights.get("c")
+        assert [i for p, i in got if p == q] == list(range(n))
+    for start in sorted({t.start for ts in own_turns.values() for t in ts}):
+        own = {q: t.own for q, ts in own_turns.items() for t in ts if t.start == start}
+        served = {q: t.before for q, ts in own_turns.items() for t in ts if t.start == start}
+        assert got[start : start + sum(own.values())] == [(q, served[q] + i) for q, i in literal(own, 128)]
+    first = {q: ts[0].own for q, ts in own_turns.items() if ts and ts[0].start == 0}
+    for q, n in first.items():
+        assert abs(n - sum(first.values()) * weights[q] / sum(weights.values())) <= len(weights)
+
+
+@pytest.mark.parametrize("window_sequences", [1, 64])
+def test_very_many_sources(spark, window_sequences):
+    """Each source keeps its own name and weight, however many there are, and no token is lost or doubled."""
+    rows = [(i, "one two three four five " * 4, ("a", "b")[i % 2] if i < 400 else f"s{i}") for i in range(5400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    for weights, share in (({"a": 3.0, "b": 1.0, "nobody": 2.0}, 0.75), ({"b": 1.0}, 0.0), (None, 200 / 5400)):
+        got = packing.pack(df, PATH, P.PATTERN, length=64, window_sequences=window_sequences, weights=weights).collect()
+        check(got, rows, 64)
+        assert len({r["source"] for r in got}) == 5002
+        head = [r for r in got if r["sequence_id"] < 64]
+        n = sum(r["length"] for r in head)
+        assert abs(sum(r["length"] for r in head if r["source"] == "a") - share * n) <= 2
 
 
 def test_fast_encoder_equals_the_library():
@@ -113,14 +174,6 @@ def test_other_tokenizer_files_go_through_the_library(tmp_path):
     assert enc.fast is None and enc("words here") == Tokenizer.from_file(str(path)).encode("words here", add_special_tokens=False).ids
 
 
-def test_many_sources_share_queues(spark, monkeypatch):
-    monkeypatch.setattr(packing, "MAX_QUEUES", 3)
-    rows = [(i, "some words", f"s{i}") for i in range(9)]
-    pieces = packing.pack(docs(spark, rows), PATH, P.PATTERN, length=8).collect()
-    check(pieces, rows, 8)
-    assert len({r["source"] for r in pieces}) == 9
-
-
 def test_query_digest(spark, tmp_path):
     from cytolake.llm.queries import QUERIES
 
@@ -131,13 +184,3 @@ def test_query_digest(spark, tmp_path):
         part = np.array(ids[r["doc_id"]][r["start"] : r["start"] + r["length"]], "<u4").tobytes()
         assert r["ids_crc32"] == zlib.crc32(part)
 
-
-def test_a_weight_holds_with_more_sources_than_queues(spark, monkeypatch):
-    monkeypatch.setattr(packing, "MAX_QUEUES", 4)
-    rows = [(i, "one two three four five " * 4, ("a", "b")[i % 2] if i < 80 else f"s{i}") for i in range(120)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    for weights, share in (({"a": 3.0, "b": 1.0}, 0.75), (None, 1 / 3)):
-        got = packing.pack(df, PATH, P.PATTERN, length=16, window_sequences=4, weights=weights).collect()
-        head = [r for r in got if r["sequence_id"] < 4 * 6]
-        assert sum(r["length"] for r in head) == 16 * 24
-        assert abs(sum(r["length"] for r in head if r["source"] == "a") - share * 16 * 24) <= 2
