@@ -35,7 +35,7 @@ class Graphs:
     compares with brute force; recall: of the audit's links, and near_recall: of its ``near``
     nearest neighbours in the shard, below either of which the beam is doubled."""
 
-    shard_rows: int = 4096
+    shard_rows: int = 16_384
     links: int = 16
     build_beam: int = 48
     beam: int = 48
