@@ -13,6 +13,10 @@ words: where a window of ``passage`` words holds no run of ``min_words`` between
 own first and last boundary, the window is digested as a whole as well, wherever it
 stands. So every passage of at least ``passage`` words that comes again is found, by
 its chunks or by its windows; its edges up to a boundary may stay in the first case.
+
+No text is cut for one 64-bit digest that happens to be equal: a run has two chunks or
+more, or its one chunk has a second digest of another seed that must be repeated too;
+a window has a chunk inside that must be repeated, or a second digest.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save, slices
+from .common import save, slices, unused
 
 
 @dataclass(frozen=True)
@@ -76,21 +80,37 @@ class Chunks:
     last: np.ndarray  # byte after each word
     window: np.ndarray  # first word of each window that its chunks would lose
     window_digest: np.ndarray  # signed 64-bit
+    inner: np.ndarray  # a chunk inside each window whose ends are the window's own, -1 for none
+    twin: dict[int, int]  # second digest of each chunk that is long enough to be a run of its own
+    window_twin: dict[int, int]  # second digest of each window without a chunk inside
+
+    def digests(self) -> np.ndarray:
+        """All digests, each once."""
+        more = np.array([*self.twin.values(), *self.window_twin.values()], dtype=np.int64)
+        return np.unique(np.concatenate([self.digest, self.window_digest, more]))
 
 
-def lost_windows(begin: np.ndarray, end: np.ndarray, natural: np.ndarray, how: Chunking) -> np.ndarray:
-    """First words of the windows of ``passage`` words with fewer than ``min_words`` between the first and the last
-    boundary that their own bytes decide, which are those that no copy of the window can lack.
+def lost_windows(begin: np.ndarray, end: np.ndarray, natural: np.ndarray, how: Chunking) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first words of windows, words that end at their first and at their last own boundary): the windows of ``passage``
+    words with fewer than ``min_words`` between the first and the last boundary that their own bytes decide, which are
+    those that no copy of the window can lack.
 
     ``begin`` and ``end``: bytes of each word in the text of single blanks; ``natural``: words whose hash ends a chunk."""
     n = len(begin) - how.passage + 1
     if n <= 0:
-        return np.empty(0, np.int64)
+        return (np.empty(0, np.int64),) * 3
     at = np.concatenate([[-1], natural, [len(begin) + how.passage]])
     own = np.searchsorted(end, begin[:n] + 16)  # the first word whose hash sees no byte before the window
     lo = at[np.searchsorted(at, own)]
     hi = at[np.searchsorted(at, np.arange(n) + how.passage) - 1]
-    return np.flatnonzero(hi - lo < how.min_words)
+    lost = np.flatnonzero(hi - lo < how.min_words)
+    return lost, lo[lost], hi[lost]
+
+
+def _hashed(text: bytes, lo: np.ndarray, hi: np.ndarray, seed: int = 0) -> np.ndarray:
+    """The digests of pieces of a text, as signed longs."""
+    made = (xxhash.xxh3_64_intdigest(text[i:j], seed) for i, j in zip(lo.tolist(), hi.tolist(), strict=True))
+    return np.fromiter(made, dtype=np.uint64, count=len(lo)).view(np.int64)
 
 
 def chunk(raw: bytes, how: Chunking) -> Chunks | None:
@@ -115,18 +135,21 @@ def chunk(raw: bytes, how: Chunking) -> Chunks | None:
         at = np.unique(np.concatenate([at, *more]))
     begin = np.concatenate([[0], at[:-1] + 1])
     text = data.tobytes()
-    lo, hi = ends[begin] - (last - first)[begin], ends[at]
-    digest = np.fromiter(
-        (xxhash.xxh3_64_intdigest(text[i:j]) for i, j in zip(lo.tolist(), hi.tolist(), strict=True)), dtype=np.uint64, count=len(at)
-    )
-    nxt = np.concatenate([first[at[:-1] + 1], [len(raw)]])
+    words = at - begin + 1
     word = ends - (last - first)
-    window = lost_windows(word, ends, natural, how)
-    lo, hi = word[window], ends[window + how.passage - 1]
-    whole = np.fromiter(
-        (xxhash.xxh3_64_intdigest(text[i:j], how.seed) for i, j in zip(lo.tolist(), hi.tolist(), strict=True)), dtype=np.uint64, count=len(window)
-    )
-    return Chunks(first[begin], last[at], nxt, at - begin + 1, digest.view(np.int64), first, last, window, whole.view(np.int64))
+    lo, hi = word[begin], ends[at]
+    alone = np.flatnonzero(words >= how.min_words)
+    twin = dict(zip(alone.tolist(), _hashed(text, lo[alone], hi[alone], how.seed + 1).tolist(), strict=True))
+    window, low, high = lost_windows(word, ends, natural, how)
+    inner = np.minimum(np.searchsorted(begin, low + 1), len(begin) - 1)
+    inner = np.where((begin[inner] == low + 1) & (at[inner] <= high), inner, -1)
+    start, stop = word[window], ends[window + how.passage - 1]
+    bare = np.flatnonzero(inner < 0)
+    window_twin = dict(zip(bare.tolist(), _hashed(text, start[bare], stop[bare], how.seed + 2).tolist(), strict=True))
+    return Chunks(
+        first[begin], last[at], np.concatenate([first[at[:-1] + 1], [len(raw)]]), words, _hashed(text, lo, hi),
+        first, last, window, _hashed(text, start, stop, how.seed), inner, twin, window_twin,
+    )
 
 
 def _digests(how: Chunking):
@@ -135,7 +158,7 @@ def _digests(how: Chunking):
             made = []
             for i in range(b.num_rows):
                 c = chunk((b.column(1)[i].as_py() or "").encode("utf-8", "surrogatepass"), how)
-                made.append(np.unique(np.concatenate([c.digest, c.window_digest])) if c is not None else np.empty(0, np.int64))
+                made.append(c.digests() if c is not None else np.empty(0, np.int64))
             sizes = np.cumsum([0, *map(len, made)]).astype(np.int32)
             flat = pa.array(np.concatenate(made) if made else np.empty(0, np.int64))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(sizes), flat)], ["_id", "_digests"])
@@ -147,22 +170,29 @@ def runs(c: Chunks, doc: int | None, earlier: dict[int, int], how: Chunking) ->
     """(start, end, follow, words, first document) of each run of repeats that is long enough.
 
     A chunk is a repeat if its digest is in ``earlier``, digests of documents of smaller id with the
-    smallest of them, or has come before in the document itself. So is a window, unless it overlaps
-    its copy; one that runs of chunks hold at most in part is joined with what it touches."""
+    smallest of them, or has come before in the document itself, and so is its second digest if it has
+    one. So is a window, unless it overlaps its copy; one that runs of chunks hold at most in part is
+    joined with what it touches."""
     digests, out, n, k, at = c.digest.tolist(), [], len(c.digest), 0, 0
     own: set[int] = set()
+
+    def again(j: int) -> bool:
+        return all(d is None or d in earlier or d in own for d in (digests[j], c.twin.get(j)))
+
+    def note(j: int) -> int:
+        own.update((digests[j], c.twin.get(j, digests[j])))
+        return int(c.words[j])
+
     while k < n:
         j, words, seen = k, 0, Counter()
-        while j < n and ((first := earlier.get(digests[j])) is not None or digests[j] in own):
-            words += int(c.words[j])
-            seen[doc if first is None else first] += 1
-            own.add(digests[j])
+        while j < n and again(j):
+            words += note(j)
+            seen[earlier.get(digests[j], doc)] += 1
             j += 1
         if words >= how.min_words:
             out.append((at, at + words, seen))
         if j < n:
-            own.add(digests[j])
-            words += int(c.words[j])
+            words += note(j)
         at += words
         k = j + 1
     out = _with_windows(out, c, doc, earlier, how) if len(c.window) else out
@@ -176,11 +206,20 @@ def _with_windows(found: list, c: Chunks, doc: int | None, earlier: dict[int, in
     """``found``, (first word, word after the last, Counter of first documents), and the repeated windows that it misses."""
     own: dict[int, int] = {}
     missed, k = [], 0
-    for a, digest in zip(c.window.tolist(), c.window_digest.tolist(), strict=True):
+    digests, times = np.unique(c.digest, return_counts=True)
+    twice = set(digests[times > 1].tolist())
+    for i, (a, digest, inner) in enumerate(zip(c.window.tolist(), c.window_digest.tolist(), c.inner.tolist(), strict=True)):
         b = a + how.passage
         first = earlier.get(digest)
         if first is None and own.setdefault(digest, a) + how.passage > a:
             continue
+        if inner >= 0:
+            sure = int(c.digest[inner]) in (twice if first is None else earlier) or int(c.digest[inner]) in twice
+        else:
+            second = c.window_twin[i]
+            sure = second in earlier if first is not None else own.setdefault(second, a) + how.passage <= a
+        if not sure:
+            continue
         while k < len(found) and found[k][1] <= a:
             k += 1
         held, j = 0, k
@@ -225,7 +264,8 @@ def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", how: Ch
     ``n_words``, ``first_id`` (the document that has most of it first) and ``passage``.
 
     Null ids, and null, empty and blank texts, have none. Rows that repeat an id are one
-    document: a passage that both hold is no repeat in either. Other columns are ignored.
+    document: a passage that both hold is no repeat in either. No rows: no rows. Texts of any
+    length; one text and its digests are in a task at a time. Other columns are ignored.
     """
     how = how or Chunking()
 
@@ -251,11 +291,13 @@ def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", how: Ch
 def cut(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", how: Chunking | None = None) -> DataFrame:
     """The input rows and columns, ``text_col`` without its repeated passages, and ``removed_words``.
 
-    Null texts stay null; rows with a null id stay as they are.
+    Null texts stay null; rows with a null id stay as they are; rows that repeat an id are one
+    document, as in ``spans``. Columns of any name stay, but for one that is called ``removed_words``.
     """
     how = how or Chunking()
-    names = [c for c in df.columns if c not in ("removed_words", "_id", "_repeats")]
-    at = names.index(text_col)
+    names = [c for c in df.columns if c.lower() != "removed_words"]
+    at = [c.lower() for c in names].index(text_col.lower())
+    key, found_col = unused(df.columns, "_id", "_repeats")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -277,6 +319,7 @@ def cut(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", how: Chun
 
     src = df.select(*[F.col(f"`{c}`") for c in names])
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields)
-    keyed = src.select("*", F.col(f"`{id_col}`").cast("long").alias("_id"))
-    joined = keyed.join(repeats(df, id_col, text_col, how), "_id", "left")
-    return joined.select(*[F.col(f"`{c}`") for c in names], "_id", "_repeats").mapInArrow(run, f"{kinds}, removed_words long")
+    keyed = src.select("*", F.col(f"`{id_col}`").cast("long").alias(key))
+    others = repeats(df, id_col, text_col, how).withColumnsRenamed({"_id": key, "_repeats": found_col})
+    joined = keyed.join(others, key, "left")
+    return joined.select(*[F.col(f"`{c}`") for c in names], key, found_col).mapInArrow(run, f"{kinds}, removed_words long")

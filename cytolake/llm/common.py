@@ -67,6 +67,18 @@ def unsigned32(c: Column) -> Column:
     return c.bitwiseAND(F.lit(0xFFFFFFFF))
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """``names``, each made longer until no column bears it in any case, so that no user column is touched."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def root_bits(rows: int) -> int:
     """Bits of a hash that make about as many blocks as each has rows: sums over rows in a block, and
     over blocks, are then both of the square root of the rows, whatever their number."""

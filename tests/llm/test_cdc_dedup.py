@@ -126,7 +126,7 @@ def test_no_passage_of_over_fifty_words_is_lost():
         a = D.chunk(f"{prose(rng, 30)} {p} {prose(rng, 20)}".encode(), HOW)
         text = f"{prose(rng, int(rng.integers(0, 40)))} {p} {prose(rng, 9)}".encode()
         b = D.chunk(text, HOW)
-        found = D.runs(b, 2, dict.fromkeys([*a.digest.tolist(), *a.window_digest.tolist()], 1), HOW)
+        found = D.runs(b, 2, dict.fromkeys(a.digests().tolist(), 1), HOW)
         at = text.index(p.encode())
         assert len(found) == 1 and found[0][3] >= HOW.min_words and found[0][4] == 1, (i, p)
         assert found[0][0] < at + len(p.encode()) and found[0][1] > at
@@ -152,3 +152,33 @@ def test_a_passage_without_a_run_of_chunks_is_found_whole(spark):
     twice = f"{prose(rng, 60)} {p} {prose(rng, 60)} {p} {prose(rng, 60)}"
     got = D.spans(frame(spark, [(7, twice)])).collect()
     assert [(r["n_words"], r["first_id"], r["start"]) for r in got] == [(51, 7, len(twice[: twice.rindex(p)].encode()))]
+
+
+def test_one_equal_digest_cuts_nothing():
+    rng = np.random.default_rng(30)
+    long = bare = 0
+    while not (long and bare):
+        c = D.chunk(prose(rng, 1500).encode(), HOW)
+        for k, twin in c.twin.items():
+            long += 1
+            assert D.runs(c, 2, {int(c.digest[k]): 1}, HOW) == []
+            assert D.runs(c, 2, {int(c.digest[k]): 1, twin: 1}, HOW)[0][3] == c.words[k]
+        for i, inner in enumerate(c.inner.tolist()):
+            digest, second = int(c.window_digest[i]), int(c.digest[inner]) if inner >= 0 else c.window_twin[i]
+            assert D.runs(c, 2, {digest: 1}, HOW) == []
+            assert [f[3] for f in D.runs(c, 2, {digest: 1, second: 1}, HOW)] == [51]
+            if inner >= 0:
+                assert c.first[c.window[i]] <= c.start[inner] and c.end[inner] <= c.last[c.window[i] + 50]
+            bare += inner < 0
+
+
+def test_columns_of_any_name_stay(spark):
+    rows, _ = corpus()
+    names = ["_id", "_repeats", "_text", "digest", "first", "_digests", "start"]
+    df = spark.createDataFrame([(*r, *[f"{n}{r[0]}" for n in names]) for r in rows], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    plain = {r["doc_id"]: r["text"] for r in D.cut(frame(spark, rows)).collect()}
+    got = D.cut(df)
+    assert got.columns == ["doc_id", "text", *names, "removed_words"]
+    for r in got.collect():
+        assert r["text"] == plain[r["doc_id"]] and all(r[n] == f"{n}{r['doc_id']}" for n in names)
+    assert D.spans(df).count() == D.spans(frame(spark, rows)).count()
