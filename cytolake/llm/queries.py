@@ -202,7 +202,8 @@ def op9_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op10_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return compression_bands.quality_rules(docs, carry=["doc_id"]).select(
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    bands = compression_bands.fit(docs, table(spark, sf_dir, "labels"))
+    return compression_bands.quality_rules(docs, carry=["doc_id"], bands=bands, lang_col="lang").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio", "bad_share"
     )
