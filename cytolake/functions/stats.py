@@ -1,8 +1,9 @@
 """Weighted moments, Welch's test and the Student t distribution as column expressions.
 
-Moments come from sums that partial aggregation combines, so a region or site of any
-size needs one shuffle of one row per partition. Equal observations have a variance of
-exactly zero, whatever the sums round to.
+A group's observations are gathered where a group is small by its nature (the samples of a
+site, or of a region's bin), its mean is taken and then the squares around the mean, so nothing
+cancels however near the observations are to each other. Groups of groups merge by the means,
+weights and squares of their parts. Equal observations have a variance of exactly zero.
 """
 
 from __future__ import annotations
@@ -32,24 +33,64 @@ class Moments:
     variance: Column
 
 
-def moment_sums(value: Column, weight: Column, chosen: Column, suffix: str) -> list[Column]:
-    """The aggregates that ``moments`` reads: over the rows where ``chosen`` holds."""
-    v, w = F.when(chosen, value.cast("double")), F.when(chosen, weight.cast("double"))
-    made = {"n": F.count(v), "w": F.sum(w), "w2": F.sum(w * w), "wv": F.sum(w * v), "wv2": F.sum(w * v * v), "lo": F.min(v), "hi": F.max(v)}
-    return [c.alias(f"{k}{suffix}") for k, c in made.items()]
+#: What is kept of a part of a group: observations, weights, their squares, the mean, squares around it, least and greatest.
+_KEPT = ("n", "w", "w2", "mean", "ss", "lo", "hi")
 
 
-def moments(suffix: str) -> Moments:
-    """Weighted mean, and the variance that is unbiased for repeated observations, from ``moment_sums``."""
-    c = {k: F.col(f"{k}{suffix}") for k in ("n", "w", "w2", "wv", "wv2", "lo", "hi")}
-    mean = F.when(c["lo"] == c["hi"], c["lo"]).otherwise(safe_div(c["wv"], c["w"]))
-    squares = F.when(c["lo"] == c["hi"], F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), c["wv2"] - safe_div(c["wv"] * c["wv"], c["w"])))
-    return Moments(c["n"], mean, safe_div(c["w"], c["w"] * c["w"] - c["w2"]) * squares)
+def observations(value: Column, weight: Column, chosen: Column) -> Column:
+    """The aggregate that gathers a part's observations: those where ``chosen`` holds."""
+    return F.collect_list(F.when(chosen & value.isNotNull(), F.struct(value.cast("double").alias("v"), weight.cast("double").alias("w"))))
+
+
+def _sum(items: Column, f) -> Column:
+    return F.aggregate(items, F.lit(0.0), lambda acc, x: acc + f(x))
+
+
+def part(items: Column) -> Column:
+    """A struct of what is kept of the observations gathered."""
+    n, w = F.size(items).cast("long"), _sum(items, lambda x: x["w"])
+    lo, hi = F.array_min(F.transform(items, lambda x: x["v"])), F.array_max(F.transform(items, lambda x: x["v"]))
+    one = F.array(F.struct(items.alias("x"), n.alias("n"), w.alias("w"), lo.alias("lo"), hi.alias("hi")))
+
+    def centred(s: Column) -> Column:
+        mean = F.when(s["lo"] == s["hi"], s["lo"]).otherwise(safe_div(_sum(s["x"], lambda x: x["w"] * x["v"]), s["w"]))
+        return F.struct(s["x"].alias("x"), s["n"].alias("n"), s["w"].alias("w"), s["lo"].alias("lo"), s["hi"].alias("hi"), mean.alias("mean"))
+
+    def kept(s: Column) -> Column:
+        squares = F.when(s["lo"] == s["hi"], F.lit(0.0)).otherwise(_sum(s["x"], lambda x: x["w"] * (x["v"] - s["mean"]) * (x["v"] - s["mean"])))
+        made = {"n": s["n"], "w": s["w"], "w2": _sum(s["x"], lambda x: x["w"] * x["w"]), "mean": s["mean"], "ss": squares, "lo": s["lo"], "hi": s["hi"]}
+        return F.struct(*[made[k].alias(k) for k in _KEPT])
+
+    return F.transform(F.transform(one, centred), kept)[0]  # in steps, so that each value is worked out once
+
+
+def merged(parts: Column) -> Column:
+    """The struct of a group from the array of its parts."""
+    some = F.filter(parts, lambda p: p["n"] > 0)
+    n = F.aggregate(some, F.lit(0).cast("long"), lambda acc, p: acc + p["n"])
+    lo, hi = F.array_min(F.transform(some, lambda p: p["lo"])), F.array_max(F.transform(some, lambda p: p["hi"]))
+    one = F.array(F.struct(some.alias("x"), n.alias("n"), _sum(some, lambda p: p["w"]).alias("w"), lo.alias("lo"), hi.alias("hi")))
+
+    def centred(s: Column) -> Column:
+        mean = F.when(s["lo"] == s["hi"], s["lo"]).otherwise(safe_div(_sum(s["x"], lambda p: p["w"] * p["mean"]), s["w"]))
+        return F.struct(s["x"].alias("x"), s["n"].alias("n"), s["w"].alias("w"), s["lo"].alias("lo"), s["hi"].alias("hi"), mean.alias("mean"))
+
+    def kept(s: Column) -> Column:
+        squares = F.when(s["lo"] == s["hi"], F.lit(0.0)).otherwise(_sum(s["x"], lambda p: p["ss"] + p["w"] * (p["mean"] - s["mean"]) * (p["mean"] - s["mean"])))
+        made = {"n": s["n"], "w": s["w"], "w2": _sum(s["x"], lambda p: p["w2"]), "mean": s["mean"], "ss": squares, "lo": s["lo"], "hi": s["hi"]}
+        return F.struct(*[made[k].alias(k) for k in _KEPT])
+
+    return F.transform(F.transform(one, centred), kept)[0]
+
+
+def moments(p: Column) -> Moments:
+    """Weighted mean, and the variance that is unbiased for repeated observations, of a struct of ``part`` or ``merged``."""
+    return Moments(F.coalesce(p["n"], F.lit(0)), p["mean"], safe_div(p["w"], p["w"] * p["w"] - p["w2"]) * p["ss"])
 
 
 def with_moments(groups: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep`` and n, mean and variance of both groups from their sums."""
-    a, b = moments("_1"), moments("_2")
+    """``keep`` and n, mean and variance of both conditions from ``part_1`` and ``part_2``."""
+    a, b = moments(F.col("part_1")), moments(F.col("part_2"))
     made = {"n_1": a.n, "mean_1": a.mean, "variance_1": a.variance, "n_2": b.n, "mean_2": b.mean, "variance_2": b.variance}
     return groups.select(*keep, *[c.alias(n) for n, c in made.items()])
 

@@ -10,9 +10,6 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Contigs up to which a dictionary is small enough to be sent to every task.
-BROADCAST_CONTIGS = 200_000
-
 
 @dataclass(frozen=True)
 class SequenceDictionary:
@@ -69,11 +66,6 @@ class SequenceDictionary:
         return spark.createDataFrame(rows, "contig string, length int, contig_order int, is_control boolean, contig_offset long")
 
 
-def small(frame: DataFrame, contigs: int | None) -> DataFrame:
-    """Mark a dictionary of known size for broadcast; leave the choice to the engine otherwise."""
-    return F.broadcast(frame) if contigs is not None and contigs <= BROADCAST_CONTIGS else frame
-
-
 def with_contigs(df: DataFrame, dictionary: DataFrame, strict: bool = True) -> DataFrame:
     """``df`` with contig_order, is_control and contig_offset. A contig that the dictionary lacks raises
     an error, or, if not ``strict``, its rows are dropped."""
@@ -81,10 +73,15 @@ def with_contigs(df: DataFrame, dictionary: DataFrame, strict: bool = True) -> D
     if not strict:
         return df.join(cols, "contig")
     out = df.join(cols, "contig", "left")
-    known = F.when(F.col("contig_order").isNotNull(), F.col("contig_order")).otherwise(
-        F.raise_error(F.concat(F.col("contig"), F.lit(" is not defined"))).cast("int")
-    )
-    return out.withColumn("contig_order", known)
+    names = [*df.columns, "contig_order", "is_control", "contig_offset"]
+
+    def checked(name: str) -> Column:
+        error = F.raise_error(F.concat(F.coalesce(F.col("contig"), F.lit("null")), F.lit(" is not defined")))
+        return F.when(F.col("contig_order").isNotNull(), F.col(name)).otherwise(error.cast(out.schema[name].dataType)).alias(name)
+
+    # in every column that a query may be left with, so that no plan drops such a row before it is seen
+    held = {"contig", "contig_order", "is_control", "contig_offset"}
+    return out.select(*[checked(n) if n in held else F.col(n) for n in names])
 
 
 def linear_position(offset: Column, position: Column) -> Column:

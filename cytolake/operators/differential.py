@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import ratio
-from ..functions.stats import moment_sums, two_tailed_p, with_moments, with_welch
+from ..functions.stats import merged, observations, part, two_tailed_p, with_moments, with_welch
 from ..schema import SIGNIFICANCE, TEST_DEPTH
 from .calls import first_strand
 
@@ -14,10 +14,21 @@ from .calls import first_strand
 BIN = 16_384
 
 
-def _sums() -> list:
+def _observed() -> list:
     one = F.col("condition") == 0
     value = ratio(F.col("methylated"), F.col("total"))
-    return [*moment_sums(value, F.col("total"), one, "_1"), *moment_sums(value, F.col("total"), ~one, "_2")]
+    return [observations(value, F.col("total"), one).alias("_1"), observations(value, F.col("total"), ~one).alias("_2")]
+
+
+def _parts(groups: DataFrame) -> DataFrame:
+    """``part_1`` and ``part_2`` instead of the observations gathered."""
+    return groups.withColumns({"part_1": part(F.col("_1")), "part_2": part(F.col("_2"))}).drop("_1", "_2")
+
+
+def _by_site(calls: DataFrame, min_depth: int) -> DataFrame:
+    """A site has one call by sample, so its observations are few."""
+    covered = calls.where(F.col("total") >= min_depth)
+    return _parts(covered.groupBy("contig", "position").agg(first_strand(calls), *_observed()))
 
 
 def _tested(groups: DataFrame, keep: list[str]) -> DataFrame:
@@ -31,9 +42,7 @@ def _tested(groups: DataFrame, keep: list[str]) -> DataFrame:
 
 def site_moments(calls: DataFrame, min_depth: int = TEST_DEPTH) -> DataFrame:
     """Weighted mean and variance of both conditions by site; condition 0 is sample 1, any other sample 2."""
-    covered = calls.where(F.col("total") >= min_depth)
-    sums = covered.groupBy("contig", "position").agg(first_strand(calls), *_sums())
-    return with_moments(sums, ["contig", "position", "strand"])
+    return with_moments(_by_site(calls, min_depth), ["contig", "position", "strand"])
 
 
 def differential_sites(calls: DataFrame, min_depth: int = TEST_DEPTH, significance: float | None = SIGNIFICANCE) -> DataFrame:
@@ -42,15 +51,17 @@ def differential_sites(calls: DataFrame, min_depth: int = TEST_DEPTH, significan
     Calls of low depth are left out before they are shuffled. Where neither condition varies the
     p-value is NaN, and such a site is never significant, however far apart the means are.
     ``significance=None`` keeps every tested site."""
-    covered = calls.where(F.col("total") >= min_depth)
-    sums = covered.groupBy("contig", "position").agg(first_strand(calls), *_sums()).where("n_1 > 1 and n_2 > 1")
+    sums = _by_site(calls, min_depth).where("part_1.n > 1 and part_2.n > 1")
     out = _tested(sums, ["contig", "position", "strand"])
-    if significance is None:
-        return out
-    # a filter over the row in hand: a plain one would be pushed below the projections, and its
-    # condition, with all steps of the test put in, would be larger than the planner can take well
-    kept = F.filter(F.array(F.struct(*out.columns)), lambda r: ~F.isnan(r["p_value"]) & (r["p_value"] <= significance))
-    return out.select(F.inline(kept))
+    return out if significance is None else _only_significant(out, significance)
+
+
+def _only_significant(tested: DataFrame, significance: float) -> DataFrame:
+    """A filter that stays where it is. A plain one would be pushed below the projections of the test, and its
+    condition, with all steps put in, would be larger than the planner can take well; nothing below it could use it,
+    since the p-value is made here. So the row in hand is filtered as an array of one."""
+    kept = F.filter(F.array(F.struct(*tested.columns)), lambda r: ~F.isnan(r["p_value"]) & (r["p_value"] <= significance))
+    return tested.select(F.inline(kept))
 
 
 def region_calls(calls: DataFrame, regions: DataFrame, bin_size: int = BIN) -> DataFrame:
@@ -76,13 +87,10 @@ def differential_regions(calls: DataFrame, regions: DataFrame, dictionary: DataF
     NaN is kept, so that a missing test and one without variance stay apart."""
     known = with_ordinals(regions).join(dictionary.select("contig"), "contig", "left_semi")
     covered = calls.where(F.col("total") >= min_depth).select("contig", "position", "condition", "methylated", "total")
-    pooled = region_calls(covered, known, bin_size).groupBy("region_ordinal").agg(*_sums())
-    sums = [c for c in pooled.columns if c != "region_ordinal"]
-    whole = known.join(pooled, "region_ordinal", "left").fillna(0, ["n_1", "n_2"])
-    return _tested(whole.select("id", "contig", "start", "stop", "region_ordinal", *sums), ["id", "contig", "start", "stop", "region_ordinal"])
-
-
-def ordered_regions(regions: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """Regions by contig order and start; those that tie keep the input's order."""
-    order = dictionary.select("contig", "contig_order")
-    return regions.join(order, "contig").orderBy("contig_order", "start", "region_ordinal").drop("contig_order")
+    # a bin's calls are bounded by its bases and samples; a region's bins are merged by their moments
+    binned = region_calls(covered, known, bin_size).withColumn("_bin", F.floor(F.col("position") / F.lit(bin_size)))
+    parts = _parts(binned.groupBy("region_ordinal", "contig", "_bin").agg(*_observed()))
+    pooled = parts.groupBy("region_ordinal").agg(F.collect_list("part_1").alias("_1"), F.collect_list("part_2").alias("_2"))
+    pooled = pooled.select("region_ordinal", merged(F.col("_1")).alias("part_1"), merged(F.col("_2")).alias("part_2"))
+    whole = known.join(pooled, "region_ordinal", "left")
+    return _tested(whole.select("id", "contig", "start", "stop", "region_ordinal", "part_1", "part_2"), ["id", "contig", "start", "stop", "region_ordinal"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.alignments import blocks, context, is_methylated, operations, position_of, reference_length, strand
@@ -12,33 +12,55 @@ UNMAPPED, PAIRED, MATE_UNMAPPED = 0x4, 0x1, 0x8
 _READ = "struct<ordinal:bigint,flag:int,contig:string,start:int,cigar:string,xm:string,xg:string>"
 
 
-def fragments(reads: DataFrame) -> DataFrame:
+#: Records in a block of the search for mates.
+BLOCK = 65_536
+
+
+def _pairs_up(flag: Column) -> Column:
+    """A mapped read that is paired and has a mapped mate."""
+    return (flag.bitwiseAND(PAIRED) != 0) & (flag.bitwiseAND(MATE_UNMAPPED) == 0) & (flag.bitwiseAND(UNMAPPED) == 0)
+
+
+def has_pairs(reads: DataFrame) -> bool:
+    """Whether any read can take a mate along. Ends at the first one; a file of single reads is scanned once for it."""
+    return not reads.where(_pairs_up(F.col("flag"))).limit(1).isEmpty()
+
+
+def fragments(reads: DataFrame, block: int = BLOCK) -> DataFrame:
     """(first, second): reads as single fragments, ``second`` null, or as pairs, the smaller start first.
 
     Pairing goes by adjacency in the file, as a scan would do it: a read that is paired and has a
     mapped mate takes the next record along if that has the same name; unmapped records that nothing
-    takes are skipped. Only records of one name meet in a task, and a run of them is decided in a fold.
-    ``reads.ordinal`` numbers the records without gaps."""
-    w = Window.partitionBy("qname").orderBy("ordinal")
-    runs = reads.withColumn("_new", (F.coalesce(F.col("ordinal") - F.lag("ordinal").over(w), F.lit(0)) != 1).cast("int"))
-    runs = runs.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    takes are skipped. ``reads.ordinal`` numbers the records.
+
+    In a stretch of records that could each take the next one along, every other one does, from its
+    start on. So the number of the last record before that cannot is all that decides, and it is a running
+    maximum. Records meet by blocks of their numbers, not by name, so no name is a hot key: each block sees
+    the first record of the next one, and one number for each block is carried on."""
     record = F.struct("ordinal", "flag", "contig", "start", "cigar", "xm", "xg").cast(_READ)
-    grouped = runs.groupBy("qname", "_run").agg(F.array_sort(F.collect_list(record)).alias("_reads"))
-    none, pairs = F.lit(None).cast(_READ), F.array().cast(f"array<struct<first:{_READ},second:{_READ}>>")
-    zero = F.struct(F.lit(0).alias("at"), none.alias("open"), pairs.alias("out"))
-    size = F.size("_reads")
-
-    def step(s, r):
-        flag = r["flag"]
-        mate = (flag.bitwiseAND(PAIRED) != 0) & (flag.bitwiseAND(MATE_UNMAPPED) == 0) & (s["at"] < size - 1)
-        held, lost = s["open"].isNotNull(), flag.bitwiseAND(UNMAPPED) != 0
-        swap = s["open"]["start"] > r["start"]
-        pair = F.struct(F.when(swap, r).otherwise(s["open"]).alias("first"), F.when(swap, s["open"]).otherwise(r).alias("second"))
-        single = F.struct(r.alias("first"), none.alias("second"))
-        out = F.when(held, F.concat(s["out"], F.array(pair))).when(lost | mate, s["out"]).otherwise(F.concat(s["out"], F.array(single)))
-        return F.struct((s["at"] + 1).alias("at"), F.when(~held & ~lost & mate, r).otherwise(none).alias("open"), out.alias("out"))
-
-    return grouped.select(F.inline(F.aggregate("_reads", zero, step)["out"]))
+    home = F.floor(F.col("ordinal") / F.lit(block)).cast("long")
+    seen_by = F.when(F.col("ordinal") % block == 0, F.array(home, home - 1)).otherwise(F.array(home))
+    placed = reads.select("ordinal", "qname", _pairs_up(F.col("flag")).alias("_able"), record.alias("_read"), home.alias("_home"), F.explode(seen_by).alias("_block"))
+    w = Window.partitionBy("_block").orderBy("ordinal")
+    joins = F.col("_able") & (F.lead("qname").over(w) == F.col("qname")) & (F.lead("ordinal").over(w) == F.col("ordinal") + 1)
+    ahead = placed.select("*", F.coalesce(joins, F.lit(False)).alias("_opens"), F.lead("_read").over(w).alias("_next"))
+    stop = F.when(~F.col("_opens"), F.col("ordinal"))
+    inside = ahead.withColumn("_stop", F.max(stop).over(w.rowsBetween(Window.unboundedPreceding, -1))).where("_block = _home")
+
+    # the last record of earlier blocks that takes nothing along: one row for each block, summed up by one task
+    ends = ahead.where("_block = _home").groupBy("_block").agg(F.max(stop).alias("_last"), F.min("ordinal").alias("_least"))
+    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("_block", F.coalesce(F.max("_last").over(before), F.min("_least").over(before) - 1, F.col("_least") - 1).alias("_carried"))
+    known = inside.join(carried, "_block").withColumn("_gap", F.col("ordinal") - F.coalesce("_stop", "_carried"))
+
+    taken = (F.col("_gap") > 1) & (F.col("_gap") % 2 == 0)
+    pair = F.col("_opens") & (F.col("_gap") % 2 == 1)
+    swap = pair & (F.col("_read.start") > F.col("_next.start"))
+    kept = known.where(~taken & (pair | (F.col("_read.flag").bitwiseAND(UNMAPPED) == 0)))
+    return kept.select(
+        F.when(swap, F.col("_next")).otherwise(F.col("_read")).alias("first"),
+        F.when(swap, F.col("_read")).when(pair, F.col("_next")).alias("second"),
+    )
 
 
 def fragment_calls(frags: DataFrame) -> DataFrame:

@@ -14,9 +14,10 @@ from ..sources.files import read_calls, read_regions, read_samples
 
 
 def extract(spark: SparkSession, source: str, folder: str, controls: tuple[str, ...] = ()) -> None:
-    """Alignments to four context files and summary.tab in ``folder``."""
+    """Alignments to four context files and summary.tab in ``folder``. Files of single reads need no search
+    for mates, so their reads are not shuffled."""
     reads, dictionary = read_alignments(spark, source, controls)
-    counts = X.extract(reads).cache()  # five outputs read it
+    counts = X.extract(reads, X.has_pairs(reads)).cache()  # two outputs read it
     try:
         write_contexts(counts, folder, dictionary)
         write_summary(X.extract_summary(counts, dictionary.frame(spark)), f"{folder}/summary.tab")

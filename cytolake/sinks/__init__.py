@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.dictionary import SequenceDictionary
+from ..operators.dictionary import SequenceDictionary, with_contigs
 from ..schema import (
     CALLS_HEADER,
     CALLS_PRAGMA,
@@ -33,52 +33,73 @@ def _number(column: str) -> Column:
     return F.call_function("format_number", F.col(column), F.lit("#.####"))
 
 
-def write_lines(df: DataFrame, path: str, header: list[str]) -> None:
-    """The header and then the one string column of ``df``, in the order of ``df``, as one file. An
-    existing file is replaced; the header is written even without rows."""
+def _part_number(name: str) -> int:
+    return int(name.split("-")[1])
+
+
+def write_files(df: DataFrame, targets: dict[str, tuple[str, list[str]]]) -> None:
+    """Several files from one pass: ``df`` has the key of a file and a line, in order; ``targets`` has the path and the
+    header of each key. Existing files are replaced; headers are written even without rows."""
     spark = df.sparkSession
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(conf)
-    parts = jvm.org.apache.hadoop.fs.Path(f"{path}.parts-{uuid.uuid4().hex}")
-    df.write.text(parts.toString())
+    hadoop = jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(next(iter(targets.values()))[0]).getFileSystem(conf)
+    parts = hadoop(f"{next(iter(targets.values()))[0]}.parts-{uuid.uuid4().hex}")
+    df.toDF("file", "line").write.partitionBy("file").text(parts.toString())
     try:
-        out = fs.create(target, True)
-        try:
-            if header:
-                out.write(bytearray(("\n".join(header) + "\n").encode()))
-            names = sorted(s.getPath().toString() for s in fs.listStatus(parts) if s.getPath().getName().startswith("part-"))
-            for name in names:
-                part = fs.open(jvm.org.apache.hadoop.fs.Path(name))
-                try:
-                    jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, conf, False)
-                finally:
-                    part.close()
-        finally:
-            out.close()
+        for name, (path, header) in targets.items():
+            folder = hadoop(parts, f"file={name}")
+            held = [s.getPath() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+            out = fs.create(hadoop(path), True)
+            try:
+                if header:
+                    out.write(bytearray(("\n".join(header) + "\n").encode()))
+                for p in sorted((p for p in held if p.getName().startswith("part-")), key=lambda p: _part_number(p.getName())):
+                    part = fs.open(p)
+                    try:
+                        jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, conf, False)
+                    finally:
+                        part.close()
+            finally:
+                out.close()
     finally:
         fs.delete(parts, True)
 
 
+def write_lines(df: DataFrame, path: str, header: list[str]) -> None:
+    """The header and then the one string column of ``df``, in the order of ``df``, as one file."""
+    write_files(df.toDF("line").select(F.lit("all"), "line"), {"all": (path, header)})
+
+
 def _sequences(dictionary: SequenceDictionary) -> list[str]:
     return [f"#seq\t{c}\t{n}" for c, n in dictionary.ordered]
 
 
 def _ordered(df: DataFrame, dictionary: SequenceDictionary, *then: Column | str) -> DataFrame:
-    order = dictionary.frame(df.sparkSession).select("contig", "contig_order")
-    return df.join(order, "contig").orderBy("contig_order", *then)
+    """Rows in genome order; a contig that the dictionary lacks raises an error."""
+    return with_contigs(df, dictionary.frame(df.sparkSession)).orderBy("contig_order", *then)
 
 
-def write_calls(calls: DataFrame, path: str, dictionary: SequenceDictionary) -> None:
-    """A call file: six columns where a row has a ratio, five where it has none."""
-    head = [CALLS_PRAGMA, *[f"#control\t{c}" for c, _ in dictionary.ordered if c in set(dictionary.controls)], *_sequences(dictionary), CALLS_HEADER]
+def _calls_header(dictionary: SequenceDictionary) -> list[str]:
+    return [CALLS_PRAGMA, *[f"#control\t{c}" for c, _ in dictionary.ordered if c in set(dictionary.controls)], *_sequences(dictionary), CALLS_HEADER]
+
+
+def _call_line(calls: DataFrame) -> Column:
     c = F.col
     five = _line(c("contig"), c("position"), c("strand"), c("methylated"), c("total"))
     line = five
     if "ratio" in calls.columns:
         line = F.when(c("ratio").isNull(), five).otherwise(F.concat_ws("\t", five, _number("ratio")))
-    minus = F.when(c("strand") == "-", 1).otherwise(0)
-    write_lines(_ordered(calls, dictionary, "position", minus).select(line), path, head)
+    return line
+
+
+def _minus() -> Column:
+    return F.when(F.col("strand") == "-", 1).otherwise(0)
+
+
+def write_calls(calls: DataFrame, path: str, dictionary: SequenceDictionary) -> None:
+    """A call file: six columns where a row has a ratio, five where it has none."""
+    write_lines(_ordered(calls, dictionary, "position", _minus()).select(_call_line(calls)), path, _calls_header(dictionary))
 
 
 def write_population(calls: DataFrame, path: str, dictionary: SequenceDictionary) -> None:
@@ -104,9 +125,10 @@ def write_regions(regions: DataFrame, path: str, dictionary: SequenceDictionary)
 
 
 def write_contexts(counts: DataFrame, folder: str, dictionary: SequenceDictionary) -> None:
-    """Four call files by sequence context; a context without sites has a file with a header."""
-    for name, file in CONTEXT_FILES.items():
-        write_calls(counts.where(F.col("context") == name).drop("context"), f"{folder}/{file}", dictionary)
+    """Four call files by sequence context, from one sort; a context without sites has a file with a header."""
+    rows = _ordered(counts, dictionary, "position", _minus()).select("context", _call_line(counts).alias("line"))
+    head = _calls_header(dictionary)
+    write_files(rows, {name: (f"{folder}/{file}", head) for name, file in CONTEXT_FILES.items()})
 
 
 def write_summary(summary: DataFrame, path: str) -> None:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..operators.dictionary import SequenceDictionary
 from .lines import GZIP, first_bytes, header, lines
 
-KINDS = "qname string, flag int, contig string, start int, cigar string, xm string, xg string, ordinal long"
+KINDS = "qname string, flag int, contig string, start int, cigar string, xm string, xg string"
 
 
 def _sam_dictionary(head: list[str], controls: tuple[str, ...]) -> SequenceDictionary:
@@ -41,13 +41,18 @@ def read_sam(spark: SparkSession, path: str, controls: tuple[str, ...] = ()) ->
     rows = _without_gaps(text).where(~F.startswith("value", F.lit("@")))
     f = F.split("value", "\t")
     tag = lambda name: F.nullif(F.regexp_extract("value", rf"\t{name}:Z:([^\t]*)", 1), F.lit(""))
-    return (
+    reads = (
         rows.select(
             f[0].alias("qname"), f[1].cast("int").alias("flag"), f[2].alias("contig"), f[3].cast("int").alias("start"),
             f[5].alias("cigar"), tag("XM").alias("xm"), tag("XG").alias("xg"), "ordinal",
-        ),
-        dictionary,
+        )
     )
+    return (_spread(reads) if first_bytes(spark, path) == GZIP else reads), dictionary
+
+
+def _spread(reads: DataFrame) -> DataFrame:
+    """Reads of a file that one task decodes, dealt to all tasks before each becomes many calls."""
+    return reads.repartition("ordinal")
 
 
 # --- BAM --------------------------------------------------------------------
@@ -111,14 +116,14 @@ def _tags(raw: bytes) -> dict[str, str]:
 
 def _bam_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [k.split()[0] for k in KINDS.split(", ")]
-    kinds = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int64()]
+    kinds = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()]
 
     def out(rows):
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     for b in batches:
         for content in b.column(0):
-            s, rows, n = _Stream(content.as_py()), [], 0
+            s, rows = _Stream(content.as_py()), []
             contigs = [c for c, _ in _bam_header(s)]
             while size := s.take(4):
                 raw = s.take(struct.unpack("<i", size)[0])
@@ -126,8 +131,7 @@ def _bam_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at = 32 + name_size
                 cigar = "".join(f"{x >> 4}{_OPS[x & 15]}" for x in struct.unpack_from(f"<{ops}I", raw, at)) or "*"
                 tags = _tags(raw[at + 4 * ops + (bases + 1) // 2 + bases :])
-                rows.append((raw[32 : at - 1].decode(), flag, contigs[ref] if ref >= 0 else "*", pos + 1, cigar, tags.get("XM"), tags.get("XG"), n))
-                n += 1
+                rows.append((raw[32 : at - 1].decode(), flag, contigs[ref] if ref >= 0 else "*", pos + 1, cigar, tags.get("XM"), tags.get("XG")))
                 if len(rows) == 10_000:
                     yield out(rows)
                     rows = []
@@ -146,7 +150,9 @@ def read_bam(spark: SparkSession, path: str, controls: tuple[str, ...] = ()) ->
                 yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], ["contig", "length"])
 
     head = [(r["contig"], r["length"]) for r in files.mapInArrow(contigs, "contig string, length long").collect()]
-    return files.mapInArrow(_bam_records, KINDS), SequenceDictionary(tuple(head), tuple(controls))
+    records = files.mapInArrow(_bam_records, KINDS).withColumn("line", F.monotonically_increasing_id())
+    reads = _without_gaps(records).select(*[k.split()[0] for k in KINDS.split(", ")], "ordinal")
+    return _spread(reads), SequenceDictionary(tuple(head), tuple(controls))
 
 
 def read_alignments(spark: SparkSession, path: str, controls: tuple[str, ...] = ()) -> tuple[DataFrame, SequenceDictionary]:

@@ -24,31 +24,37 @@ def first_bytes(spark: SparkSession, path: str, n: int = 2) -> bytes:
         stream.close()
 
 
+#: Bytes that are inflated in a step.
+STEP = 1 << 22
+
+
 def _inflate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for content in b.column(0):
-            rest, data, number = b"", content.as_py(), 0
-            while data:  # one gzip member after another
-                z = zlib.decompressobj(31)
-                lines = (rest + z.decompress(data) + z.flush()).split(b"\n")
-                rest, data = lines.pop(), z.unused_data
-                yield _rows(lines, number)
-                number += len(lines)
-            if rest:
-                yield _rows([rest], number)
+            rest, data, z = b"", content.as_py(), zlib.decompressobj(31)
+            while data:
+                lines = (rest + z.decompress(data, STEP)).split(b"\n")
+                rest, data = lines.pop(), z.unconsumed_tail
+                if z.eof:  # one gzip member after another
+                    data, z = z.unused_data, zlib.decompressobj(31)
+                yield _rows(lines)
+            lines = (rest + z.flush()).split(b"\n")
+            yield _rows(lines if lines[-1] else lines[:-1])
 
 
-def _rows(lines: list[bytes], first: int) -> pa.RecordBatch:
-    text = pa.array([x.decode().rstrip("\r") for x in lines], pa.string())
-    return pa.RecordBatch.from_arrays([text, pa.array(range(first, first + len(lines)), pa.int64())], ["value", "line"])
+def _rows(lines: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x.decode().rstrip("\r") for x in lines], pa.string())], ["value"])
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(value, line): a file's lines and numbers that grow along it. Gzip content is recognised
-    whatever the file is called."""
+    """(value, line): the lines of a file, or of the files of a folder, and numbers that grow along them. Gzip
+    content is recognised whatever the file is called; without the ending .gz a file's compressed bytes are in
+    one task, which inflates them step by step."""
     if first_bytes(spark, path) == GZIP and not path.endswith(".gz"):
-        return spark.read.format("binaryFile").load(path).select("content").mapInArrow(_inflate, "value string, line long")
-    return spark.read.text(path).select("value", F.monotonically_increasing_id().alias("line"))
+        text = spark.read.format("binaryFile").load(path).select("content").mapInArrow(_inflate, "value string")
+    else:
+        text = spark.read.text(path).select("value")
+    return text.withColumn("line", F.monotonically_increasing_id())
 
 
 def header(spark: SparkSession, path: str, mark: str) -> tuple[list[str], str | None]:

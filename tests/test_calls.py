@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cytolake.operators import calls as C
-from cytolake.operators.coordinates import from_linear
+from cytolake.operators.coordinates import from_linear, genome_chunks, reference_length
 from cytolake.operators.dictionary import SequenceDictionary
 
 DICT = SequenceDictionary((("b", 100), ("a", 50), ("lambda", 10)), ("lambda",))
@@ -95,7 +95,7 @@ def test_linear_positions_of_a_frame(spark):
     df = spark.createDataFrame(rows, "id int, linear_position long")
     for size in (7, 1 << 20):
         got = {r["id"]: (r["contig"], r["position"]) for r in from_linear(df, DICT.frame(spark), bin_size=size).collect()}
-        assert got == {i: DICT.from_linear(p) for i, p in rows if p}
+        assert got == {i: DICT.from_linear(p) if p else (None, None) for i, p in rows}
 
 
 def test_chunks_cover_the_genome_once():
@@ -104,6 +104,15 @@ def test_chunks_cover_the_genome_once():
     assert DICT.chunks(48)[0] == [("lambda", 1, 10), ("b", 1, 38)] and len(DICT.chunks(48)) == 4
 
 
+def test_chunks_as_a_frame(spark):
+    for size in (1, 7, 48, 160, 1000):
+        got = genome_chunks(DICT.frame(spark), size).orderBy("chunk", "start").collect()
+        want = [(k, *p) for k, chunk in enumerate(DICT.chunks(size)) for p in chunk]
+        assert sorted(tuple(r) for r in got) == sorted(want)
+    assert reference_length(DICT.frame(spark)).first()[0] == DICT.reference_length == 160
+    assert reference_length(DICT.frame(spark).limit(0)).first()[0] == 0
+
+
 def test_union_needs_a_condition_for_each_input(spark):
     one = frame(spark, []).drop("sample_id")
     with pytest.raises(ValueError):

@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from cytolake.functions.numeric import safe_div
+from cytolake.sinks import write_regions
 from cytolake.functions.stats import close_to, two_tailed_p
 from cytolake.operators import differential as D
 from cytolake.operators.dictionary import SequenceDictionary
@@ -126,6 +127,28 @@ def test_regions_against_a_nested_loop(spark, seed, bin_size):
             assert np.allclose((got[i]["t_statistic"], got[i]["p_value"]), want[2:], rtol=1e-7, atol=1e-9)
 
 
-def test_region_order_keeps_ties(spark):
+def test_region_order_keeps_ties(spark, tmp_path):
     regions = D.with_ordinals(spark.createDataFrame([("z", "19", 1, 2), ("b", "2", 5, 9), ("a", "2", 5, 6), ("c", "2", 1, 9)], "id string, contig string, start int, stop int").coalesce(1))
-    assert [r["id"] for r in D.ordered_regions(regions, DICT.frame(spark)).collect()] == ["c", "b", "a", "z"]
+    calls = spark.createDataFrame([], KINDS)
+    write_regions(D.differential_regions(calls, regions, DICT.frame(spark)), str(tmp_path / "r"), DICT)
+    assert [x.split("\t")[0] for x in open(tmp_path / "r").read().splitlines()[1:]] == ["c", "b", "a", "z"]
+
+
+def test_variance_of_nearly_equal_ratios_at_great_depth(spark):
+    """One part in 1e8 apart at a depth of 1e8: sums of squares would cancel to noise, in one bin or in many."""
+    t = 10**8
+    rows = [("2", 10 + 40 * k, "+", t // 2 + d, t, c, 3 * (1 - c) + i) for k in range(2) for c in (0, 1) for i, d in enumerate((0, 1, 3))]
+    calls = spark.createDataFrame(rows, KINDS)
+    (a, b) = D.site_moments(calls).collect()
+    want = expected_variance([(0.5 + d / t, t) for d in (0, 1, 3)])
+    assert np.allclose([a["variance_1"], b["variance_2"]], want, rtol=1e-6)
+    regions = spark.createDataFrame([("x", "2", 1, 99)], "id string, contig string, start int, stop int")
+    for size in (16, 10_000):
+        r = D.differential_regions(calls, regions, DICT.frame(spark), bin_size=size).first()
+        assert r["t_statistic"] == 0 and r["p_value"] == 1 and abs(r["sample1_mean"] - 0.5 - 4e-8 / 3) < 1e-15
+
+
+def expected_variance(x):
+    v, w = (np.array(c, dtype=np.longdouble) for c in zip(*x, strict=True))
+    m = (v * w).sum() / w.sum()
+    return float(w.sum() / (w.sum() ** 2 - (w * w).sum()) * (w * (v - m) ** 2).sum())

@@ -1,6 +1,8 @@
 import re
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cytolake.operators import extract as X
 from cytolake.operators.dictionary import SequenceDictionary
@@ -71,6 +73,39 @@ def test_pairing_is_greedy_along_the_file(spark):
     assert got == [(0, 1), (2, None), (3, None), (4, None), (5, None), (6, None), (7, None), (8, None), (10, 11)]
 
 
+def scanned(rows):
+    """(first, second) ordinals of fragments, as a scan along the file finds them."""
+    out, i = [], 0
+    while i < len(rows):
+        flag = rows[i][1]
+        if not flag & 4:
+            taken = flag & 1 and not flag & 8 and i + 1 < len(rows) and rows[i + 1][0] == rows[i][0]
+            a, b = (i, i + 1) if taken else (i, None)
+            out.append((b, a) if taken and rows[a][3] > rows[b][3] else (a, b))
+            i += bool(taken)
+        i += 1
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("block", [1, 2, 5, 64, 65_536])
+def test_pairing_is_that_of_a_scan_whatever_the_blocks(spark, block):
+    rng = np.random.default_rng(block)
+    rows, name = [], 0
+    for _ in range(400):
+        name += rng.random() < 0.3
+        rows.append((f"n{name if name % 5 else 0}", int(rng.choice([1, 1, 1, 1, 0, 4, 5, 9])), "1", int(rng.integers(1, 9)), "1M", "Z", "CT"))
+    got = X.fragments(reads(spark, rows).repartition(3), block).collect()
+    assert sorted(((r["first"]["ordinal"], r["second"] and r["second"]["ordinal"]) for r in got), key=str) == scanned(rows)
+
+
+def test_a_million_reads_of_one_name(spark):
+    flags = F.when(F.col("id") == 7, 4).otherwise(1)
+    many = spark.range(1_000_000).select(F.lit("x").alias("qname"), flags.alias("flag"), F.lit("1").alias("contig"), F.lit(1).alias("start"), F.lit("1M").alias("cigar"), F.lit("Z").alias("xm"), F.lit("CT").alias("xg"), F.col("id").alias("ordinal"))
+    seen = X.fragments(many).agg(F.count("*").alias("n"), F.count("second").alias("pairs"), F.max("second.ordinal").alias("last"), F.sum(F.col("second.ordinal") - F.col("first.ordinal")).alias("apart")).first()
+    # records 0 to 7 are four pairs, the last of which takes the unmapped record along
+    assert seen["pairs"] == seen["n"] == seen["apart"] == 500_000 and seen["last"] == 999_999
+
+
 def test_second_read_inside_the_first_adds_nothing(spark):
     inner = ("a", 147, "1", 12, "2M", "ZZ", "CT")
     assert counted(X.extract(reads(spark, [A, inner]))) == expected([(A, None)])

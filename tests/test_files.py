@@ -2,9 +2,13 @@ import gzip
 import struct
 import zlib
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from cytolake import cli
+from cytolake.operators.dictionary import SequenceDictionary
+from cytolake.sinks import _part_number, write_calls
 from cytolake.sources.alignments import read_alignments
 from cytolake.sources.files import read_calls, read_consensus, read_regions, read_samples
 
@@ -126,6 +130,52 @@ def test_extract_files(spark, tmp_path, kind):
     assert summary == ["Contig\tDepth\tMethylation Ratio", "L\t1.0\t1.0", "7\t1.0\t0.5", "All\t1.0\t0.6"]
 
 
+@pytest.mark.parametrize("verb", ["merge", "call", "popCall", "diff", "extract"])
+def test_a_contig_that_the_dictionary_lacks_is_an_error(spark, tmp_path, verb):
+    out = str(tmp_path / "o")
+    if verb == "extract":
+        path = put(tmp_path / "x.sam", SAM.replace("c\t16\tL", "c\t16\tGONE"))
+        args = ["extract", "-i", path, "-o", str(tmp_path)]
+    else:
+        path = put(tmp_path / "a", CALLS + "7\t5\t-\t2\t40\t0.5\nGONE\t6\t-\t30\t40\t0.5\n")
+        args = [verb, "-i", path, "-o", out] + (["-i", path] if verb in ("merge", "popCall", "diff") else []) + (["-c", "0,1"] if verb == "diff" else [])
+    if verb == "diff":
+        more = put(tmp_path / "b", CALLS + "7\t5\t-\t2\t40\t0.5\nGONE\t6\t-\t1\t40\t0.5\n")
+        args = ["diff", "-i", path, "-i", path, "-i", more, "-i", more, "-o", out, "-c", "0,0,1,1"]
+    with pytest.raises(Exception, match="GONE is not defined"):
+        cli.main(args, spark)
+
+
+def test_sinks_refuse_unknown_contigs(spark, tmp_path):
+    d = SequenceDictionary((("1", 10),))
+    calls = spark.createDataFrame([("2", 1, "+", 1, 1)], "contig string, position int, strand string, methylated int, total int")
+    with pytest.raises(Exception, match="2 is not defined"):
+        write_calls(calls, str(tmp_path / "o"), d)
+
+
+def test_parts_are_joined_in_the_order_of_their_numbers():
+    names = [f"part-{n:05d}-x" for n in (100_000, 99_999, 7, 1_000_000)]
+    assert [_part_number(n) for n in sorted(names, key=_part_number)] == [7, 99_999, 100_000, 1_000_000]
+
+
+def test_gzip_members_and_a_folder_of_them(spark, tmp_path, monkeypatch):
+    from cytolake.sources import lines as L
+
+    text = [f"line {i} é" for i in range(5000)]
+    folder = tmp_path / "f"
+    folder.mkdir()
+    for k in range(2):
+        body = "\n".join(text).encode()
+        (folder / f"x{k}").write_bytes(gzip.compress(body[:30_001]) + gzip.compress(body[30_001:]))
+    one = L.lines(spark, str(folder / "x0")).orderBy("line").collect()
+    assert [r["value"] for r in one] == text
+    batches = [pa.RecordBatch.from_arrays([pa.array([(folder / "x0").read_bytes()])], ["content"])]
+    monkeypatch.setattr(L, "STEP", 100)
+    assert [v for b in L._inflate(batches) for v in b.column(0).to_pylist()] == text
+    both = spark.read.format("binaryFile").load(str(folder)).select("content").mapInArrow(L._inflate, "value string").withColumn("line", F.monotonically_increasing_id())
+    assert both.select("line").distinct().count() == both.count() == 10_000
+
+
 def test_help(capsys):
     assert cli.main([]) == 0
     assert "popCall" in capsys.readouterr().out
