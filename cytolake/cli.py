@@ -11,8 +11,16 @@ from .plans import verbs
 from .schema import POPULATION_DEPTH
 
 
+class _Parser(argparse.ArgumentParser):
+    """An unknown verb or a missing option prints the help and ends normally."""
+
+    def error(self, message: str):
+        self.print_help()
+        self.exit(0, f"{self.prog}: {message}\n")
+
+
 def parser() -> argparse.ArgumentParser:
-    top = argparse.ArgumentParser(prog="cytolake", description="Methylation calls from bisulfite sequencing.")
+    top = _Parser(prog="cytolake", description="Methylation calls from bisulfite sequencing.")
     sub = top.add_subparsers(dest="verb")
 
     def verb(name: str, about: str, many: bool, several: str = "--input") -> argparse.ArgumentParser:

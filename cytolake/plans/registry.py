@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import corrected_ratio, ratio, safe_div
-from ..functions.stats import LANCZOS, TERMS
 from ..operators import calls as C
 from ..operators import differential as D
 from ..operators import extract as X
@@ -21,13 +20,13 @@ ORACLE: dict[str, str] = {}
 ERROR, DEPTH, CHUNK = 0.05, 20, 100_000
 
 
-def _rounded(c: Column | str, digits: int = 6) -> Column:
+def rounded(c: Column | str, digits: int = 6) -> Column:
     """NaN as null and few digits, so that engines agree on the bytes."""
     c = F.col(c) if isinstance(c, str) else c
     return F.when(~F.isnan(c), F.round(c, digits))
 
 
-def _query(sql: str):
+def query(sql: str):
     def add(f: Callable[[SparkSession, str], DataFrame]):
         QUERIES[f.__name__], ORACLE[f.__name__] = f, sql
         return f
@@ -50,7 +49,7 @@ SAMPLES = RAW + """, samples AS (
 )"""
 
 
-def _moments_sql(source: str, keys: str, extra: str = "") -> str:
+def moments_sql(source: str, keys: str, extra: str = "") -> str:
     """CTEs of weighted means and two-pass variances by ``keys`` from ``source`` (with condition, v, w)."""
     on = " AND ".join(f"o.{k.strip()} = m.{k.strip()}" for k in keys.split(","))
     return f"""means AS (
@@ -71,15 +70,14 @@ def _moments_sql(source: str, keys: str, extra: str = "") -> str:
 )"""
 
 
-def _log_gamma_sql(x: str) -> str:
-    series = " + ".join([str(LANCZOS[0])] + [f"({c}) / ({x} - 1.0 + {i})" for i, c in enumerate(LANCZOS[1:], 1)])
-    return f"(0.9189385332046727 + ({x} - 0.5) * ln({x} + 6.5) - ({x} + 6.5) + ln({series}))"
+#: Terms of the continued fraction in SQL: four times what the engine takes, and with the database's own gamma function.
+SQL_TERMS = 200
 
 
 def _fraction_sql(a: str, b: str, x: str, y: str) -> str:
     even = f"floor(k / 2) * ({b} - floor(k / 2)) * {x} / (({a} + 2 * floor(k / 2) - 1) * ({a} + 2 * floor(k / 2)))"
     odd = f"-({a} + floor(k / 2)) * ({a} + {b} + floor(k / 2)) * {x} / (({a} + 2 * floor(k / 2)) * ({a} + 2 * floor(k / 2) + 1))"
-    tail = f"list_reduce(list_prepend(1.0::DOUBLE, list_transform(range({TERMS}, 0, -1), lambda z: z::DOUBLE)), lambda acc, k: 1.0 + (CASE WHEN k::BIGINT % 2 = 0 THEN {even} ELSE {odd} END) / acc)"
+    tail = f"list_reduce(list_prepend(1.0::DOUBLE, list_transform(range({SQL_TERMS}, 0, -1), lambda z: z::DOUBLE)), lambda acc, k: 1.0 + (CASE WHEN k::BIGINT % 2 = 0 THEN {even} ELSE {odd} END) / acc)"
     return f"exp({a} * ln({x}) + {b} * ln({y}) - lb) / ({a} * {tail})"
 
 
@@ -93,7 +91,7 @@ TEST_SQL = f"""pooled AS (
   FROM pooled WHERE n_1 > 1 AND n_2 > 1
 ), xy AS (
   SELECT *, df / (df + t * t) AS x, t * t / (df + t * t) AS y, df / 2 AS a, 0.5::DOUBLE AS h,
-         {_log_gamma_sql("(df / 2)")} + 0.5723649429247001 - {_log_gamma_sql("(df / 2 + 0.5)")} AS lb
+         lgamma(df / 2) + lgamma(0.5) - lgamma(df / 2 + 0.5) AS lb
   FROM w
 ), tested AS (
   SELECT *, CASE WHEN isnan(df) OR isnan(t) THEN 'NaN'::DOUBLE WHEN isinf(t) THEN 0.0 WHEN t = 0 THEN 1.0
@@ -105,13 +103,13 @@ TEST_SQL = f"""pooled AS (
 # --- queries ------------------------------------------------------------------
 
 
-@_query(f"WITH {RAW} SELECT sample_id, contig, position, strand, methylated, total, round(methylated / total, 6) AS ratio FROM raw")
+@query(f"WITH {RAW} SELECT sample_id, contig, position, strand, methylated, total, round(methylated / total, 6) AS ratio FROM raw")
 def scan_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = V.raw_calls(spark, sf_dir)
-    return raw.select("sample_id", "contig", "position", "strand", "methylated", "total", _rounded(ratio(F.col("methylated"), F.col("total"))).alias("ratio"))
+    return raw.select("sample_id", "contig", "position", "strand", "methylated", "total", rounded(ratio(F.col("methylated"), F.col("total"))).alias("ratio"))
 
 
-@_query(
+@query(
     f"""WITH {RAW} SELECT contig, position, arg_min(strand, sample_id) AS strand, sum(methylated)::BIGINT AS methylated, sum(total)::BIGINT AS total
 FROM raw GROUP BY contig, position ORDER BY min(contig_order), position"""
 )
@@ -119,13 +117,13 @@ def merge_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.ordered(C.merge_calls(V.raw_calls(spark, sf_dir)), V.dictionary(spark, sf_dir))
 
 
-@_query(f"WITH {RAW} SELECT round(sum(methylated) / sum(total), 9) AS error_rate FROM raw WHERE contig = 'AFRICA'")
+@query(f"WITH {RAW} SELECT round(sum(methylated) / sum(total), 9) AS error_rate FROM raw WHERE contig = 'AFRICA'")
 def control_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rate = C.control_error_rate(V.raw_calls(spark, sf_dir), V.dictionary(spark, sf_dir), ERROR)
-    return rate.select(_rounded("error_rate", 9).alias("error_rate"))
+    return rate.select(rounded("error_rate", 9).alias("error_rate"))
 
 
-@_query(
+@query(
     f"""WITH {RAW}, merged AS (
   SELECT contig, position, min(strand) AS strand, sum(methylated)::BIGINT AS methylated, sum(total)::BIGINT AS total FROM raw GROUP BY contig, position
 ), e AS (SELECT sum(methylated) / sum(total) AS e FROM merged WHERE contig = 'AFRICA')
@@ -134,39 +132,39 @@ FROM merged, e WHERE contig <> 'AFRICA'"""
 )
 def consensus_call(spark: SparkSession, sf_dir: str) -> DataFrame:
     called = C.consensus_call(V.merged_calls(spark, sf_dir), V.dictionary(spark, sf_dir), ERROR)
-    return called.withColumn("ratio", _rounded("ratio"))
+    return called.withColumn("ratio", rounded("ratio"))
 
 
-@_query(
+@query(
     f"""WITH {SAMPLES} SELECT contig, position, arg_min(strand, sample_id) AS strand, round(avg(methylated / total), 6) AS ratio,
 round(stddev_samp(methylated / total) / sqrt(count(*)), 6) AS standard_deviation
 FROM samples WHERE total >= {DEPTH} GROUP BY contig, position HAVING count(*) >= 2"""
 )
 def population_call(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = C.population_call(V.ratio_calls(spark, sf_dir), DEPTH)
-    return out.withColumns({c: _rounded(c) for c in ("ratio", "standard_deviation")})
+    return out.withColumns({c: rounded(c) for c in ("ratio", "standard_deviation")})
 
 
 SITES = f"""{SAMPLES}, obs AS (SELECT contig, position, condition, strand, methylated / total AS v, total::DOUBLE AS w FROM samples WHERE total >= 3), """
 
 
-@_query(
-    f"""WITH {SITES} {_moments_sql("obs", "contig, position")}
+@query(
+    f"""WITH {SITES} {moments_sql("obs", "contig, position")}
 SELECT contig, position, CASE WHEN position % 2 = 1 THEN '+' ELSE '-' END AS strand, n_1, round(mean_1, 6) AS mean_1,
 round(CASE WHEN NOT isnan(variance_1) THEN variance_1 END, 6) AS variance_1, n_2, round(mean_2, 6) AS mean_2,
 round(CASE WHEN NOT isnan(variance_2) THEN variance_2 END, 6) AS variance_2 FROM moments"""
 )
 def site_weighted_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = D.site_moments(V.sample_calls(spark, sf_dir))
-    return out.withColumns({c: _rounded(c) for c in ("mean_1", "variance_1", "mean_2", "variance_2")})
+    return out.withColumns({c: rounded(c) for c in ("mean_1", "variance_1", "mean_2", "variance_2")})
 
 
 def _statistics(df: DataFrame) -> DataFrame:
-    return df.withColumns({c: _rounded(c) for c in ("sample1_mean", "sample2_mean", "t_statistic", "p_value")})
+    return df.withColumns({c: rounded(c) for c in ("sample1_mean", "sample2_mean", "t_statistic", "p_value")})
 
 
-@_query(
-    f"""WITH {SITES} {_moments_sql("obs", "contig, position")}, {TEST_SQL}
+@query(
+    f"""WITH {SITES} {moments_sql("obs", "contig, position")}, {TEST_SQL}
 SELECT contig, position, CASE WHEN position % 2 = 1 THEN '+' ELSE '-' END AS strand, round(mean_1, 6) AS sample1_mean,
 round(mean_2, 6) AS sample2_mean, round(t, 6) AS t_statistic, round(p, 6) AS p_value FROM tested WHERE NOT isnan(p) AND p <= 0.05"""
 )
@@ -180,7 +178,7 @@ REGIONS = """regions AS (
 )"""
 
 
-@_query(
+@query(
     f"""WITH {SAMPLES}, {REGIONS} SELECT id, start, stop, s.contig, position, sample_id, methylated, total
 FROM samples s JOIN regions r ON s.contig = r.contig AND position BETWEEN start AND stop"""
 )
@@ -189,11 +187,11 @@ def region_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", "start", "stop", "contig", "position", "sample_id", "methylated", "total")
 
 
-@_query(
+@query(
     f"""WITH {SAMPLES}, {REGIONS}, obs AS (
   SELECT id, condition, methylated / total AS v, total::DOUBLE AS w
   FROM samples s JOIN regions r ON s.contig = r.contig AND position BETWEEN start AND stop WHERE total >= 3
-), {_moments_sql("obs", "id")}, {TEST_SQL}
+), {moments_sql("obs", "id")}, {TEST_SQL}
 SELECT r.id, r.contig, r.start, r.stop, round(mean_1, 6) AS sample1_mean, round(mean_2, 6) AS sample2_mean, round(t, 6) AS t_statistic,
 round(CASE WHEN NOT isnan(p) THEN p END, 6) AS p_value FROM regions r LEFT JOIN tested t ON t.id = r.id"""
 )
@@ -227,38 +225,38 @@ PAIRED = f"""{READS}, {MATES}, counts AS (
 )"""
 
 
-@_query(f"WITH {READS} {COUNTED} FROM kept GROUP BY 1, 2, 3, 4")
+@query(f"WITH {READS} {COUNTED} FROM kept GROUP BY 1, 2, 3, 4")
 def extract_single(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.extract(V.reads(spark, sf_dir), paired=False)
 
 
-@_query(f"WITH {PAIRED} SELECT * FROM counts")
+@query(f"WITH {PAIRED} SELECT * FROM counts")
 def extract_paired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.extract(V.reads(spark, sf_dir))
 
 
-@_query(f"WITH {PAIRED} SELECT context, count(*) AS sites, sum(methylated)::BIGINT AS methylated, sum(total)::BIGINT AS total FROM counts GROUP BY context")
+@query(f"WITH {PAIRED} SELECT context, count(*) AS sites, sum(methylated)::BIGINT AS methylated, sum(total)::BIGINT AS total FROM counts GROUP BY context")
 def extract_context_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.extract(V.reads(spark, sf_dir)).groupBy("context").agg(
         F.count("*").alias("sites"), F.sum("methylated").alias("methylated"), F.sum("total").alias("total")
     )
 
 
-@_query(
+@query(
     f"""WITH {PAIRED} SELECT coalesce(contig, 'All') AS contig, round(sum(total) / count(*), 6) AS depth,
 round(sum(methylated) / sum(total), 6) AS methylation_ratio FROM counts GROUP BY ROLLUP (contig)"""
 )
 def extract_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = X.extract_summary(X.extract(V.reads(spark, sf_dir)), V.dictionary(spark, sf_dir))
-    return out.select("contig", _rounded("depth").alias("depth"), _rounded("methylation_ratio").alias("methylation_ratio"))
+    return out.select("contig", rounded("depth").alias("depth"), rounded("methylation_ratio").alias("methylation_ratio"))
 
 
-@_query(f"WITH {READS}, {MATES} SELECT a.ordinal AS first, b.ordinal AS second FROM mates a LEFT JOIN mates b ON a.n = b.n AND b.mate = 2 WHERE a.mate = 1")
+@query(f"WITH {READS}, {MATES} SELECT a.ordinal AS first, b.ordinal AS second FROM mates a LEFT JOIN mates b ON a.n = b.n AND b.mate = 2 WHERE a.mate = 1")
 def mate_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.fragments(V.reads(spark, sf_dir)).select(F.col("first.ordinal").alias("first"), F.col("second.ordinal").alias("second"))
 
 
-@_query(
+@query(
     f"""WITH {RAW} SELECT contig, position, (contig_order * 1000000 + position)::BIGINT AS linear_position,
 contig_order < 2 OR (contig_order = 2 AND position <= 1000) AS in_front FROM raw GROUP BY contig, position, contig_order"""
 )
@@ -268,13 +266,13 @@ def linear_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sites.select("contig", "position", linear_position(F.col("contig_offset"), F.col("position")).alias("linear_position"), front.alias("in_front"))
 
 
-@_query("SELECT o_orderkey, r_name AS contig, (o_orderkey % 4999999 % 1000000 + 1)::INT AS position FROM orders JOIN region ON r_regionkey = o_orderkey % 4999999 // 1000000")
+@query("SELECT o_orderkey, r_name AS contig, (o_orderkey % 4999999 % 1000000 + 1)::INT AS position FROM orders JOIN region ON r_regionkey = o_orderkey % 4999999 // 1000000")
 def inverse_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", (F.col("o_orderkey") % 4_999_999 + 1).alias("linear_position"))
     return from_linear(orders, V.dictionary(spark, sf_dir)).drop("linear_position")
 
 
-@_query(
+@query(
     f"""WITH {RAW} SELECT ((contig_order * 1000000 + position) // {CHUNK})::BIGINT AS bin, count(*) AS calls, sum(total)::BIGINT AS total
 FROM raw GROUP BY 1"""
 )
@@ -284,7 +282,7 @@ def genome_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.groupBy(at.alias("bin")).agg(F.count("*").alias("calls"), F.sum("total").alias("total"))
 
 
-@_query(
+@query(
     """SELECT l_quantity AS a, l_discount AS b, CASE WHEN l_discount = 0 THEN NULL ELSE round(l_quantity / l_discount, 6) END AS quotient,
 round(greatest(0.0, (l_discount - 0.05) / (1 - 0.05)), 6) AS corrected FROM lineitem"""
 )
@@ -293,4 +291,4 @@ def ratio_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     q = safe_div(F.col("l_quantity"), F.col("l_discount"))
     fixed = corrected_ratio(F.col("l_discount"), F.lit(1.0), F.lit(0.05))
-    return items.select(F.col("l_quantity").alias("a"), F.col("l_discount").alias("b"), F.when(q != float("inf"), _rounded(q)).alias("quotient"), _rounded(fixed).alias("corrected"))
+    return items.select(F.col("l_quantity").alias("a"), F.col("l_discount").alias("b"), F.when(q != float("inf"), rounded(q)).alias("quotient"), rounded(fixed).alias("corrected"))

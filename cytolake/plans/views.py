@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.calls import merge_calls
+from ..operators.dictionary import SequenceDictionary
 
 CONTROL = "AFRICA"
 CONTIG_LENGTH = 1_000_000
@@ -34,6 +35,12 @@ def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def sequence_dictionary(spark: SparkSession, sf_dir: str, controls: tuple[str, ...] = (CONTROL,)) -> SequenceDictionary:
+    """The same five contigs as the header of a file would have them."""
+    names = [r["r_name"] for r in _table(spark, sf_dir, "region").orderBy("r_regionkey").limit(5).collect()]
+    return SequenceDictionary(tuple((n, CONTIG_LENGTH) for n in names), controls)
+
+
 def raw_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = _contig(spark, sf_dir, _table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_quantity", "l_discount"), "l_partkey")
     sample, total = (F.col("l_suppkey") % 6).cast("int"), F.col("l_quantity").cast("int")
@@ -73,7 +80,7 @@ def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders 2k and 2k+1 are mates that overlap."""
     orders = _table(spark, sf_dir, "orders").select("o_orderkey").withColumn("n", F.floor(F.col("o_orderkey") / 2).cast("long"))
-    own = _contig(spark, sf_dir, orders, "n")
+    own = _contig(spark, sf_dir, orders.repartition("o_orderkey"), "n")  # the orders are one small file, and a read is many rows later
     key = F.col("o_orderkey")
     return own.select(
         F.concat(F.lit("read"), F.col("n").cast("string")).alias("qname"), F.lit(3).alias("flag"), "contig",
@@ -82,3 +89,34 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.translate(F.md5(key.cast("string")), "0123456789abcdef", "zZxXhHuU........").alias("xm"),
         F.when(F.col("n") % 2 == 0, "CT").otherwise("GA").alias("xg"), key.alias("ordinal"),
     )
+
+
+#: Depth of the six tracks. Their sums and ratios have no decimal ties, so that engines agree on printed numbers.
+TRACK_DEPTHS = (7, 14, 21, 9, 18, 36)
+
+
+def track(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    """A call at every site, of a depth that is the track's own."""
+    sites = merged_calls(spark, sf_dir).select("contig", "position", "strand")
+    methylated = (F.col("position") * (2 * k + 5) + k) % (TRACK_DEPTHS[k] + 1)
+    return sites.withColumns({"methylated": methylated.cast("int"), "total": F.lit(TRACK_DEPTHS[k])})
+
+
+def mixed_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``reads`` in which the names and flags of seven pairs in a row are: two single reads; an unmapped read and its
+    mate; a read and its unmapped mate; four records of one name, the first unmapped; and two pairs."""
+    n, odd = F.floor(F.col("ordinal") / 2).cast("long"), F.col("ordinal") % 2 == 1
+    kind = n % 7
+    flag = (
+        F.when(kind == 0, 0)
+        .when(kind == 1, F.when(odd, 9).otherwise(5))
+        .when(kind == 2, F.when(odd, 5).otherwise(9))
+        .when((kind == 3) & ~odd, 5)
+        .otherwise(3)
+    )
+    unmapped = flag.bitwiseAND(4) != 0
+    own = reads(spark, sf_dir).withColumn("flag", flag)
+    return own.withColumns({
+        "qname": F.when(kind.isin(3, 4), F.concat(F.lit("four"), F.floor(n / 7).cast("string"))).otherwise(F.col("qname")),
+        "contig": F.when(unmapped, "*").otherwise(F.col("contig")),
+    })

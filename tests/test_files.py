@@ -179,3 +179,10 @@ def test_gzip_members_and_a_folder_of_them(spark, tmp_path, monkeypatch):
 def test_help(capsys):
     assert cli.main([]) == 0
     assert "popCall" in capsys.readouterr().out
+
+
+@pytest.mark.parametrize("args", [["other"], ["merge"], ["diff", "-i", "x"]])
+def test_wrong_arguments_print_help(capsys, args):
+    with pytest.raises(SystemExit) as e:
+        cli.main(args)
+    assert e.value.code == 0 and "usage" in capsys.readouterr().out
