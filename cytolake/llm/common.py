@@ -2,40 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import new_path
+
 #: Rows that a Python worker takes from an Arrow batch of whole texts at once; bounds memory only.
 TEXT_ROWS = 1000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
-
-    Where it is unset, a local master (tests) gets a temporary folder; a cluster
-    is refused, since no other folder is known to be shared.
-    """
-    conf = spark.sparkContext.getConf()
-    root = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="cytolake-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
 def save(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a scratch table and return it read back: lineage is cut, and
     the rows survive the loss of any executor. The table stays until the shared
     folder is cleaned, since results are lazy and may still read it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/scratch/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     # the table is read only after the write has ended, so it needs no marker of that
     df.write.options(compression="zstd", **{"mapreduce.fileoutputcommitter.marksuccessfuljobs": "false"}).parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
