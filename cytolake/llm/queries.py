@@ -127,19 +127,35 @@ def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _dated_list(pages: DataFrame) -> DataFrame:
-    """A dated list over the sites of the pages. The tables hold no list, so a hash of the site, which SQL
-    can compute too, dates its entries: every site whose name has a hyphen and one in eight of the others."""
-    site = F.regexp_extract(F.col("url"), r"([^./@]+\.[^./@]+\.[^./@:?#]+)(?:[/:?#]|$)", 1)
+    """Dated lists over the hosts of the pages. The tables hold no list, so hashes of the patterns, which SQL
+    can compute too, choose and date the entries: sites of three labels (those with a hyphen, and one in eight of the
+    others), one whole host in six, one first path segment of a host in four, and the domains of two labels for ten
+    days each. A pattern may be on several lists, and one in seven is removed at the time of its addition."""
+    url = F.lower("url")
+    host = F.regexp_extract(url, r"^[a-z]+://([^/?#]+)", 1)
     n = F.conv(F.substring(F.md5("pattern"), 1, 6), 16, 10).cast("long")
-    sites = pages.select(site.alias("pattern")).where("pattern != ''").distinct().withColumn("n", n)
-    listed = sites.where("pattern like '%-%' or n % 8 = 0").withColumn(
-        "list", F.when(F.col("pattern").like("%-%"), F.lit("spam")).otherwise(F.lit("sampled"))
+    made = F.array(
+        F.struct(F.lit("sites").alias("list"), F.regexp_extract(host, r"([^.]+\.[^.]+\.[^.]+)$", 1).alias("pattern")),
+        F.struct(F.lit("hosts").alias("list"), host.alias("pattern")),
+        F.struct(F.lit("domains").alias("list"), F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1).alias("pattern")),
+        F.struct(F.lit("paths").alias("list"), F.regexp_extract(url, r"^[a-z]+://([^/?#]+/[^/?#]+)", 1).alias("pattern")),
     )
-    day = F.col("n") % 300
+    every = pages.select(F.inline(made)).where("pattern != ''").distinct().withColumn("n", n)
+    hyphen = F.col("pattern").like("%-%")
+    named = F.when(F.col("list") == "sites", F.when(hyphen, F.lit("spam")).otherwise(F.lit("sampled"))).otherwise(F.col("list"))
+    listed = every.where(
+        (F.col("list") == "sites") & (hyphen | (F.col("n") % 8 == 0))
+        | (F.col("list") == "hosts") & (F.col("n") % 6 == 0)
+        | (F.col("list") == "domains")
+        | (F.col("list") == "paths") & (F.col("n") % 4 == 0)
+    ).withColumn("list", named)
+    day, wide = F.col("n") % 300, F.col("list") == "domains"
     events = F.array(
         F.struct(F.lit("add").alias("action"), day.alias("day")),
+        F.struct(F.when(wide, F.lit("remove")).alias("action"), (day + 10).alias("day")),
         F.struct(F.when(F.col("n") % 3 == 0, F.lit("remove")).alias("action"), (day + 20).alias("day")),
-        F.struct(F.when(F.col("n") % 5 == 0, F.lit("add")).alias("action"), (day + 45).alias("day")),
+        F.struct(F.when((F.col("n") % 5 == 0) & ~wide, F.lit("add")).alias("action"), (day + 45).alias("day")),
+        F.struct(F.when(F.col("n") % 7 == 0, F.lit("remove")).alias("action"), day.alias("day")),
     )
     return listed.select("list", "pattern", F.inline(events)).select(
         "list", "pattern", "action", F.timestamp_seconds(F.lit(1704067200) + F.col("day") * 86400).alias("at")
@@ -158,18 +174,22 @@ def op7_temporal_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE["op7_temporal_url_lists"] = r"""
 WITH p AS (
-  SELECT page_id, url, 1704067200 + (page_id * 37) % 8760 * 3600 AS at_s,
-         regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]+(/[^?#]*)', 1) AS path
+  SELECT page_id, 1704067200 + (page_id * 37) % 8760 * 3600 AS at_s, regexp_extract(lower(url), '^[a-z]+://([^/?#]+)', 1) AS host,
+         regexp_extract(lower(url), '^[a-z]+://([^/?#]+/[^/?#]+)', 1) AS path
   FROM pages
 ), s AS (
-  SELECT DISTINCT regexp_extract(url, '([^./@]+\.[^./@]+\.[^./@:?#]+)(?:[/:?#]|$)', 1) AS pattern FROM pages
-), n AS (SELECT pattern, ('0x' || substr(md5(pattern), 1, 6))::BIGINT AS n FROM s WHERE pattern <> ''),
+  SELECT 'sites' AS kind, regexp_extract(host, '([^.]+\.[^.]+\.[^.]+)$', 1) AS pattern FROM p UNION SELECT 'hosts', host FROM p
+  UNION SELECT 'domains', regexp_extract(host, '([^.]+\.[^.]+)$', 1) FROM p UNION SELECT 'paths', path FROM p
+), n AS (SELECT kind, pattern, ('0x' || substr(md5(pattern), 1, 6))::BIGINT AS n FROM s WHERE pattern <> ''),
 listed AS (
-  SELECT CASE WHEN pattern LIKE '%-%' THEN 'spam' ELSE 'sampled' END AS list, pattern, n FROM n WHERE pattern LIKE '%-%' OR n % 8 = 0
+  SELECT CASE WHEN kind = 'sites' THEN CASE WHEN pattern LIKE '%-%' THEN 'spam' ELSE 'sampled' END ELSE kind END AS list, pattern, n FROM n
+  WHERE kind = 'domains' OR (kind = 'sites' AND (pattern LIKE '%-%' OR n % 8 = 0)) OR (kind = 'hosts' AND n % 6 = 0) OR (kind = 'paths' AND n % 4 = 0)
 ), ev AS (
   SELECT list, pattern, 'add' AS action, n % 300 AS day FROM listed
+  UNION ALL SELECT list, pattern, 'remove', n % 300 + 10 FROM listed WHERE list = 'domains'
   UNION ALL SELECT list, pattern, 'remove', n % 300 + 20 FROM listed WHERE n % 3 = 0
-  UNION ALL SELECT list, pattern, 'add', n % 300 + 45 FROM listed WHERE n % 5 = 0
+  UNION ALL SELECT list, pattern, 'add', n % 300 + 45 FROM listed WHERE n % 5 = 0 AND list <> 'domains'
+  UNION ALL SELECT list, pattern, 'remove', n % 300 FROM listed WHERE n % 7 = 0
 ), iv AS (
   SELECT list, pattern, action, 1704067200 + day * 86400 AS since_s,
          1704067200 + 86400 * lead(day) OVER (PARTITION BY list, pattern ORDER BY day, action) AS until_s
@@ -177,7 +197,7 @@ listed AS (
 ), m AS (
   SELECT p.page_id, iv.list, iv.pattern, iv.since_s FROM p JOIN iv
   ON iv.action = 'add' AND iv.since_s <= p.at_s AND (iv.until_s IS NULL OR p.at_s < iv.until_s)
-  AND (p.host = iv.pattern OR ends_with(p.host, '.' || iv.pattern))
+  AND (p.host = iv.pattern OR ends_with(p.host, '.' || iv.pattern) OR p.path = iv.pattern)
 )
 SELECT p.page_id, count(m.list) > 0 AS blocked, count(DISTINCT m.list) AS n_lists,
        coalesce(string_agg(DISTINCT m.list, ',' ORDER BY m.list), '') AS lists,
