@@ -131,7 +131,8 @@ def resample(
     ``share`` of all rows is kept; by default the share of quality 1 among the labelled rows.
     The target model is of documents of quality 1 that are not toxic. Rows whose key equals the k-th are all kept, as are rows that
     repeat an id if one is. Null and empty texts have weight 0. Null ids share one noise. Without
-    a good label all weights are 0 and only the noise decides. Other columns are ignored.
+    a good label all weights are 0 and only the noise decides. Texts of any length are taken whole, their
+    words in parts; no rows: no rows. Other columns are ignored.
     """
     model = model or Model()
     fine = F.col(f"`{quality_col}`") == 1

@@ -4,8 +4,9 @@ A 64-bit fingerprint is read as eight (position, byte) terms. Two fingerprints
 within three bits differ in at most three bytes, so they share at least five
 terms. Postings are keyed by three terms, all from one half of the fingerprint:
 of five shared terms one half holds three, so eight keys a fingerprint lose no
-pair. For each pair met in a posting, the shared terms are tallied; pairs that
-reach five are verified by the bits that differ.
+pair. For each pair met in a posting, the shared terms are tallied on the pair in hand,
+which takes no shuffle of hits; the pairs that reach five, the guaranteed minimum, are
+verified by the bits that differ. The tally spares verifications and can lose no link.
 
 Long postings are re-keyed by five terms, the guaranteed minimum itself, and
 what is still long is compared in blocks that yield a spanning forest and never
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import save, unused
 from .components import connected_components, star_edges
 
 SEED = 42
@@ -64,9 +65,9 @@ def _fingerprints(seed: int, names: list[str]):
 
 
 def with_fingerprints(df: DataFrame, text_col: str = "text", carry: list[str] | None = None, seed: int = SEED) -> DataFrame:
-    """The ``carry`` columns and ``_fp``, the fingerprint as a signed long."""
-    carry = [c for c in (df.columns if carry is None else carry) if c != "_fp"]
-    src = df.select(*[F.col(f"`{c}`") for c in carry], F.col(f"`{text_col}`").cast("string").alias("_text"))
+    """The ``carry`` columns and ``_fp``, the fingerprint as a signed long; a column of that name is left out."""
+    carry = [c for c in (df.columns if carry is None else carry) if c.lower() != "_fp"]
+    src = df.select(*[F.col(f"`{c}`") for c in carry], F.col(f"`{text_col}`").cast("string").alias(unused(carry, "_text")[0]))
     kinds = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]] + ["_fp long"])
     return src.mapInArrow(_fingerprints(seed, [*carry, "_fp"]), kinds)
 
@@ -165,7 +166,8 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ma
     differing bits; ``kept`` marks the row whose id that is. Null and empty texts have
     fingerprint zero and link like any other. Rows with a null id take part in nothing:
     null component, kept. Rows that repeat an id keep their own fingerprints; each
-    joins the component of its fingerprint. Other columns are ignored.
+    joins the component of its fingerprint. Texts of any length are taken whole, their shingles in
+    steps; no rows: no rows. Other columns are ignored.
     """
     src = df.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
     prints = save(with_fingerprints(src, "_text", ["_id"], seed), "fingerprints")
