@@ -1,9 +1,7 @@
 import base64
 import hashlib
 
-import numpy as np
 import public_tokenizers as P
-import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -17,11 +15,9 @@ ENC = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=CODEC.ranks, s
 
 
 def encode(codec, text):
-    words = [w for part in codec.words(text) for w in part]
-    distinct = list(dict.fromkeys(words))
-    ids, ends = codec.replay([w.encode() for w in distinct])
-    of = dict(zip(distinct, np.split(ids, ends[:-1]), strict=True)) if distinct else {}
-    return [int(i) for w in words for i in of[w]]
+    numbers = codec.number(text)
+    codec.learn()
+    return codec.ids(numbers).tolist()
 
 
 @settings(max_examples=200, deadline=None)
@@ -48,51 +44,14 @@ def test_merges_that_open_lower_ranks(tmp_path):
         assert encode(codec, t) == enc.encode_ordinary(t), t
 
 
-def test_long_texts_go_in_parts(monkeypatch):
+def test_words_are_forgotten_and_long_texts_go_in_parts(monkeypatch, spark):
+    monkeypatch.setattr(B, "BLOCK_CHARS", 200)
     monkeypatch.setattr(B, "PART_WORDS", 7)
+    monkeypatch.setattr(B, "REPLAY_WORDS", 5)
     codec = B.Bpe(PATH, P.PATTERN)
     for t in ["short text", "long text with many words " * 40, "tiny"]:
         assert encode(codec, t) == ENC.encode_ordinary(t)
-
-
-def test_blocks_and_parts_end_to_end(monkeypatch, spark):
-    """Many small blocks in one partition, words in all of them, and replays of a few words at once."""
-    for name, n in (("BLOCK_CHARS", 200), ("BLOCK_WORDS", 12), ("PART_WORDS", 5), ("REPLAY_WORDS", 4), ("REPLAY_BYTES", 30)):
-        monkeypatch.setattr(B, name, n)
-    rng = np.random.default_rng(2)
-    texts = ["".join(rng.choice(list("ab cdé'1\n"), int(n))) for n in rng.integers(0, 200, 60)]
-    number, merged = B._number(PATH, P.PATTERN, ["_id", "_part", "_block", "_word", "_number", "_numbers"]), B._merged(PATH, P.PATTERN)
-    monkeypatch.setattr(B, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("P", (), {"partitionId": lambda self: 3})())}))
-    batch = pa.RecordBatch.from_arrays([pa.array(range(60)), pa.array(texts)], ["_id", "_text"])
-    rows = [r for b in number([batch.slice(0, 25), batch.slice(25)]) for r in b.to_pylist()]
-    words = sorted({r["_word"] for r in rows if r["_word"] is not None})
-    assert len({r["_block"] for r in rows}) > 10 and {r["_part"] for r in rows} == {3}
-    ids = {r["_word"]: r["_ids"] for b in merged([pa.RecordBatch.from_arrays([pa.array(words)], ["_word"])]) for r in b.to_pylist()}
-    assert sorted(ids) == words
-    back = [{**r, "_ids": ids.get(r["_word"])} for r in sorted(rows, key=lambda r: (r["_block"], r["_number"] is None, r["_number"] or 0))]
-    table = pa.Table.from_pylist(back, pa.schema([("_id", pa.int64()), ("_block", pa.int32()), ("_numbers", pa.binary()), ("_ids", pa.binary())]))
-    digest = B._digest(PATH, P.PATTERN, True, ["_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"], ["_id"])
-    got = {r["_id"]: r["ids"] for b in digest(table.to_batches(17)) for r in b.to_pylist()}
-    assert got == {i: ENC.encode_ordinary(t) for i, t in enumerate(texts)}
-
-
-def test_each_word_is_merged_once_in_the_corpus(spark, monkeypatch):
-    saved, save = {}, B.save
-    monkeypatch.setattr(B, "save", lambda df, name: saved.setdefault(name, save(df, name)))
-    rows = [(i, "the same words again and again, " * 5 + f"word{i % 50}") for i in range(400)]
-    out = B.encode_decode(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), PATH, P.PATTERN)
-    assert out.count() == 400 and out.select("ids_sha256").distinct().count() == 50
-    words = [r["_word"] for r in saved["numbered"].where("_word is not null").collect()]
-    merged = [r["_word"] for r in saved["merged"].collect()]
-    assert sorted(merged) == sorted(set(words)) and len(words) > 3 * len(merged)
-
-
-def test_columns_of_any_name_are_carried(spark):
-    names = ["_text", "_part", "_block", "_word", "_number", "_numbers", "_ids", "c", "c0", "C1"]
-    df = spark.createDataFrame([(1, "some text", *names), (2, None, *names)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
-    got = B.encode_decode(df, PATH, P.PATTERN)
-    assert got.columns == ["doc_id", "text", *names, "n_tokens", "ids_sha256", "decoded_sha256"]
-    assert all(tuple(r)[2:-3] == tuple(names) for r in got.collect())
+        codec.forget()
 
 
 @pytest.mark.parametrize("with_ids", [False, True])
@@ -108,3 +67,11 @@ def test_round_trip(spark, with_ids):
     if with_ids:
         assert all(len(r["ids"]) == r["n_tokens"] for r in got)
     assert B.encode_decode(df.limit(0), PATH, P.PATTERN).count() == 0
+
+
+def test_columns_of_any_name_are_carried(spark):
+    names = ["_text", "_part", "index", "c"]
+    df = spark.createDataFrame([(1, "some text", *names), (2, None, *names)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    got = B.encode_decode(df, PATH, P.PATTERN)
+    assert got.columns == ["doc_id", "text", *names, "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert all(tuple(r)[2:-3] == tuple(names) for r in got.collect())
