@@ -40,13 +40,6 @@ def blocks(ops: Column, start: Column) -> Column:
     return F.aggregate(ops, zero, step)["out"]
 
 
-def position_of(found: Column, call: Column) -> Column:
-    """The reference position of a call by its number; null in an insertion or past the alignment."""
-    inside = F.filter(found, lambda b: (b["first"] <= call) & (call <= b["last"]))
-    one = F.when(F.size(found) == 1, F.get(found, 0)).otherwise(F.get(inside, 0))
-    return F.when((one["first"] <= call) & (call <= one["last"]), one["position"] + call - one["first"])
-
-
 def context(call: Column) -> Column:
     """The sequence context of a call letter; other letters raise an error."""
     out = None

@@ -25,10 +25,11 @@ def _parts(groups: DataFrame) -> DataFrame:
     return groups.withColumns({"part_1": part(F.col("_1")), "part_2": part(F.col("_2"))}).drop("_1", "_2")
 
 
-def _by_site(calls: DataFrame, min_depth: int) -> DataFrame:
-    """A site has one call by sample, so its observations are few."""
+def _by_site(calls: DataFrame, min_depth: int, least: int = 0) -> DataFrame:
+    """Sites with ``least`` observations or more in both conditions. A site has one call by sample, so they are few."""
     covered = calls.where(F.col("total") >= min_depth)
-    return _parts(covered.groupBy("contig", "position").agg(first_strand(calls), *_observed()))
+    sites = covered.groupBy("contig", "position").agg(first_strand(calls), *_observed())
+    return _parts(sites.where((F.size("_1") >= least) & (F.size("_2") >= least)) if least else sites)
 
 
 def _tested(groups: DataFrame, keep: list[str]) -> DataFrame:
@@ -51,8 +52,7 @@ def differential_sites(calls: DataFrame, min_depth: int = TEST_DEPTH, significan
     Calls of low depth are left out before they are shuffled. Where neither condition varies the
     p-value is NaN, and such a site is never significant, however far apart the means are.
     ``significance=None`` keeps every tested site."""
-    sums = _by_site(calls, min_depth).where("part_1.n > 1 and part_2.n > 1")
-    out = _tested(sums, ["contig", "position", "strand"])
+    out = _tested(_by_site(calls, min_depth, 2), ["contig", "position", "strand"])
     return out if significance is None else _only_significant(out, significance)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.alignments import blocks, context, is_methylated, operations, position_of, reference_length, strand
+from ..functions.alignments import blocks, context, is_methylated, operations, reference_length, strand
 from ..functions.numeric import safe_div
 
 UNMAPPED, PAIRED, MATE_UNMAPPED = 0x4, 0x1, 0x8
@@ -13,7 +13,7 @@ _READ = "struct<ordinal:bigint,flag:int,contig:string,start:int,cigar:string,xm:
 
 
 #: Records in a block of the search for mates.
-BLOCK = 65_536
+BLOCK = 8_192
 
 
 def _pairs_up(flag: Column) -> Column:
@@ -57,10 +57,11 @@ def fragments(reads: DataFrame, block: int = BLOCK) -> DataFrame:
     pair = F.col("_opens") & (F.col("_gap") % 2 == 1)
     swap = pair & (F.col("_read.start") > F.col("_next.start"))
     kept = known.where(~taken & (pair | (F.col("_read.flag").bitwiseAND(UNMAPPED) == 0)))
-    return kept.select(
+    made = F.struct(
         F.when(swap, F.col("_next")).otherwise(F.col("_read")).alias("first"),
         F.when(swap, F.col("_read")).when(pair, F.col("_next")).alias("second"),
     )
+    return kept.select(F.inline(F.array(made)))  # made once, not again for each field that is read of it
 
 
 def fragment_calls(frags: DataFrame) -> DataFrame:
@@ -72,12 +73,18 @@ def fragment_calls(frags: DataFrame) -> DataFrame:
         s["start"].alias("s2"), s["xm"].alias("x2"), F.when(s.isNotNull(), operations(s["cigar"])).alias("o2"),
     )
     overlap = F.greatest(F.lit(0), F.col("s1") + reference_length(F.col("o1")) - F.col("s2"))
-    own = F.struct(F.col("x1").alias("xm"), blocks(F.col("o1"), F.col("s1")).alias("blocks"), F.col("s1").alias("least"))
-    mate = F.struct(F.col("x2").alias("xm"), blocks(F.col("o2"), F.col("s2")).alias("blocks"), (F.col("s2") + overlap).alias("least"))
-    each = ops.select("contig", "strand", F.explode(F.array(own, mate)).alias("r")).where("r.xm is not null").select("contig", "strand", "r.*")
-    bases = each.select("contig", "strand", "blocks", "least", F.posexplode(F.split("xm", "")).alias("at", "call")).where("call not in ('.', '')")
-    placed = bases.select("contig", position_of(F.col("blocks"), F.col("at")).alias("position"), "strand", "call", "least")
-    return placed.where("position >= least").drop("least")
+
+    def parts(xm: str, ops: str, start: str, least: Column) -> Column:
+        """An aligned stretch each: its calls, the position of the first, and the least position that counts."""
+        made = F.transform(blocks(F.col(ops), F.col(start)), lambda b: F.struct(
+            F.substr(F.col(xm), b["first"] + 1, b["last"] - b["first"] + 1).alias("calls"), b["position"].alias("position"), least.cast("int").alias("least")
+        ))
+        return F.when(F.col(xm).isNotNull() & F.col(ops).isNotNull(), made).otherwise(F.array().cast("array<struct<calls:string,position:int,least:int>>"))
+
+    both = F.concat(parts("x1", "o1", "s1", F.col("s1")), parts("x2", "o2", "s2", F.col("s2") + overlap))
+    each = ops.select("contig", "strand", F.inline(both))
+    bases = each.select("contig", "strand", "position", "least", F.posexplode(F.split("calls", "")).alias("at", "call")).where("call not in ('.', '')")
+    return bases.where("position + at >= least").select("contig", (F.col("position") + F.col("at")).alias("position"), "strand", "call")
 
 
 def single_fragments(reads: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from ..operators.coordinates import from_linear, genome_chunks, reference_length
 from ..operators.dictionary import SequenceDictionary
 from ..schema import CONSENSUS_PRAGMA, CONTEXT_FILES
 from ..scratch import new_path
-from ..sinks import write_calls, write_files, write_lines
+from ..sinks import write_call_files, write_calls, write_files, write_lines
 from ..sources.alignments import read_alignments
 from ..sources.files import read_calls, read_consensus, read_regions, read_samples
 from ..sources.lines import lines
@@ -39,12 +39,11 @@ def _body(spark: SparkSession, path: str, mark: str = "#") -> DataFrame:
 
 
 def _track_files(spark: SparkSession, sf_dir: str, folder: str, with_ratio: bool) -> list[str]:
-    d = V.sequence_dictionary(spark, sf_dir)
-    paths = [f"{folder}/track{k}.tab" for k in range(len(V.TRACK_DEPTHS))]
-    for k, path in enumerate(paths):
-        calls = V.track(spark, sf_dir, k)
-        write_calls(calls.withColumn("ratio", ratio(F.col("methylated"), F.col("total"))) if with_ratio else calls, path, d)
-    return paths
+    paths = {f"track{k}": f"{folder}/track{k}.tab" for k in range(len(V.TRACK_DEPTHS))}
+    calls = V.tracks(spark, sf_dir).withColumn("track", F.concat(F.lit("track"), F.col("sample_id").cast("string")))
+    calls = calls.withColumn("ratio", ratio(F.col("methylated"), F.col("total"))) if with_ratio else calls
+    write_call_files(calls, "track", paths, V.sequence_dictionary(spark, sf_dir))
+    return list(paths.values())
 
 
 def _inputs(paths: list[str]) -> list[str]:
@@ -341,7 +340,7 @@ def _described(d: SequenceDictionary, kind: str, spark: SparkSession) -> DataFra
 def header_dictionaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dictionaries in the headers of a call file and of a SAM file, here with a control contig that is moved to the front."""
     folder = new_path(spark, "headers")
-    write_calls(V.track(spark, sf_dir, 0), f"{folder}/calls.tab", V.sequence_dictionary(spark, sf_dir, ()))
+    write_calls(V.tracks(spark, sf_dir).where("sample_id = 0"), f"{folder}/calls.tab", V.sequence_dictionary(spark, sf_dir, ()))
     _sam_file(spark, sf_dir, f"{folder}/x.sam")
     second = V.sequence_dictionary(spark, sf_dir).contigs[1][0]
     a, b = read_calls(spark, f"{folder}/calls.tab")[1], read_alignments(spark, f"{folder}/x.sam", (second,))[1]
@@ -395,8 +394,7 @@ def inverse_coordinates_at_the_ends(spark: SparkSession, sf_dir: str) -> DataFra
 )
 def approximate_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the means of two conditions agree within a quarter."""
-    calls = C.union_samples([V.track(spark, sf_dir, k) for k in range(6)], [1, 1, 1, 0, 0, 0])
-    means = D.site_moments(calls)
+    means = D.site_moments(V.tracks(spark, sf_dir).withColumn("condition", (F.col("sample_id") < 3).cast("int")))
     return means.select("contig", "position", close_to(F.col("mean_2"), F.col("mean_1"), 0.25).alias("near"))
 
 
@@ -433,7 +431,7 @@ FROM tracks WHERE k < 2 GROUP BY k UNION ALL SELECT 'empty', 0, 0"""
 def split_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One sorted pass written as several files, one of them without rows."""
     folder = new_path(spark, "split")
-    both = C.union_samples([V.track(spark, sf_dir, k) for k in range(2)])
+    both = V.tracks(spark, sf_dir).where("sample_id < 2")
     line = F.concat_ws("\t", "contig", "position", "strand", "methylated", "total")
     names = ("track0", "track1", "empty")
     rows = both.orderBy("contig", "position").select(F.concat(F.lit("track"), F.col("sample_id").cast("string")), line)

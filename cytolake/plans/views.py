@@ -80,7 +80,8 @@ def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders 2k and 2k+1 are mates that overlap."""
     orders = _table(spark, sf_dir, "orders").select("o_orderkey").withColumn("n", F.floor(F.col("o_orderkey") / 2).cast("long"))
-    own = _contig(spark, sf_dir, orders.repartition("o_orderkey"), "n")  # the orders are one small file, and a read is many rows later
+    # the orders are one small file, and a read is many rows later: a number of parts that is not merged for its few bytes
+    own = _contig(spark, sf_dir, orders.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "o_orderkey"), "n")
     key = F.col("o_orderkey")
     return own.select(
         F.concat(F.lit("read"), F.col("n").cast("string")).alias("qname"), F.lit(3).alias("flag"), "contig",
@@ -95,11 +96,11 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 TRACK_DEPTHS = (7, 14, 21, 9, 18, 36)
 
 
-def track(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    """A call at every site, of a depth that is the track's own."""
-    sites = merged_calls(spark, sf_dir).select("contig", "position", "strand")
-    methylated = (F.col("position") * (2 * k + 5) + k) % (TRACK_DEPTHS[k] + 1)
-    return sites.withColumns({"methylated": methylated.cast("int"), "total": F.lit(TRACK_DEPTHS[k])})
+def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six samples with a call at every site, each of a depth that is its own."""
+    k, depth = F.col("sample_id"), F.get(F.array(*[F.lit(n) for n in TRACK_DEPTHS]), F.col("sample_id"))
+    sites = merged_calls(spark, sf_dir).select("contig", "position", "strand", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("sample_id"))
+    return sites.withColumns({"methylated": ((F.col("position") * (2 * k + 5) + k) % (depth + 1)).cast("int"), "total": depth})
 
 
 def mixed_reads(spark: SparkSession, sf_dir: str) -> DataFrame:

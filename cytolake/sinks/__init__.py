@@ -124,11 +124,16 @@ def write_regions(regions: DataFrame, path: str, dictionary: SequenceDictionary)
     write_lines(rows.select(_line(c("id"), c("contig"), c("start"), c("stop"), *_statistics())), path, [REGION_HEADER])
 
 
-def write_contexts(counts: DataFrame, folder: str, dictionary: SequenceDictionary) -> None:
-    """Four call files by sequence context, from one sort; a context without sites has a file with a header."""
-    rows = _ordered(counts, dictionary, "position", _minus()).select("context", _call_line(counts).alias("line"))
+def write_call_files(calls: DataFrame, key: str, paths: dict[str, str], dictionary: SequenceDictionary) -> None:
+    """Several call files from one sort, by the column ``key``; one without rows has a header."""
+    rows = _ordered(calls, dictionary, "position", _minus()).select(key, _call_line(calls).alias("line"))
     head = _calls_header(dictionary)
-    write_files(rows, {name: (f"{folder}/{file}", head) for name, file in CONTEXT_FILES.items()})
+    write_files(rows, {name: (path, head) for name, path in paths.items()})
+
+
+def write_contexts(counts: DataFrame, folder: str, dictionary: SequenceDictionary) -> None:
+    """Four call files by sequence context."""
+    write_call_files(counts, "context", {name: f"{folder}/{file}" for name, file in CONTEXT_FILES.items()}, dictionary)
 
 
 def write_summary(summary: DataFrame, path: str) -> None:

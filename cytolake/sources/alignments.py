@@ -51,8 +51,9 @@ def read_sam(spark: SparkSession, path: str, controls: tuple[str, ...] = ()) ->
 
 
 def _spread(reads: DataFrame) -> DataFrame:
-    """Reads of a file that one task decodes, dealt to all tasks before each becomes many calls."""
-    return reads.repartition("ordinal")
+    """Reads of a file that one task decodes, dealt to all tasks before each becomes many calls: to a number of
+    parts that is not merged again for the few bytes that reads have before that."""
+    return reads.repartition(int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions")), "ordinal")
 
 
 # --- BAM --------------------------------------------------------------------
