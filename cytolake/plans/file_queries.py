@@ -24,7 +24,7 @@ from ..sources.alignments import read_alignments
 from ..sources.files import read_calls, read_consensus, read_regions, read_samples
 from ..sources.lines import lines
 from . import views as V
-from .registry import COUNTED, RAW, READS, REGIONS, TEST_SQL, moments_sql, query, rounded
+from .registry import COUNTED, RAW, READS, TEST_SQL, moments_sql, query, rounded
 
 
 def _numbered(df: DataFrame, ordinal: str = "ordinal") -> DataFrame:
