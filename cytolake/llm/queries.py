@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_replay, cdc_dedup, compression_bands, hash_tree, hnsw, importance, packing, secret_forest, simhash, url_lists
+from . import bpe_replay, cdc_dedup, compression_bands, hash_tree, hnsw, importance, merkle, packing, secret_forest, simhash, url_lists
 from .common import table, unsigned32
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -227,3 +227,24 @@ def op10_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_bands.quality_rules(docs, carry=["doc_id"], bands=bands, lang_col="lang").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio", "bad_share"
     )
+
+
+#: What a leaf of the manifest is made of.
+LEAF = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+@_query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the CRC of the id is even, the tampered text has lost its line ends; its leaf is folded with the siblings of the
+    original. A null id is never tampered."""
+    docs = table(spark, sf_dir, "documents")
+    changed = [F.replace("text", F.lit("\n"), F.lit("")) if c == "text" else F.col(c) for c in LEAF]
+    even = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    tampered = F.when(even & F.contains("text", F.lit("\n")), F.unhex(merkle.leaf_digest(*changed)))
+    manifest = merkle.build(docs, LEAF, carry={"tampered": tampered})
+    leaf, given = F.lower(F.hex("digest")), F.lower(F.hex(F.coalesce("tampered", "digest")))
+    proved = merkle.prove(manifest).select(
+        F.col("id").alias("doc_id"), leaf.alias("leaf"), "subroot", F.lit(manifest.root).alias("root"), F.sha2(F.col("proof"), 256).alias("proof_sha256"),
+        merkle.folded_root(manifest, given).alias("folded_root"),
+    )
+    return proved.withColumn("verified", F.col("folded_root") == F.col("root"))
