@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_replay, cdc_dedup, compression_bands, hash_tree, hnsw, importance, merkle, packing, secret_forest, simhash, url_lists
+from . import bpe_replay, cdc_dedup, compression_bands, hash_tree, hnsw, importance, merkle, packing, secret_forest, simhash, url_lists, vector_codes
 from .common import table, unsigned32
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -248,3 +248,43 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
         merkle.folded_root(manifest, given).alias("folded_root"),
     )
     return proved.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@_query
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    return made.codes.select("vec_id", "code", "error", "label_error", F.lit(made.sha256).alias("codebooks_sha256"))
+
+
+def _rounds_sql(rounds: int) -> str:
+    """The codebooks of each round from those before, every part against every entry."""
+    out = []
+    for k in range(rounds):
+        out.append(f"""near{k} AS MATERIALIZED (
+  SELECT rid, part, arg_min(e.entry, (p.cc - 2 * list_dot_product(p.c, e.c) + e.cc, e.entry)) AS entry FROM parts p JOIN book{k} e USING (part) GROUP BY rid, part
+), mean{k} AS (
+  SELECT part, entry, j, floor(sum(c[j]) / count(*)) AS x FROM near{k} JOIN parts USING (rid, part), w, range(1, w.w + 1) t(j) GROUP BY part, entry, j
+), new{k} AS (SELECT part, entry, list(x ORDER BY j) AS c FROM mean{k} GROUP BY part, entry),
+book{k + 1} AS MATERIALIZED (
+  SELECT part, entry, coalesce(n.c, b.c) AS c, list_dot_product(coalesce(n.c, b.c), coalesce(n.c, b.c)) AS cc FROM book{k} b LEFT JOIN new{k} n USING (part, entry)
+)""")
+    return ", ".join(out)
+
+
+#: Exact in doubles for components like those of the tables; no two of their vectors differ in length.
+ORACLE["op12_vector_codes"] = f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), w AS (SELECT any_value(len(e)) // 4 AS w FROM v),
+cut AS (SELECT rid, vec_id, part, list_slice(e, part * w + 1, (part + 1) * w) AS c FROM v, w, range(4) t(part)),
+parts AS MATERIALIZED (SELECT *, list_dot_product(c, c) AS cc FROM cut),
+firsts AS (SELECT rid, row_number() OVER (ORDER BY vec_id, e) - 1 AS entry FROM v QUALIFY entry < 256),
+book0 AS MATERIALIZED (SELECT part, entry, c, cc FROM parts JOIN firsts USING (rid)),
+{_rounds_sql(4)}, last AS MATERIALIZED (
+  SELECT rid, part, arg_min(e.entry, (p.cc - 2 * list_dot_product(p.c, e.c) + e.cc, e.entry)) AS entry, min(p.cc - 2 * list_dot_product(p.c, e.c) + e.cc) AS d
+  FROM parts p JOIN book4 e USING (part) GROUP BY rid, part
+), coded AS (SELECT rid, string_agg(format('{{:02x}}', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM last GROUP BY rid),
+books AS (SELECT sha256(string_agg(c[j]::BIGINT::VARCHAR, ',' ORDER BY part, entry, j)) AS codebooks_sha256 FROM book4, w, range(1, w.w + 1) t(j))
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM v JOIN coded USING (rid), books
+"""
