@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_replay, cdc_dedup, compression_bands, hash_tree, hnsw, importance, merkle, packing, secret_forest, simhash, url_lists, vector_codes
+from . import bpe_replay, cdc_dedup, compression_bands, hash_tree, hnsw, importance, merkle, packing, secret_forest, simhash, token_counts, url_lists, vector_codes
 from .common import table, unsigned32
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -256,6 +256,65 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.codes.select("vec_id", "code", "error", "label_error", F.lit(made.sha256).alias("codebooks_sha256"))
 
 
+#: Levels in SQL: above them is a single node in every table. CRC-32 of decimal ids, byte by byte.
+_MERKLE_LEVELS = 16
+
+
+def _levels_sql(name: str, leaves: str) -> str:
+    """Nodes of all levels of ``leaves`` (tree, index, h), whose trees have ``size`` leaves each."""
+    out = [f"{name}0 AS MATERIALIZED (SELECT tree, index, h, count(*) OVER (PARTITION BY tree) AS n FROM {leaves})"]
+    for k in range(1, _MERKLE_LEVELS + 1):
+        out.append(f"""{name}{k} AS MATERIALIZED (
+  SELECT tree, index // 3 AS index, sha256(string_agg(h, '' ORDER BY index)) AS h, (any_value(n) + 2) // 3 AS n FROM {name}{k - 1} WHERE n > 1 GROUP BY tree, index // 3
+)""")
+    return ", ".join(out)
+
+
+def _fold_sql(name: str, nodes: str, start: str) -> str:
+    """From ``start`` (rid, tree, index, acc, proof) to the root of each row's tree, level by level."""
+    out, last = [], start
+    for k in range(_MERKLE_LEVELS):
+        # the siblings of a run of three, to the left and to the right
+        side = lambda at, op, k=k: f"(SELECT coalesce(string_agg(s.h, '' ORDER BY s.index), '') FROM {nodes}{k} s WHERE s.tree = f.tree AND s.index // 3 = f.index // 3 AND s.index {op} f.index)"
+        out.append(f"""{name}s{k} AS (
+  SELECT f.*, exists(SELECT 1 FROM {nodes}{k + 1} u WHERE u.tree = f.tree) AS more, {side(k, "<")} AS lo, {side(k, ">")} AS hi FROM {last} f
+), {name}{k} AS MATERIALIZED (
+  SELECT rid, tree, CASE WHEN more THEN index // 3 ELSE index END AS index, CASE WHEN more THEN sha256(lo || acc || hi) ELSE acc END AS acc,
+         CASE WHEN more THEN proof || lo || hi ELSE proof END AS proof FROM {name}s{k}
+)""")
+        last = f"{name}{k}"
+    return ", ".join(out)
+
+
+def _leaf_sql(text: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(octet_length(encode({c}::VARCHAR)) || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+ORACLE["op11_merkle_manifest"] = f"""
+WITH crc AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+    lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t
+), d AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id, source, {_leaf_sql("text")} AS leaf,
+    CASE WHEN xor(4294967295, list_reduce(
+      list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(doc_id::VARCHAR)), '..'), lambda x: ('0x' || x)::BIGINT)),
+      lambda c, x: xor(c // 256, t[xor(c % 256, x) + 1]))) % 2 = 0 THEN {_leaf_sql("replace(text, chr(10), '')")} ELSE {_leaf_sql("text")} END AS given
+  FROM documents, crc
+), sources AS (SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS tree FROM (SELECT DISTINCT source FROM documents)),
+own AS MATERIALIZED (
+  SELECT rid, doc_id, leaf AS h, given, tree, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS index
+  FROM d JOIN sources ON d.source IS NOT DISTINCT FROM sources.source
+), {_levels_sql("lower", "own")},
+roots AS MATERIALIZED ({" UNION ALL ".join(f"SELECT tree, h FROM lower{k} WHERE n = 1" for k in range(_MERKLE_LEVELS + 1))}),
+tops AS (SELECT 0 AS tree, tree AS index, h FROM roots), {_levels_sql("upper", "tops")},
+root AS MATERIALIZED ({" UNION ALL ".join(f"SELECT h AS root FROM upper{k} WHERE n = 1" for k in range(_MERKLE_LEVELS + 1))}),
+a AS MATERIALIZED (SELECT rid, tree, index, given AS acc, '' AS proof FROM own), {_fold_sql("fold", "lower", "a")},
+b AS MATERIALIZED (SELECT rid, 0 AS tree, tree AS index, acc, proof FROM fold{_MERKLE_LEVELS - 1}), {_fold_sql("over", "upper", "b")}
+SELECT own.doc_id, own.h AS leaf, roots.h AS subroot, root, sha256(proof) AS proof_sha256, acc AS folded_root, acc = root AS verified
+FROM own JOIN roots USING (tree) JOIN over{_MERKLE_LEVELS - 1} f USING (rid), root
+"""
+
+
 def _rounds_sql(rounds: int) -> str:
     """The codebooks of each round from those before, every part against every entry."""
     out = []
@@ -288,3 +347,9 @@ book0 AS MATERIALIZED (SELECT part, entry, c, cc FROM parts JOIN firsts USING (r
 books AS (SELECT sha256(string_agg(c[j]::BIGINT::VARCHAR, ',' ORDER BY part, entry, j)) AS codebooks_sha256 FROM book4, w, range(1, w.w + 1) t(j))
 SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM v JOIN coded USING (rid), books
 """
+
+
+@_query
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _tokenizer_files()
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), files.path("byte_bpe_50k.json"), files.PATTERN)
