@@ -107,11 +107,10 @@ def counts(path: str, pattern: str) -> Counts:
 def _count(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counts(path, pattern)
-        for whole in batches:
-            for b in slices(whole):
-                text = b.column(1)
-                n = [own(text[i].as_py() or "") for i in range(b.num_rows)]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64())], ["id", "n_bytes", "n_tokens"])
+        for b in slices(batches):
+            text = b.column(1)
+            n = [own(text[i].as_py() or "") for i in range(b.num_rows)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64())], ["id", "n_bytes", "n_tokens"])
 
     return run
 

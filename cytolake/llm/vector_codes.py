@@ -214,7 +214,7 @@ def _plant(how: Codec):
 
 
 def _arrays(codebooks: list[list[list[int]]]) -> list[np.ndarray]:
-    return [exact(np.array(book, dtype=object).reshape(len(book), -1)) for book in codebooks]
+    return [exact(np.array(book, dtype=object).reshape(len(book), -1)) if book else np.zeros((0, 0)) for book in codebooks]
 
 
 def _summed(how: Codec, codebooks: list[list[list[int]]]):

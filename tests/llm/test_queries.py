@@ -82,3 +82,15 @@ def test_op9(spark, monkeypatch):
     assert len(got) == len(want)
     for d, w, key, kept in want:
         assert np.allclose((got[d]["log_weight"], got[d]["gumbel_key"]), (w, key)) and got[d]["kept"] == kept
+
+
+def test_op13(spark):
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    want = []
+    for d, t in rows(spark, "documents", "doc_id", "text"):
+        n = len(own.encode(t or "", add_special_tokens=False).ids)
+        want.append((d, len((t or "").encode()), n, n > 1024))
+    got = QUERIES["op13_token_counts"](spark, FOLDER).collect()
+    assert sorted((r["doc_id"], r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in got) == sorted(want)

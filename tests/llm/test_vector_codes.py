@@ -1,0 +1,109 @@
+"""Vector codes against plain Lloyd rounds in whole numbers."""
+
+import hashlib
+import math
+
+import numpy as np
+import pytest
+
+from cytolake.llm import vector_codes as V
+
+KINDS = "vec_id long, embedding array<double>, label int"
+
+
+def brute(rows, entries=256, rounds=4, parts=4):
+    """(vec_id, code, error, label_error), digest of the codebooks."""
+    kept = [r for r in rows if r[1] and all(x is not None and math.isfinite(x) for x in r[1]) and len(r[1]) % parts == 0]
+    kept.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    dim = len(kept[0][1]) if kept else 0
+    kept = [r for r in kept if len(r[1]) == dim]
+    w = dim // parts
+    whole = [[int(x) * 1024 if abs(x) >= 1 << 53 else math.floor(x * 1024) for x in r[1]] for r in kept]
+    codes, errors, books = [""] * len(kept), [0] * len(kept), []
+    for p in range(parts):
+        own = [v[p * w : (p + 1) * w] for v in whole]
+        book = own[:entries]
+        for k in range(rounds + 1):
+            near = [min((sum((a - b) ** 2 for a, b in zip(v, e)), i) for i, e in enumerate(book)) for v in own]
+            if k < rounds:
+                groups = {}
+                for v, (_, i) in zip(own, near):
+                    groups.setdefault(i, []).append(v)
+                book = [[sum(c) // len(groups[i]) for c in zip(*groups[i])] if i in groups else e for i, e in enumerate(book)]
+        books += [x for e in book for x in e]
+        codes = [c + f"{i:02x}" for c, (_, i) in zip(codes, near)]
+        errors = [e + d for e, (d, _) in zip(errors, near)]
+    sums = {}
+    for r, e in zip(kept, errors):
+        sums[r[2]] = sums.get(r[2], 0) + e
+    top = (1 << 63) - 1
+    out = [(r[0], c, min(e, top), min(sums[r[2]], top)) for r, c, e in zip(kept, codes, errors)]
+    return sorted(out, key=str), hashlib.sha256(",".join(map(str, books)).encode()).hexdigest()
+
+
+def found(spark, rows, extra=(), **how):
+    df = spark.createDataFrame([(*r, *["x"] * len(extra)) for r in rows], KINDS + "".join(f", `{c}` string" for c in extra)).repartition(3)
+    made = V.compress(df, how=V.Codec(**how))
+    assert made.codes.columns == ["vec_id", "label", "code", "error", "label_error"]
+    return sorted(((r["vec_id"], r["code"], r["error"], r["label_error"]) for r in made.codes.collect()), key=str), made.sha256
+
+
+def vectors(n, dim=8, seed=0, groups=12, spread=0.05):
+    rng = np.random.default_rng(seed)
+    middle = rng.normal(size=(groups, dim))
+    return [(int(i), [float(x) for x in middle[i % groups] + rng.normal(size=dim) * spread], [None, 1, 2, 2, 2][i % 5]) for i in range(n)]
+
+
+@pytest.mark.parametrize("how", [{}, {"entries": 16}, {"entries": 16, "leaf": 1, "block": 200}, {"entries": 5, "rounds": 1}])
+def test_as_plain_rounds(spark, how):
+    rows = vectors(400)
+    assert found(spark, rows, **how) == brute(rows, how.get("entries", 256), how.get("rounds", 4))
+
+
+def test_ties_and_copies(spark):
+    """Coarse vectors, of which many are as near to one entry as to another, and a third that are equal."""
+    rng = np.random.default_rng(3)
+    rows = [(int(i), [float(x) / 1024 for x in rng.integers(-2, 3, size=8)], int(i % 3)) for i in range(300)] + [(1000 + i, [0.0] * 8, None) for i in range(150)]
+    assert found(spark, rows, leaf=4) == brute(rows)
+    assert found(spark, rows, leaf=4, block=96) == brute(rows)
+
+
+def test_edges(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = vectors(60, 4) + [(500, None, 1), (501, [1.0, None, 1.0, 1.0], 1), (502, [nan, 1.0, 1.0, 1.0], 1), (503, [inf, 1.0, 1.0, 1.0], 1), (504, [], 1), (505, [1.0] * 5, 1), (506, [1.0] * 8, 1)]
+    rows += [(None, [0.5] * 4, 1), (7, [0.25] * 4, None), (7, [0.25] * 4, None), (7, [-0.25] * 4, 9), (508, [-0.0] * 4, 2)]
+    want = brute(rows, 32)
+    assert len(want[0]) == 65
+    assert found(spark, rows, entries=32) == want
+    assert found(spark, rows, entries=32, extra=["key", "id", "v", "trees", "code", "error", "label_error", "l1", "e1", "part"]) == want
+
+
+def test_components_of_any_size(spark):
+    rows = vectors(50, 4) + [(100 + i, [1e30 * i, -1e18, 3.5e9 + i / 7, 1e308], 1) for i in range(8)]
+    assert found(spark, rows, entries=8) == brute(rows, 8)
+    assert found(spark, [(-1, r[1], r[2]) if r[0] == 103 else r for r in rows], entries=8) == brute([(-1, r[1], r[2]) if r[0] == 103 else r for r in rows], 8)
+
+
+def test_fewer_vectors_than_entries_and_none(spark):
+    rows = vectors(3, 4)
+    assert found(spark, rows) == brute(rows)
+    codes, _ = found(spark, [(1, None, 1)])
+    assert codes == []
+
+
+def test_a_subtree_is_assigned_at_once():
+    """Trees agree with all pairs, and clustered points need few comparisons."""
+    rng = np.random.default_rng(5)
+    points = np.floor(rng.normal(size=(20, 4)).repeat(200, axis=0) * 1024 + rng.normal(size=(4000, 4)))
+    entries = points[::200].copy()
+    tree = V.grow(points, 16)
+    compared, plain = [], V._distances
+    V._distances = lambda p, e: compared.append(len(p)) or plain(p, e)
+    try:
+        sums, counts, codes = V.assign(tree, entries, True)
+    finally:
+        V._distances = plain
+    near = plain(points, entries).argmin(axis=1)
+    assert (codes == near).all() and (counts == np.bincount(near, minlength=20)).all()
+    assert all(int(sums[k][0]) == int(points[near == k][:, 0].sum()) for k in range(20))
+    assert sum(compared) < 1000
