@@ -27,6 +27,8 @@ def parser() -> argparse.ArgumentParser:
         p = sub.add_parser(name, help=about, description=about)
         p.add_argument("--input", "--inputs", "-i", dest="input", required=True, action="append" if many else "store", help="input file" + "; may be repeated" * many)
         p.add_argument("--output", "-o", required=True, help="output file" if name != "extract" else "output folder")
+        if name != "extract":
+            p.add_argument("--unsorted", action="store_true", help="inputs may be in any order; all calls are shuffled")
         p.add_argument("--threads", "-t", type=int, default=1, help="cores, where no cluster is configured")
         return p
 
@@ -50,13 +52,13 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if args.verb == "extract":
         verbs.extract(spark, args.input, args.output, tuple(args.contigs.split()))
     elif args.verb == "merge":
-        verbs.merge(spark, args.input, args.output)
+        verbs.merge(spark, args.input, args.output, args.unsorted)
     elif args.verb == "call":
-        verbs.call(spark, args.input, args.output, args.error)
+        verbs.call(spark, args.input, args.output, args.error, args.unsorted)
     elif args.verb == "popCall":
-        verbs.population_call(spark, args.input, args.output, args.cutoff)
+        verbs.population_call(spark, args.input, args.output, args.cutoff, args.unsorted)
     else:
-        verbs.diff(spark, args.input, args.output, [int(x) for x in args.conditions.split(",")], args.regions)
+        verbs.diff(spark, args.input, args.output, [int(x) for x in args.conditions.split(",")], args.regions, args.unsorted)
     return 0
 
 

@@ -32,12 +32,12 @@ def _by_site(calls: DataFrame, min_depth: int, least: int = 0) -> DataFrame:
     return _parts(sites.where((F.size("_1") >= least) & (F.size("_2") >= least)) if least else sites)
 
 
-def _tested(groups: DataFrame, keep: list[str]) -> DataFrame:
+def tested(groups: DataFrame, keep: list[str]) -> DataFrame:
     """The test where both conditions have two observations or more; nulls elsewhere."""
-    tested = with_welch(with_moments(groups, keep))
+    done = with_welch(with_moments(groups, keep))
     enough = (F.col("n_1") > 1) & (F.col("n_2") > 1)
     found = {"sample1_mean": "mean_1", "sample2_mean": "mean_2", "t_statistic": "t", "_df": "df"}
-    out = tested.select(*keep, *[F.when(enough, F.col(c)).alias(n) for n, c in found.items()])
+    out = done.select(*keep, *[F.when(enough, F.col(c)).alias(n) for n, c in found.items()])
     return out.withColumn("p_value", two_tailed_p(F.col("t_statistic"), F.col("_df"))).drop("_df")
 
 
@@ -52,16 +52,16 @@ def differential_sites(calls: DataFrame, min_depth: int = TEST_DEPTH, significan
     Calls of low depth are left out before they are shuffled. Where neither condition varies the
     p-value is NaN, and such a site is never significant, however far apart the means are.
     ``significance=None`` keeps every tested site."""
-    out = _tested(_by_site(calls, min_depth, 2), ["contig", "position", "strand"])
-    return out if significance is None else _only_significant(out, significance)
+    out = tested(_by_site(calls, min_depth, 2), ["contig", "position", "strand"])
+    return out if significance is None else only_significant(out, significance)
 
 
-def _only_significant(tested: DataFrame, significance: float) -> DataFrame:
+def only_significant(rows: DataFrame, significance: float) -> DataFrame:
     """A filter that stays where it is. A plain one would be pushed below the projections of the test, and its
     condition, with all steps put in, would be larger than the planner can take well; nothing below it could use it,
     since the p-value is made here. So the row in hand is filtered as an array of one."""
-    kept = F.filter(F.array(F.struct(*tested.columns)), lambda r: ~F.isnan(r["p_value"]) & (r["p_value"] <= significance))
-    return tested.select(F.inline(kept))
+    kept = F.filter(F.array(F.struct(*rows.columns)), lambda r: ~F.isnan(r["p_value"]) & (r["p_value"] <= significance))
+    return rows.select(F.inline(kept))
 
 
 def region_calls(calls: DataFrame, regions: DataFrame, bin_size: int = BIN) -> DataFrame:
@@ -93,4 +93,4 @@ def differential_regions(calls: DataFrame, regions: DataFrame, dictionary: DataF
     pooled = parts.groupBy("region_ordinal").agg(F.collect_list("part_1").alias("_1"), F.collect_list("part_2").alias("_2"))
     pooled = pooled.select("region_ordinal", merged(F.col("_1")).alias("part_1"), merged(F.col("_2")).alias("part_2"))
     whole = known.join(pooled, "region_ordinal", "left")
-    return _tested(whole.select("id", "contig", "start", "stop", "region_ordinal", "part_1", "part_2"), ["id", "contig", "start", "stop", "region_ordinal"])
+    return tested(whole.select("id", "contig", "start", "stop", "region_ordinal", "part_1", "part_2"), ["id", "contig", "start", "stop", "region_ordinal"])

@@ -434,7 +434,7 @@ def split_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = V.tracks(spark, sf_dir).where("sample_id < 2")
     line = F.concat_ws("\t", "contig", "position", "strand", "methylated", "total")
     names = ("track0", "track1", "empty")
-    rows = both.orderBy("contig", "position").select(F.concat(F.lit("track"), F.col("sample_id").cast("string")), line)
+    rows = both.orderBy("sample_id", "contig", "position").select(F.concat(F.lit("track"), F.col("sample_id").cast("string")), line)
     write_files(rows, {n: (f"{folder}/{n}", ["#title"]) for n in names})
     out = None
     for n in names:

@@ -1,13 +1,19 @@
-"""Ordered single-file text outputs.
+"""Ordered text outputs.
 
-Rows are formatted and sorted in the cluster and written as part files; the parts are
-then copied one after another into the output file, as a stream.
+Rows are formatted and sorted in the cluster and written as part files, whose sizes are then known. Where the
+target is a file that any machine can open at any byte (``file:``, also of a shared disk), tasks copy the
+parts to their places in it, all at once; elsewhere the output is a folder, and the parts are moved
+into it under names in their order. The driver writes headers and moves names, and no line of a body passes it.
 """
 
 from __future__ import annotations
 
+import os
+import shutil
+from collections.abc import Iterator
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,47 +43,85 @@ def _part_number(name: str) -> int:
     return int(name.split("-")[1])
 
 
-def write_files(df: DataFrame, targets: dict[str, tuple[str, list[str]]]) -> None:
-    """Several files from one pass: ``df`` has the key of a file and a line, in order; ``targets`` has the path and the
-    header of each key. Existing files are replaced; headers are written even without rows."""
+def _local(path: str) -> str:
+    """The path on the machine of a ``file:`` path."""
+    return "/" + path[5:].lstrip("/") if path.startswith("file:") else path
+
+
+def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, target, at) to the bytes copied: parts into their targets from byte ``at`` on. Copying twice changes nothing."""
+    for b in batches:
+        done = []
+        for part, target, at in zip(*(b.column(c).to_pylist() for c in ("part", "target", "at")), strict=True):
+            with open(_local(part), "rb") as source, open(_local(target), "r+b") as out:
+                out.seek(at)
+                shutil.copyfileobj(source, out, 1 << 22)
+                done.append(out.tell() - at)
+        yield pa.RecordBatch.from_arrays([pa.array(done, pa.int64())], ["n"])
+
+
+def write_files(df: DataFrame, targets: dict[str, tuple[str, list[str]]], folders: bool | None = None) -> None:
+    """Several files from one pass: ``df`` has the key of a file and a line, sorted by key first; ``targets`` has the path and
+    the header of each key. Existing files are replaced; headers are written even without rows. ``folders``: whether each
+    output is a folder of ordered parts, the header the first; by default, only where files have no places to write to."""
     spark = df.sparkSession
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     hadoop = jvm.org.apache.hadoop.fs.Path
-    fs = hadoop(next(iter(targets.values()))[0]).getFileSystem(conf)
-    parts = hadoop(f"{next(iter(targets.values()))[0]}.parts-{uuid.uuid4().hex}")
-    df.toDF("file", "line").write.partitionBy("file").text(parts.toString())
+    first = next(iter(targets.values()))[0]
+    fs = hadoop(first).getFileSystem(conf)
+    folders = fs.getScheme() != "file" if folders is None else folders
+    parts = hadoop(f"{first}.parts-{uuid.uuid4().hex}")
+    rows = df.toDF("file", "line")
     try:
+        if len(targets) == 1:
+            rows.select("line").write.text(hadoop(parts, f"file={next(iter(targets))}").toString())
+        else:
+            rows.write.partitionBy("file").text(parts.toString())
+        copies, left = [], 0
         for name, (path, header) in targets.items():
             folder = hadoop(parts, f"file={name}")
-            held = [s.getPath() for s in fs.listStatus(folder)] if fs.exists(folder) else []
-            out = fs.create(hadoop(path), True)
-            try:
-                if header:
-                    out.write(bytearray(("\n".join(header) + "\n").encode()))
-                for p in sorted((p for p in held if p.getName().startswith("part-")), key=lambda p: _part_number(p.getName())):
-                    part = fs.open(p)
-                    try:
-                        jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, conf, False)
-                    finally:
-                        part.close()
-            finally:
+            held = [s for s in (fs.listStatus(folder) if fs.exists(folder) else []) if s.getPath().getName().startswith("part-")]
+            held.sort(key=lambda s: _part_number(s.getPath().getName()))
+            head = "".join(h + "\n" for h in header).encode()
+            fs.delete(hadoop(path), True)
+            if folders:
+                out = fs.create(hadoop(path, "part-0000000-header"), True)
+                out.write(bytearray(head))
                 out.close()
+                for k, s in enumerate(held, 1):
+                    fs.rename(s.getPath(), hadoop(path, f"part-{k:07d}"))
+                continue
+            at = len(head)
+            os.makedirs(os.path.dirname(_local(path)) or ".", exist_ok=True)
+            with open(_local(path), "wb") as out:
+                out.write(head)
+            for s in held:
+                copies.append((s.getPath().toUri().getPath(), path, at))
+                at += s.getLen()
+                left += s.getLen()
+        if copies:
+            n = min(len(copies), max(spark.sparkContext.defaultParallelism, -(-left // (64 << 20))))
+            placed = spark.createDataFrame(copies, "part string, target string, at long").repartition(n)
+            done = placed.mapInArrow(_place, "n long").groupBy().sum().first()[0]
+            if done != left:
+                raise OSError(f"{done} of {left} bytes were written")
     finally:
         fs.delete(parts, True)
 
 
-def write_lines(df: DataFrame, path: str, header: list[str]) -> None:
-    """The header and then the one string column of ``df``, in the order of ``df``, as one file."""
-    write_files(df.toDF("line").select(F.lit("all"), "line"), {"all": (path, header)})
+def write_lines(df: DataFrame, path: str, header: list[str], folder: bool | None = None) -> None:
+    """The header and then the one string column of ``df``, in the order of ``df``, as one output."""
+    write_files(df.toDF("line").select(F.lit("all"), "line"), {"all": (path, header)}, folder)
 
 
 def _sequences(dictionary: SequenceDictionary) -> list[str]:
     return [f"#seq\t{c}\t{n}" for c, n in dictionary.ordered]
 
 
-def _ordered(df: DataFrame, dictionary: SequenceDictionary, *then: Column | str) -> DataFrame:
-    """Rows in genome order; a contig that the dictionary lacks raises an error."""
-    return with_contigs(df, dictionary.frame(df.sparkSession)).orderBy("contig_order", *then)
+def _ordered(df: DataFrame, dictionary: SequenceDictionary, *then: Column | str, first: tuple[str, ...] = (), sorted_: bool = False) -> DataFrame:
+    """Rows in genome order, ``first`` before that; a contig that the dictionary lacks raises an error. ``sorted_``: they
+    are so already, and their contigs are known."""
+    return df if sorted_ else with_contigs(df, dictionary.frame(df.sparkSession)).orderBy(*first, "contig_order", *then)
 
 
 def _calls_header(dictionary: SequenceDictionary) -> list[str]:
@@ -97,24 +141,24 @@ def _minus() -> Column:
     return F.when(F.col("strand") == "-", 1).otherwise(0)
 
 
-def write_calls(calls: DataFrame, path: str, dictionary: SequenceDictionary) -> None:
-    """A call file: six columns where a row has a ratio, five where it has none."""
-    write_lines(_ordered(calls, dictionary, "position", _minus()).select(_call_line(calls)), path, _calls_header(dictionary))
+def write_calls(calls: DataFrame, path: str, dictionary: SequenceDictionary, sorted_: bool = False) -> None:
+    """A call file: six columns where a row has a ratio, five where it has none. ``sorted_``: ``calls`` are in genome order."""
+    write_lines(_ordered(calls, dictionary, "position", _minus(), sorted_=sorted_).select(_call_line(calls)), path, _calls_header(dictionary))
 
 
-def write_population(calls: DataFrame, path: str, dictionary: SequenceDictionary) -> None:
+def write_population(calls: DataFrame, path: str, dictionary: SequenceDictionary, sorted_: bool = False) -> None:
     c = F.col
     line = _line(c("contig"), c("position"), c("strand"), _number("ratio"), _number("standard_deviation"))
-    write_lines(_ordered(calls, dictionary, "position").select(line), path, [POPULATION_PRAGMA, *_sequences(dictionary), POPULATION_HEADER])
+    write_lines(_ordered(calls, dictionary, "position", sorted_=sorted_).select(line), path, [POPULATION_PRAGMA, *_sequences(dictionary), POPULATION_HEADER])
 
 
 def _statistics() -> list[Column]:
     return [*[F.when(F.col(n).isNotNull(), F.format_string("%.3g", n)) for n in ("sample1_mean", "sample2_mean", "t_statistic")], F.col("p_value")]
 
 
-def write_sites(sites: DataFrame, path: str, dictionary: SequenceDictionary) -> None:
+def write_sites(sites: DataFrame, path: str, dictionary: SequenceDictionary, sorted_: bool = False) -> None:
     c = F.col
-    write_lines(_ordered(sites, dictionary, "position").select(_line(c("contig"), c("position"), c("strand"), *_statistics())), path, [SITE_HEADER])
+    write_lines(_ordered(sites, dictionary, "position", sorted_=sorted_).select(_line(c("contig"), c("position"), c("strand"), *_statistics())), path, [SITE_HEADER])
 
 
 def write_regions(regions: DataFrame, path: str, dictionary: SequenceDictionary) -> None:
@@ -126,7 +170,7 @@ def write_regions(regions: DataFrame, path: str, dictionary: SequenceDictionary)
 
 def write_call_files(calls: DataFrame, key: str, paths: dict[str, str], dictionary: SequenceDictionary) -> None:
     """Several call files from one sort, by the column ``key``; one without rows has a header."""
-    rows = _ordered(calls, dictionary, "position", _minus()).select(key, _call_line(calls).alias("line"))
+    rows = _ordered(calls, dictionary, "position", _minus(), first=(key,)).select(key, _call_line(calls).alias("line"))
     head = _calls_header(dictionary)
     write_files(rows, {name: (path, head) for name, path in paths.items()})
 

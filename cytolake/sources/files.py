@@ -20,6 +20,11 @@ def _dictionary(head: list[str], pragma: str, path: str) -> SequenceDictionary:
     )
 
 
+def call_dictionary(spark: SparkSession, path: str) -> SequenceDictionary:
+    """The dictionary in the header of a call file."""
+    return _dictionary(header(spark, path, "#")[0], CALLS_PRAGMA, path)
+
+
 def _field(i: int, kind: str = "string") -> Column:
     return F.split("value", "\t")[i].cast(kind)
 
@@ -29,7 +34,7 @@ def read_calls(spark: SparkSession, path: str) -> tuple[DataFrame, SequenceDicti
 
     ``ratio`` is null in rows of five fields. The first line must be the format's marker."""
     text = lines(spark, path)
-    dictionary = _dictionary(header(spark, path, "#")[0], CALLS_PRAGMA, path)
+    dictionary = call_dictionary(spark, path)
     rows = text.where(~F.startswith("value", F.lit("#")))
     ratio = F.when(F.size(F.split("value", "\t")) > 5, F.try_element_at(F.split("value", "\t"), F.lit(6)).cast("double"))
     return (
@@ -42,10 +47,14 @@ def read_calls(spark: SparkSession, path: str) -> tuple[DataFrame, SequenceDicti
 
 
 def read_samples(spark: SparkSession, paths: list[str], conditions: list[int] | None = None) -> tuple[DataFrame, SequenceDictionary]:
-    """Several call files as one frame with ``sample_id`` and, if given, ``condition``; the dictionary is the first file's."""
+    """Several call files as one frame with ``sample_id`` and, if given, ``condition``, and the dictionary that they share.
+    Files whose dictionaries differ are refused."""
     if not paths:
         raise ValueError("no input files")
     read = [read_calls(spark, p) for p in paths]
+    for path, (_, own) in zip(paths, read, strict=True):
+        if own != read[0][1]:
+            raise ValueError(f"{path} has other contigs than {paths[0]}")
     return union_samples([df for df, _ in read], conditions), read[0][1]
 
 
@@ -54,7 +63,9 @@ def read_consensus(spark: SparkSession, path: str) -> tuple[DataFrame, SequenceD
     text = lines(spark, path)
     head, title = header(spark, path, "#")
     dictionary = _dictionary(head, CONSENSUS_PRAGMA, path)
-    body = text.where(~F.startswith("value", F.lit("#")) & (F.col("value") != F.lit(title)))
+    # the first line of that text: the least number, and later lines of the same text are rows
+    at = text.where(F.col("value") == F.lit(title)).agg(F.min("line")).first()[0] if title is not None else None
+    body = text.where(~F.startswith("value", F.lit("#")) & (F.col("line") != F.lit(-1 if at is None else at)))
     kinds = (("contig", "string"), ("position", "int"), ("strand", "string"), ("ratio_mean", "double"), ("ratio_variance", "double"), ("sample_size", "int"), ("total_depth", "int"))
     return body.select(*[_field(i, k).alias(n) for i, (n, k) in enumerate(kinds)]), dictionary
 

@@ -14,10 +14,22 @@ from pyspark.sql import functions as F
 GZIP = b"\x1f\x8b"
 
 
+def _opened(spark: SparkSession, path: str):
+    """A stream of a file, or of the first part of a folder."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    where = hadoop.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.getFileStatus(where).isDirectory():
+        names = sorted(s.getPath().getName() for s in fs.listStatus(where) if s.isFile() and s.getPath().getName()[0] not in "._")
+        if not names:
+            raise ValueError(f"{path} has no files")
+        where = hadoop.Path(where, names[0])
+    return fs.open(where)
+
+
 def first_bytes(spark: SparkSession, path: str, n: int = 2) -> bytes:
     """The first bytes of a file, through the file system that the engine uses for the path."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    stream = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(where)
+    stream = _opened(spark, path)
     try:
         return bytes(b for b in (stream.read() for _ in range(n)) if b >= 0)
     finally:
@@ -61,8 +73,7 @@ def header(spark: SparkSession, path: str, mark: str) -> tuple[list[str], str |
     """The leading lines of a file that start with ``mark``, and the line after them: metadata, read as a
     stream on the driver, so no job runs over the file for it."""
     jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    stream = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(where)
+    stream = _opened(spark, path)
     try:
         plain = jvm.java.util.zip.GZIPInputStream(stream) if first_bytes(spark, path) == GZIP else stream
         reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(plain, jvm.java.nio.charset.StandardCharsets.UTF_8))
