@@ -16,14 +16,14 @@ _READ = "struct<ordinal:bigint,flag:int,contig:string,start:int,cigar:string,xm:
 BLOCK = 8_192
 
 
-def _pairs_up(flag: Column) -> Column:
+def pairs_up(flag: Column) -> Column:
     """A mapped read that is paired and has a mapped mate."""
     return (flag.bitwiseAND(PAIRED) != 0) & (flag.bitwiseAND(MATE_UNMAPPED) == 0) & (flag.bitwiseAND(UNMAPPED) == 0)
 
 
 def has_pairs(reads: DataFrame) -> bool:
     """Whether any read can take a mate along. Ends at the first one; a file of single reads is scanned once for it."""
-    return not reads.where(_pairs_up(F.col("flag"))).limit(1).isEmpty()
+    return not reads.where(pairs_up(F.col("flag"))).limit(1).isEmpty()
 
 
 def fragments(reads: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -40,7 +40,7 @@ def fragments(reads: DataFrame, block: int = BLOCK) -> DataFrame:
     record = F.struct("ordinal", "flag", "contig", "start", "cigar", "xm", "xg").cast(_READ)
     home = F.floor(F.col("ordinal") / F.lit(block)).cast("long")
     seen_by = F.when(F.col("ordinal") % block == 0, F.array(home, home - 1)).otherwise(F.array(home))
-    placed = reads.select("ordinal", "qname", _pairs_up(F.col("flag")).alias("_able"), record.alias("_read"), home.alias("_home"), F.explode(seen_by).alias("_block"))
+    placed = reads.select("ordinal", "qname", pairs_up(F.col("flag")).alias("_able"), record.alias("_read"), home.alias("_home"), F.explode(seen_by).alias("_block"))
     w = Window.partitionBy("_block").orderBy("ordinal")
     joins = F.col("_able") & (F.lead("qname").over(w) == F.col("qname")) & (F.lead("ordinal").over(w) == F.col("ordinal") + 1)
     ahead = placed.select("*", F.coalesce(joins, F.lit(False)).alias("_opens"), F.lead("_read").over(w).alias("_next"))

@@ -36,9 +36,11 @@ def control_error_rate(control: DataFrame, default: float = 0.0) -> DataFrame:
 
 
 def consensus_sites(sites: DataFrame, error_rate: DataFrame) -> DataFrame:
-    """The calls of sites outside control contigs, their ratios corrected; ``error_rate`` has one row."""
+    """The calls of sites outside control contigs, their ratios corrected; ``error_rate`` has one row. Plus comes before minus."""
+    minus = lambda c: c["strand"] == "-"
+    strands = sites.withColumn("calls", F.concat(F.filter("calls", lambda c: ~minus(c)), F.filter("calls", minus)))
     return (
-        site_calls(sites).join(F.broadcast(error_rate), how="cross")  # one row by construction
+        site_calls(strands).join(F.broadcast(error_rate), how="cross")  # one row by construction
         .withColumn("ratio", corrected_ratio(F.col("methylated"), F.col("total"), F.col("error_rate")))
         .select("contig", "position", "strand", "methylated", "total", "ratio")
     )

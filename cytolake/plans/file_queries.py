@@ -6,7 +6,15 @@ finds in the output, with the place of each row in the file. SQL has the same ro
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import contextlib
+import io
+import re
+import struct
+import zlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import cli
@@ -15,21 +23,24 @@ from ..functions.stats import close_to
 from ..operators import calls as C
 from ..operators import differential as D
 from ..operators import extract as X
+from ..operators import sites as S
 from ..operators.coordinates import from_linear, genome_chunks, reference_length, region_length
 from ..operators.dictionary import SequenceDictionary
 from ..schema import CONSENSUS_PRAGMA, CONTEXT_FILES
 from ..scratch import new_path
-from ..sinks import write_call_files, write_calls, write_files, write_lines
-from ..sources.alignments import read_alignments
+from ..sinks import write_bytes, write_call_files, write_calls, write_files, write_lines
+from ..sources.alignments import open_alignments, read_alignments
+from ..sources.bgzf import BLOCK
 from ..sources.files import read_calls, read_consensus, read_regions, read_samples
-from ..sources.lines import lines
+from ..sources.lines import consecutive, lines
+from ..sources.sites import call_files, contig_ranges, read_sites, region_ranges
 from . import views as V
-from .registry import COUNTED, RAW, READS, TEST_SQL, moments_sql, query, rounded
+from .registry import COUNTED, ORACLE, RAW, READS, TEST_SQL, moments_sql, query, rounded
 
 
 def _numbered(df: DataFrame, ordinal: str = "ordinal") -> DataFrame:
-    """``df`` with ``place``, the rows counted from 0 along the file; the results here are small."""
-    return df.withColumn("place", (F.row_number().over(Window.orderBy(ordinal)) - 1).cast("long")).drop(ordinal)
+    """``df`` with ``place``, the rows counted from 0 along the file."""
+    return consecutive(df, ordinal, "place")
 
 
 def _body(spark: SparkSession, path: str, mark: str = "#") -> DataFrame:
@@ -38,9 +49,10 @@ def _body(spark: SparkSession, path: str, mark: str = "#") -> DataFrame:
     return text.select(F.split("value", "\t").alias("f"), F.col("line").alias("ordinal"))
 
 
-def _track_files(spark: SparkSession, sf_dir: str, folder: str, with_ratio: bool) -> list[str]:
-    paths = {f"track{k}": f"{folder}/track{k}.tab" for k in range(len(V.TRACK_DEPTHS))}
-    calls = V.tracks(spark, sf_dir).withColumn("track", F.concat(F.lit("track"), F.col("sample_id").cast("string")))
+def _track_files(spark: SparkSession, sf_dir: str, folder: str, with_ratio: bool, n: int = len(V.TRACK_DEPTHS)) -> list[str]:
+    """The first ``n`` tracks as sorted call files."""
+    paths = {f"track{k}": f"{folder}/track{k}.tab" for k in range(n)}
+    calls = V.tracks(spark, sf_dir).where(F.col("sample_id") < n).withColumn("track", F.concat(F.lit("track"), F.col("sample_id").cast("string")))
     calls = calls.withColumn("ratio", ratio(F.col("methylated"), F.col("total"))) if with_ratio else calls
     write_call_files(calls, "track", paths, V.sequence_dictionary(spark, sf_dir))
     return list(paths.values())
@@ -117,7 +129,7 @@ row_number() OVER (ORDER BY contig_order, position) - 1 AS place FROM printed GR
 def cli_popcall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three call files with ratios averaged, and the standard error."""
     folder = new_path(spark, "popcall")
-    paths = _track_files(spark, sf_dir, folder, True)[:3]
+    paths = _track_files(spark, sf_dir, folder, True, 3)
     _run(spark, "popCall", *_inputs(paths), "--output", f"{folder}/out.tab", "--cutoff", "7")
     f = F.col("f")
     body = _body(spark, f"{folder}/out.tab").select(
@@ -194,6 +206,66 @@ def cli_diff_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _numbered(body)
 
 
+# --- sorted files read side by side ------------------------------------------------
+
+#: Bytes of a piece of the genome here, so that there are many pieces.
+PIECE = 1 << 16
+
+
+@query(
+    f"""WITH {TRACKS}, u AS (SELECT contig, contig_order, position, strand, methylated, total FROM tracks WHERE k = 0 AND position % 2 = 0
+  UNION ALL SELECT contig, contig_order, position, strand, methylated, total FROM tracks WHERE k = 1 AND position % 3 = 0
+  UNION ALL SELECT contig, contig_order, position, strand, methylated, total FROM tracks WHERE k > 1
+) SELECT contig, position, strand, sum(methylated)::BIGINT AS methylated, sum(total)::BIGINT AS total, row_number() OVER (ORDER BY contig_order, position) - 1 AS place
+FROM u GROUP BY contig, contig_order, position, strand"""
+)
+def merge_sorted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six sorted files, two of them with gaps, merged piece by piece; the partitions follow each other in genome order."""
+    folder = new_path(spark, "sorted")
+    calls = V.tracks(spark, sf_dir).where("(sample_id != 0 or position % 2 = 0) and (sample_id != 1 or position % 3 = 0)")
+    paths = {f"track{k}": f"{folder}/track{k}.tab" for k in range(len(V.TRACK_DEPTHS))}
+    write_call_files(calls.withColumn("track", F.concat(F.lit("track"), F.col("sample_id").cast("string"))), "track", paths, V.sequence_dictionary(spark, sf_dir))
+    merged = S.merge_sites(read_sites(spark, call_files(spark, list(paths.values())), PIECE))
+    return consecutive(merged.withColumn("line", F.monotonically_increasing_id()), "line", "place")
+
+
+@query(
+    f"""WITH {OBSERVED} {moments_sql("obs", "contig, position, strand")}, {TEST_SQL}
+SELECT contig, position, strand, round(mean_1, 6) AS sample1_mean, round(mean_2, 6) AS sample2_mean, round(t, 6) AS t_statistic, round(p, 6) AS p_value
+FROM tested WHERE NOT isnan(p) AND p <= 0.05"""
+)
+def diff_sorted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six sorted files of two conditions tested site by site, without a shuffle."""
+    paths = _track_files(spark, sf_dir, new_path(spark, "sorted"), False)
+    found = S.differential_over_sites(read_sites(spark, call_files(spark, paths, [1, 1, 1, 0, 0, 0]), PIECE))
+    return found.withColumns({c: rounded(c) for c in ("sample1_mean", "sample2_mean", "t_statistic", "p_value")})
+
+
+@query(
+    f"""WITH {TRACKS}, printed AS (SELECT *, format('{{:.4f}}', methylated / total)::DOUBLE AS r FROM tracks WHERE total >= 9)
+SELECT contig, position, strand, round(avg(r), 6) AS ratio, round(stddev_samp(r) / sqrt(count(*)), 6) AS standard_deviation FROM printed GROUP BY contig, position, strand"""
+)
+def popcall_sorted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean ratios of six sorted files, of which one is too shallow to count."""
+    paths = _track_files(spark, sf_dir, new_path(spark, "sorted"), True)
+    found = S.population_sites(read_sites(spark, call_files(spark, paths), PIECE), 9)
+    return found.withColumns({c: rounded(c) for c in ("ratio", "standard_deviation")})
+
+
+@query(
+    f"""WITH {TRACKS} SELECT contig, position, strand, k::INT AS sample_id, methylated::INT AS methylated, total::INT AS total FROM tracks
+WHERE contig IN ('AFRICA', 'ASIA') OR position BETWEEN 101 AND 150 OR position BETWEEN 1001 AND 1010"""
+)
+def ranges_of_sorted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two whole contigs, and two short stretches of all others: only their bytes are read."""
+    files = call_files(spark, _track_files(spark, sf_dir, new_path(spark, "sorted"), False))
+    whole = contig_ranges(files, {"AFRICA", "ASIA"})
+    d = V.dictionary(spark, sf_dir).where("contig not in ('AFRICA', 'ASIA')")
+    asked = d.select("contig", F.inline(F.array(F.struct(F.lit(101).alias("start"), F.lit(150).alias("stop")), F.struct(F.lit(1001).alias("start"), F.lit(1010).alias("stop")))))
+    sites = read_sites(spark, files, PIECE, sorted(whole + region_ranges(spark, files, asked, 100)))
+    return S.site_calls(sites).select("contig", "position", "strand", "sample_id", "methylated", "total")
+
+
 # --- alignments ---------------------------------------------------------------
 
 MIXED = f"""{READS}, fragments AS (
@@ -235,18 +307,21 @@ def _extracted(spark: SparkSession, sf_dir: str) -> str:
     return folder
 
 
+def _contexts(spark: SparkSession, folder: str) -> DataFrame:
+    out = None
+    for context, name in CONTEXT_FILES.items():
+        one = _numbered(read_calls(spark, f"{folder}/{name}")[0].drop("ratio")).withColumn("context", F.lit(context))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query(
     f"""WITH {MIXED_COUNTS} SELECT context, contig, position, strand, methylated::INT AS methylated, total::INT AS total,
 row_number() OVER (PARTITION BY context ORDER BY r_regionkey, position, strand) - 1 AS place FROM counts JOIN region ON r_name = contig"""
 )
 def cli_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A SAM file to four call files by context, each in genome order, plus before minus."""
-    folder = _extracted(spark, sf_dir)
-    out = None
-    for context, name in CONTEXT_FILES.items():
-        one = _numbered(read_calls(spark, f"{folder}/{name}")[0].drop("ratio")).withColumn("context", F.lit(context))
-        out = one if out is None else out.unionByName(one)
-    return out
+    return _contexts(spark, _extracted(spark, sf_dir))
 
 
 @query(
@@ -278,6 +353,60 @@ def scan_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _numbered(read_alignments(spark, path)[0])
 
 
+def _bam_record(contigs: list[str], qname: str, flag: int, contig: str, start: int, cigar: str, xm: str, xg: str) -> bytes:
+    """A record of the format: fixed fields, name, operations, no bases, and three tags."""
+    ops = [(int(n), "MIDNSHP=X".index(o)) for n, o in re.findall(r"(\d+)(\D)", cigar)]
+    ref = contigs.index(contig) if contig in contigs else -1
+    name = qname.encode() + b"\0"
+    raw = struct.pack("<iiBBHHHiiii", ref, start - 1, len(name), 255, 0, len(ops), flag, 0, -1, -1, 0) + name + struct.pack(f"<{len(ops)}I", *[n << 4 | o for n, o in ops])
+    raw += b"NMi" + struct.pack("<i", 0) + b"XMZ" + xm.encode() + b"\0XGZ" + xg.encode() + b"\0"
+    return struct.pack("<i", len(raw)) + raw
+
+
+def _block(data: bytes) -> bytes:
+    z = zlib.compressobj(6, zlib.DEFLATED, -15)
+    body = z.compress(data) + z.flush()
+    return BLOCK + bytes(6) + struct.pack("<H2sHH", 6, b"BC", 2, len(body) + 25) + body + struct.pack("<II", zlib.crc32(data), len(data))
+
+
+def _bam_file(spark: SparkSession, sf_dir: str, path: str, block: int = 4000) -> None:
+    """The mixed reads as a BAM file of small blocks, each encoded by the task that has its records; blocks of one file after
+    another are a file."""
+    d = V.sequence_dictionary(spark, sf_dir, ())
+    contigs = [c for c, _ in d.contigs]
+    head = b"BAM\1" + struct.pack("<ii", 0, len(contigs)) + b"".join(struct.pack("<i", len(c) + 1) + c.encode() + b"\0" + struct.pack("<i", n) for c, n in d.contigs)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held, out = b"", []
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                held += _bam_record(contigs, *row)
+                if len(held) >= block:
+                    out.append(_block(held[:block]))  # a record may go on in the next block
+                    held = held[block:]
+            yield pa.RecordBatch.from_arrays([pa.array([*out, _block(held)], pa.binary())], ["value"])
+
+    reads = V.mixed_reads(spark, sf_dir).orderBy("ordinal").select("qname", "flag", "contig", "start", "cigar", "xm", "xg")
+    write_bytes(reads.mapInArrow(encode, "value binary"), path, _block(head))
+
+
+@query(ORACLE["scan_alignments"])
+def scan_bam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A BAM file read back in many tasks, whose stretches begin anywhere in its blocks."""
+    path = new_path(spark, "scan") + ".bam"
+    _bam_file(spark, sf_dir, path)
+    return open_alignments(spark, path, stretch=1 << 15).reads.withColumnRenamed("ordinal", "place")
+
+
+@query(ORACLE["cli_extract"])
+def cli_extract_bam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A BAM file to four call files by context."""
+    folder = new_path(spark, "extract")
+    _bam_file(spark, sf_dir, f"{folder}.bam", 60_000)
+    _run(spark, "extract", "--input", f"{folder}.bam", "--output", folder, "--contigs", f"{V.CONTROL} elsewhere")
+    return _contexts(spark, folder)
+
+
 # --- other files --------------------------------------------------------------
 
 
@@ -353,7 +482,7 @@ contig_order * 1000000 + position <= 2500000 AS in_front FROM tracks WHERE k < 4
 )
 def scan_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four call files as one frame: samples, conditions and a place to compare with."""
-    paths = _track_files(spark, sf_dir, new_path(spark, "samples"), False)[:4]
+    paths = _track_files(spark, sf_dir, new_path(spark, "samples"), False, 4)
     calls, d = read_samples(spark, paths, [1, 1, 0, 0])
     own = C.with_contigs(calls, d.frame(spark))
     front = F.col("contig_offset") + F.col("position") <= 2_500_000
@@ -412,16 +541,22 @@ def population_needs_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(found, below)], "error string, depth_below long")
 
 
-@query("SELECT 'none' AS verb, 0::INT AS code UNION ALL SELECT 'unknown', 0 UNION ALL SELECT 'incomplete', 0")
+@query("SELECT s_name AS verb, 0::INT AS code FROM supplier")
 def cli_other_verbs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Without a verb, with an unknown one, or without a needed option, the command line prints help and ends normally."""
-    codes = [("none", cli.main([], spark))]
-    for verb, args in (("unknown", ["other"]), ("incomplete", ["merge"])):
-        try:
-            codes.append((verb, cli.main(args, spark)))
-        except SystemExit as e:
-            codes.append((verb, e.code))
-    return spark.createDataFrame(codes, "verb string, code int")
+    """An unknown verb prints the help and ends normally: each supplier's name is one."""
+
+    def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for verb in b.column(0).to_pylist():
+                with contextlib.redirect_stdout(io.StringIO()) as said, contextlib.redirect_stderr(io.StringIO()):
+                    try:
+                        out.append(cli.main([verb]))
+                    except SystemExit as e:
+                        out.append(e.code if "usage" in said.getvalue() else 1)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.int32())], ["verb", "code"])
+
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_name").alias("verb")).mapInArrow(codes, "verb string, code int")
 
 
 @query(

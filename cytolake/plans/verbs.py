@@ -10,7 +10,7 @@ from ..operators import extract as X
 from ..operators import sites as S
 from ..schema import POPULATION_DEPTH
 from ..sinks import write_calls, write_contexts, write_population, write_regions, write_sites, write_summary
-from ..sources.alignments import read_alignments
+from ..sources.alignments import open_alignments
 from ..sources.files import read_calls, read_regions, read_samples
 from ..sources.sites import alignable, call_files, contig_ranges, read_sites, region_ranges
 
@@ -18,8 +18,9 @@ from ..sources.sites import alignable, call_files, contig_ranges, read_sites, re
 def extract(spark: SparkSession, source: str, folder: str, controls: tuple[str, ...] = ()) -> None:
     """Alignments to four context files and summary.tab in ``folder``. Files of single reads need no search
     for mates, so their reads are not shuffled."""
-    reads, dictionary = read_alignments(spark, source, controls)
-    counts = X.extract(reads, X.has_pairs(reads)).cache()  # two outputs read it
+    found = open_alignments(spark, source, controls)
+    dictionary = found.dictionary
+    counts = X.extract(found.reads, found.paired).cache()  # two outputs read it
     try:
         write_contexts(counts, folder, dictionary)
         write_summary(X.extract_summary(counts, dictionary.frame(spark)), f"{folder}/summary.tab")

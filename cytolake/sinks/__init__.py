@@ -14,7 +14,8 @@ from collections.abc import Iterator
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.dictionary import SequenceDictionary, with_contigs
@@ -99,16 +100,50 @@ def write_files(df: DataFrame, targets: dict[str, tuple[str, list[str]]], folder
                 copies.append((s.getPath().toUri().getPath(), path, at))
                 at += s.getLen()
                 left += s.getLen()
-        if copies:
-            n = min(len(copies), max(spark.sparkContext.defaultParallelism, -(-left // (64 << 20))))
-            placed = spark.createDataFrame(copies, "part string, target string, at long").repartition(n)
-            done = placed.mapInArrow(_place, "n long").groupBy().sum().first()[0]
-            if done != left:
-                raise OSError(f"{done} of {left} bytes were written")
+        _copied(spark, copies, left)
     finally:
         fs.delete(parts, True)
 
 
+def _copied(spark: SparkSession, copies: list[tuple[str, str, int]], size: int) -> None:
+    """Parts copied to their places by as many tasks as there are cores, or 64 MB each."""
+    if copies:
+        n = min(len(copies), max(spark.sparkContext.defaultParallelism, -(-size // (64 << 20))))
+        placed = spark.createDataFrame(copies, "part string, target string, at long").repartition(n)
+        done = placed.mapInArrow(_place, "n long").groupBy().sum().first()[0]
+        if done != size:
+            raise OSError(f"{done} of {size} bytes were written")
+
+
+def write_bytes(df: DataFrame, path: str, head: bytes) -> None:
+    """``head`` and then the one binary column of ``df``, in the order of ``df``, as one file, which tasks must be able to open.
+    Each task writes a part under its own name first, so that a task that runs twice does no harm."""
+    spark, folder = df.sparkSession, f"{_local(path)}.parts-{uuid.uuid4().hex}"
+    os.makedirs(folder)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, own = TaskContext.get().partitionId(), f"{folder}/{uuid.uuid4().hex}"
+        with open(own, "wb") as out:
+            for b in batches:
+                for x in b.column(0):
+                    out.write(x.as_py())
+            size = out.tell()
+        os.replace(own, f"{folder}/part-{part:07d}")
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([size], pa.int64())], ["part", "n"])
+
+    try:
+        sizes = sorted((r["part"], r["n"]) for r in df.mapInArrow(keep, "part int, n long").collect())
+        with open(_local(path), "wb") as out:
+            out.write(head)
+        copies, at = [], len(head)
+        for part, n in sizes:
+            copies.append((f"{folder}/part-{part:07d}", path, at))
+            at += n
+        _copied(spark, copies, at - len(head))
+    finally:
+        shutil.rmtree(folder, ignore_errors=True)
+
+
 def write_lines(df: DataFrame, path: str, header: list[str], folder: bool | None = None) -> None:
     """The header and then the one string column of ``df``, in the order of ``df``, as one output."""
     write_files(df.toDF("line").select(F.lit("all"), "line"), {"all": (path, header)}, folder)

@@ -5,15 +5,28 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.dictionary import SequenceDictionary
-from .lines import GZIP, first_bytes, header, lines
+from ..operators.extract import pairs_up
+from .bgzf import RECORDS, ROWS, Contents, decoded, is_blocked, loaded, read_header, record_batch
+from .lines import GZIP, WITHIN, first_bytes, header, is_stretched, lines
+from .ranges import Bytes, reachable
 
-KINDS = "qname string, flag int, contig string, start int, cigar string, xm string, xg string"
+_KEPT = [k.split()[0] for k in RECORDS.split(", ")]
+
+
+@dataclass(frozen=True)
+class Alignments:
+    """``reads``: (qname, flag, contig, start, cigar, xm, xg, ordinal); ``paired``: whether any can take a mate along."""
+
+    reads: DataFrame
+    dictionary: SequenceDictionary
+    paired: bool
 
 
 def _sam_dictionary(head: list[str], controls: tuple[str, ...]) -> SequenceDictionary:
@@ -21,24 +34,35 @@ def _sam_dictionary(head: list[str], controls: tuple[str, ...]) -> SequenceDicti
     return SequenceDictionary(tuple((t["SN"], int(t["LN"])) for t in tags), tuple(controls))
 
 
-def _without_gaps(rows: DataFrame) -> DataFrame:
-    """``ordinal``: line numbers that jump between partitions made consecutive. One count for each
-    partition of the scan is summed up on the way; the records themselves are not moved."""
-    part = F.shiftright("line", 33)
-    sizes = rows.groupBy(part.alias("_part")).agg(F.max("line").alias("_top"))
-    own = F.col("_top").bitwiseAND((1 << 33) - 1) + 1
-    before = F.coalesce(F.sum(own).over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select("_part", before.alias("_before"))
-    return rows.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn(
-        "ordinal", F.col("_before") + F.col("line").bitwiseAND((1 << 33) - 1)
-    )
+def _first_lines(found: list[tuple[int, int]]) -> dict[int, int]:
+    """The number of the first line of each partition, from (partition, lines)."""
+    out, before = {}, 0
+    for part, n in sorted(found):
+        out[part] = before
+        before += n
+    return out
+
+
+def _ordinal(rows: DataFrame, first: dict[int, int]) -> DataFrame:
+    """``ordinal`` instead of ``line``: numbers that jump between partitions made consecutive. The records are not moved;
+    ``first`` has an entry for each partition of the scan."""
+    offsets = rows.sparkSession.createDataFrame(list(first.items()), "_part long, _before long")
+    own = rows.withColumn("_part", F.shiftright("line", WITHIN)).join(F.broadcast(offsets), "_part")  # 16 bytes for each partition
+    return own.withColumn("ordinal", F.col("_before") + F.col("line").bitwiseAND((1 << WITHIN) - 1)).drop("_part", "_before", "line")
 
 
-def read_sam(spark: SparkSession, path: str, controls: tuple[str, ...] = ()) -> tuple[DataFrame, SequenceDictionary]:
-    """(qname, flag, contig, start, cigar, xm, xg, ordinal) of a SAM file and the dictionary of its header."""
+def _flag(value: Column) -> Column:
+    return F.split(value, "\t", 3)[1].cast("int")
+
+
+def _open_sam(spark: SparkSession, path: str, controls: tuple[str, ...]) -> Alignments:
     text = lines(spark, path)
     dictionary = _sam_dictionary(header(spark, path, "@")[0], controls)
-    rows = _without_gaps(text).where(~F.startswith("value", F.lit("@")))
+    is_read = ~F.startswith("value", F.lit("@"))
+    # one pass before the work: lines by partition, and whether any read pairs up
+    pairs = F.when(is_read, pairs_up(_flag(F.col("value"))))
+    seen = text.groupBy(F.shiftright("line", WITHIN).alias("p")).agg(F.count("*").alias("n"), F.max(pairs).alias("pairs")).collect()
+    rows = _ordinal(text, _first_lines([(r["p"], r["n"]) for r in seen])).where(is_read)
     f = F.split("value", "\t")
     tag = lambda name: F.nullif(F.regexp_extract("value", rf"\t{name}:Z:([^\t]*)", 1), F.lit(""))
     reads = (
@@ -47,7 +71,8 @@ def read_sam(spark: SparkSession, path: str, controls: tuple[str, ...] = ()) ->
             f[5].alias("cigar"), tag("XM").alias("xm"), tag("XG").alias("xg"), "ordinal",
         )
     )
-    return (_spread(reads) if first_bytes(spark, path) == GZIP else reads), dictionary
+    one_task = first_bytes(spark, path) == GZIP and not is_stretched(path)
+    return Alignments(_spread(reads) if one_task else reads, dictionary, any(r["pairs"] for r in seen))
 
 
 def _spread(reads: DataFrame) -> DataFrame:
@@ -67,7 +92,7 @@ def _inflated(data: bytes) -> Iterator[bytes]:
 
 
 class _Stream:
-    """Bytes of a blocked gzip file, a few blocks at a time."""
+    """Bytes of a gzip file, a few members at a time."""
 
     def __init__(self, data: bytes) -> None:
         self.blocks, self.held, self.at = _inflated(data), b"", 0
@@ -85,79 +110,60 @@ class _Stream:
         return struct.unpack("<i", self.take(4))[0]
 
 
-def _bam_header(s: _Stream) -> list[tuple[str, int]]:
-    if s.take(4) != b"BAM\1":
-        raise ValueError("not a BAM file")
-    s.take(s.int())
-    out = []
-    for _ in range(s.int()):
-        name = s.take(s.int())[:-1].decode()
-        out.append((name, s.int()))
-    return out
-
-
-#: Fixed values of the format: CIGAR letters in code order, and sizes of tag types.
-_OPS, _SIZES = "MIDNSHP=X", {"A": 1, "c": 1, "C": 1, "s": 2, "S": 2, "i": 4, "I": 4, "f": 4}
-
-
-def _tags(raw: bytes) -> dict[str, str]:
-    out, at = {}, 0
-    while at < len(raw):
-        name, kind = raw[at : at + 2].decode(), chr(raw[at + 2])
-        at += 3
-        if kind in "ZH":
-            end = raw.index(b"\0", at)
-            out[name], at = raw[at:end].decode(), end + 1
-        elif kind == "B":
-            at += 5 + _SIZES[chr(raw[at])] * struct.unpack_from("<i", raw, at + 1)[0]
-        else:
-            at += _SIZES[kind]
-    return out
-
-
 def _bam_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = [k.split()[0] for k in KINDS.split(", ")]
-    kinds = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()]
-
-    def out(rows):
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-
     for b in batches:
         for content in b.column(0):
             s, rows = _Stream(content.as_py()), []
-            contigs = [c for c, _ in _bam_header(s)]
+            contigs = [c for c, _ in read_header(s)]
             while size := s.take(4):
-                raw = s.take(struct.unpack("<i", size)[0])
-                ref, pos, name_size, _, _, ops, flag, bases = struct.unpack_from("<iiBBHHHi", raw)
-                at = 32 + name_size
-                cigar = "".join(f"{x >> 4}{_OPS[x & 15]}" for x in struct.unpack_from(f"<{ops}I", raw, at)) or "*"
-                tags = _tags(raw[at + 4 * ops + (bases + 1) // 2 + bases :])
-                rows.append((raw[32 : at - 1].decode(), flag, contigs[ref] if ref >= 0 else "*", pos + 1, cigar, tags.get("XM"), tags.get("XG")))
-                if len(rows) == 10_000:
-                    yield out(rows)
+                rows.append(decoded(s.take(struct.unpack("<i", size)[0]), contigs))
+                if len(rows) == ROWS:
+                    yield record_batch(rows)
                     rows = []
             if rows:
-                yield out(rows)
+                yield record_batch(rows)
 
 
-def read_bam(spark: SparkSession, path: str, controls: tuple[str, ...] = ()) -> tuple[DataFrame, SequenceDictionary]:
-    """As ``read_sam``, of a BAM file. A file is decoded in one task, so it must be below 2 GB; split larger ones."""
-    files = spark.read.format("binaryFile").load(path).select("content")
+def _bam_contigs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for content in b.column(0):
+            found = read_header(_Stream(content.as_py()))
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], ["contig", "length"])
 
-    def contigs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for content in b.column(0):
-                found = _bam_header(_Stream(content.as_py()))
-                yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], ["contig", "length"])
 
-    head = [(r["contig"], r["length"]) for r in files.mapInArrow(contigs, "contig string, length long").collect()]
-    records = files.mapInArrow(_bam_records, KINDS).withColumn("line", F.monotonically_increasing_id())
-    reads = _without_gaps(records).select(*[k.split()[0] for k in KINDS.split(", ")], "ordinal")
-    return _spread(reads), SequenceDictionary(tuple(head), tuple(controls))
+def _open_whole_bam(spark: SparkSession, path: str, controls: tuple[str, ...]) -> Alignments:
+    """A BAM file that is not in blocks, or that only the engine can open: one task decodes it, so it must be below 2 GB."""
+    files = spark.read.format("binaryFile").load(path).select("content")
+    head = [(r["contig"], r["length"]) for r in files.mapInArrow(_bam_contigs, "contig string, length long").collect()]
+    records = files.mapInArrow(_bam_records, RECORDS)
+    lined = records.withColumn("line", F.monotonically_increasing_id())
+    seen = lined.groupBy(F.shiftright("line", WITHIN).alias("p")).agg(F.count("*").alias("n"), F.max(pairs_up(F.col("flag"))).alias("pairs")).collect()
+    reads = _ordinal(lined, _first_lines([(r["p"], r["n"]) for r in seen])).select(*_KEPT, "ordinal")
+    return Alignments(_spread(reads), SequenceDictionary(tuple(head), tuple(controls)), any(r["pairs"] for r in seen))
+
+
+def _open_bam(spark: SparkSession, path: str, controls: tuple[str, ...], stretch: int | None) -> Alignments:
+    """A BAM file of blocks, a stretch of them a task. The pass before the work counts records and does not decode them."""
+    how = {} if stretch is None else {"stretch": str(stretch)}
+    numbered = loaded(spark, "bam", path, summary="true", **how).select(F.spark_partition_id().alias("p"), "n", "pairs")
+    seen = numbered.collect()
+    records = loaded(spark, "bam", path, **how).withColumn("line", F.monotonically_increasing_id())
+    reads = _ordinal(records, _first_lines([(r["p"], r["n"]) for r in seen])).select(*_KEPT, "ordinal")
+    with Bytes(path) as f:
+        head = read_header(Contents(f, 0))
+    return Alignments(reads, SequenceDictionary(tuple(head), tuple(controls)), any(r["pairs"] for r in seen))
+
+
+def open_alignments(spark: SparkSession, path: str, controls: tuple[str, ...] = (), stretch: int | None = None) -> Alignments:
+    """SAM, compressed or not, or BAM, by the file's ending. ``stretch``: bytes of a BAM file for a task."""
+    if path.endswith(".bam") and first_bytes(spark, path) == GZIP:
+        if reachable(path) and is_blocked(path):
+            return _open_bam(spark, path, controls, stretch)
+        return _open_whole_bam(spark, path, controls)
+    return _open_sam(spark, path, controls)
 
 
 def read_alignments(spark: SparkSession, path: str, controls: tuple[str, ...] = ()) -> tuple[DataFrame, SequenceDictionary]:
-    """SAM, compressed or not, or BAM, by the file's ending."""
-    if path.endswith(".bam") and first_bytes(spark, path) == GZIP:
-        return read_bam(spark, path, controls)
-    return read_sam(spark, path, controls)
+    """The reads and the dictionary of ``open_alignments``."""
+    found = open_alignments(spark, path, controls)
+    return found.reads, found.dictionary

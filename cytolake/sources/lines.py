@@ -6,9 +6,11 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .bgzf import is_blocked, loaded
+from .ranges import reachable
 
 #: Fixed value: the first bytes of gzip content.
 GZIP = b"\x1f\x8b"
@@ -58,11 +60,19 @@ def _rows(lines: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x.decode().rstrip("\r") for x in lines], pa.string())], ["value"])
 
 
+def is_stretched(path: str) -> bool:
+    """Whether many tasks can read a gzip file: it is in blocks, and they can open it."""
+    return reachable(path) and is_blocked(path)
+
+
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """(value, line): the lines of a file, or of the files of a folder, and numbers that grow along them. Gzip
-    content is recognised whatever the file is called; without the ending .gz a file's compressed bytes are in
-    one task, which inflates them step by step."""
-    if first_bytes(spark, path) == GZIP and not path.endswith(".gz"):
+    content is recognised whatever the file is called; block gzip is read by many tasks; other gzip files are in one
+    task each, which inflates them step by step."""
+    packed = first_bytes(spark, path) == GZIP
+    if packed and is_stretched(path):
+        text = loaded(spark, "bgzf_lines", path)
+    elif packed and not path.endswith(".gz"):
         text = spark.read.format("binaryFile").load(path).select("content").mapInArrow(_inflate, "value string")
     else:
         text = spark.read.text(path).select("value")
@@ -83,3 +93,22 @@ def header(spark: SparkSession, path: str, mark: str) -> tuple[list[str], str |
         return found, line
     finally:
         stream.close()
+
+
+#: Bits of a number from ``monotonically_increasing_id`` that count the rows of a partition.
+WITHIN = 33
+
+
+def consecutive(df: DataFrame, number: str, name: str) -> DataFrame:
+    """``df`` with ``name`` instead of ``number``, the place of each row from 0 on in the order of numbers that grow along
+    partitions. Rows are ranked in their partition; one count for each partition is summed up on the driver."""
+    part = F.shiftright(number, WITHIN)
+    counts = sorted((r["p"], r["count"]) for r in df.groupBy(part.alias("p")).count().collect())
+    offsets, before = [], 0
+    for p, n in counts:
+        offsets.append((p, before))
+        before += n
+    own = df.withColumn("_part", part)
+    known = own.join(df.sparkSession.createDataFrame(offsets, "_part long, _before long"), "_part")
+    rank = F.row_number().over(Window.partitionBy("_part").orderBy(number)) - 1
+    return known.withColumn(name, (F.col("_before") + rank).cast("long")).drop("_part", "_before", number)

@@ -64,15 +64,23 @@ class Bytes:
         """Where the first line starts at byte ``start`` or later; one starts at ``first``."""
         return start if start <= first else self.line_end(start - 1)
 
-    def bisect(self, key: Callable[[bytes], int], first: int, target: int) -> int:
-        """Where the first line starts, from ``first`` on, whose key is ``target`` or more; the file is sorted by it."""
+    def keyed(self, key: Callable[[bytes], int | None], start: int, stop: int) -> tuple[int, int | None]:
+        """The first line from ``start`` on that has a key, and the key; or, if none starts before ``stop``, that or later."""
+        while start < stop:
+            if (k := key(self.line(start))) is not None:
+                return start, k
+            start = self.line_end(start)
+        return start, None
+
+    def bisect(self, key: Callable[[bytes], int | None], first: int, target: int) -> int:
+        """Where the first line starts, from ``first`` on, whose key is ``target`` or more; lines with a key are sorted by it."""
         low, high = first, self.size
         while low < high:
             middle = (low + high) // 2
-            start = self.line_from(middle, low)
-            if start >= high:
+            start, k = self.keyed(key, self.line_from(middle, low), high)
+            if k is None:
                 high = middle
-            elif key(self.line(start)) < target:
+            elif k < target:
                 low = self.line_end(start)
             else:
                 high = start

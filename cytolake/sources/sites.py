@@ -103,10 +103,12 @@ def call_files(spark: SparkSession, paths: list[str], conditions: list[int] | No
 # --- places -------------------------------------------------------------------
 
 
-def _keys(orders: dict[str, int]) -> Callable[[bytes], int]:
-    """The key of a line: its contig's place in the dictionary and its position."""
+def _keys(orders: dict[str, int]) -> Callable[[bytes], int | None]:
+    """The key of a line: its contig's place in the dictionary and its position. Marked lines have none."""
 
-    def key(line: bytes) -> int:
+    def key(line: bytes) -> int | None:
+        if line.startswith(b"#"):
+            return None
         contig, position, _ = line.split(b"\t", 2)
         if (order := orders.get(contig.decode())) is None:
             raise ValueError(f"{contig.decode()} is not defined")
@@ -128,9 +130,9 @@ def _places(orders: dict[str, int]):
             keys, sizes = [], []
             for path, body, at, n in zip(*(b.column(c).to_pylist() for c in ("path", "body", "at", "bytes")), strict=True):
                 with Bytes(path) as f:
-                    start = f.line_from(at, body)
-                    if start < f.size:
-                        keys.append(key(f.line(start)))
+                    _, k = f.keyed(key, f.line_from(at, body), f.size)
+                    if k is not None:
+                        keys.append(k)
                         sizes.append(n)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int64())], ["key", "bytes"])
 
