@@ -1,9 +1,10 @@
 """Weighted moments, Welch's test and the Student t distribution as column expressions.
 
-A group's observations are gathered where a group is small by its nature (the samples of a
-site, or of a region's bin), its mean is taken and then the squares around the mean, so nothing
-cancels however near the observations are to each other. Groups of groups merge by the means,
-weights and squares of their parts. Equal observations have a variance of exactly zero.
+Observations are ratios of counts, weighted by depth. Groups of any size are plain sums that merge before and after a
+shuffle. The squares around the mean are a difference of sums, and nothing cancels in it: a call's square, methylated
+times methylated over depth, is kept as a whole number and a proper fraction, so the whole numbers are taken from each
+other exactly and only fractions below one are rounded. Where all calls of a site are in hand as an array, squares are
+taken around the mean itself. Equal observations have a variance of exactly zero.
 """
 
 from __future__ import annotations
@@ -37,9 +38,55 @@ class Moments:
 _KEPT = ("n", "w", "w2", "mean", "ss", "lo", "hi")
 
 
-def observations(value: Column, weight: Column, chosen: Column) -> Column:
-    """The aggregate that gathers a part's observations: those where ``chosen`` holds."""
-    return F.collect_list(F.when(chosen & value.isNotNull(), F.struct(value.cast("double").alias("v"), weight.cast("double").alias("w"))))
+#: Sums of a group: observations, depth, its squares, methylated; of the squares of calls over depth the whole numbers and
+#: the fractions; least and greatest ratio.
+_SUMS = ("n", "t", "t2", "m", "q", "f", "lo", "hi")
+#: Greatest count whose square is a long.
+_SQUARE = 3_037_000_499
+
+
+def _whole_and_rest(m: Column, t: Column) -> tuple[Column, Column]:
+    """``m * m`` divided by ``t``: the whole number, and the rest as a part of ``t``; null at depth 0. Counts are whole."""
+    m, t = m.cast("long"), F.nullif(t.cast("long"), F.lit(0).cast("long"))
+    small, great = m <= _SQUARE, m.cast("decimal(19,0)") * m.cast("decimal(19,0)")
+    wide = t.cast("decimal(19,0)")
+    square = F.when(small, m) * F.when(small, m)
+    whole = F.when(small, F.call_function("div", square, t)).otherwise(F.call_function("div", great, wide))
+    rest = F.when(small, (square % t).cast("double")).otherwise((great % wide).cast("double"))
+    return whole, rest / t.cast("double")
+
+
+def count_sums(methylated: Column, total: Column, chosen: Column, name: str) -> list[Column]:
+    """The aggregates of a part's calls, those where ``chosen`` holds, named ``name`` and the sum."""
+    v, (whole, rest) = safe_div(methylated, total), _whole_and_rest(methylated, total)
+    of = lambda x: F.when(chosen, x)
+    depth = total.cast("double")
+    made = {
+        "n": F.count(of(v)), "t": F.sum(of(total.cast("long"))), "t2": F.sum(of(depth * depth)), "m": F.sum(of(methylated.cast("long"))),
+        "q": F.sum(of(whole)), "f": F.sum(of(rest)), "lo": F.min(of(v)), "hi": F.max(of(v)),
+    }
+    return [made[k].alias(f"{name}{k}") for k in _SUMS]
+
+
+def with_parts(groups: DataFrame, names: dict[str, str]) -> DataFrame:
+    """``groups`` with a struct as ``part`` makes it for each of ``names``, from the sums of ``count_sums``, which go."""
+    steps: dict[str, Column] = {}
+    for name in names.values():
+        c = lambda k, name=name: F.col(f"{name}{k}")
+        m, t = c("m").cast("decimal(19,0)"), F.nullif(c("t"), F.lit(0).cast("long")).cast("decimal(19,0)")
+        steps[f"{name}whole"] = c("q") - F.call_function("div", m * m, t)
+        steps[f"{name}rest"] = c("f") - (m * m % t).cast("double") / c("t").cast("double")
+    out = groups.withColumns(steps)
+    parts = {}
+    for part_name, name in names.items():
+        c = lambda k, name=name: F.col(f"{name}{k}")
+        one, none = c("lo") == c("hi"), F.isnan(c("hi"))
+        mean = F.when(none, F.lit(NAN)).when(one, c("lo")).otherwise(safe_div(c("m"), c("t")))
+        squares = F.when(none, F.lit(NAN)).when(one, F.lit(0.0)).otherwise(F.greatest(c("whole").cast("double") + c("rest"), F.lit(0.0)))
+        made = {"n": c("n"), "w": c("t").cast("double"), "w2": c("t2"), "mean": mean, "ss": squares, "lo": c("lo"), "hi": c("hi")}
+        parts[part_name] = F.struct(*[made[k].alias(k) for k in _KEPT])
+    gone = [f"{name}{k}" for name in names.values() for k in (*_SUMS, "whole", "rest")]
+    return out.withColumns(parts).drop(*gone)
 
 
 def _sum(items: Column, f) -> Column:
@@ -47,7 +94,7 @@ def _sum(items: Column, f) -> Column:
 
 
 def part(items: Column) -> Column:
-    """A struct of what is kept of the observations gathered."""
+    """A struct of what is kept of an array of observations, each a value ``v`` and a weight ``w``."""
     n, w = F.size(items).cast("long"), _sum(items, lambda x: x["w"])
     lo, hi = F.array_min(F.transform(items, lambda x: x["v"])), F.array_max(F.transform(items, lambda x: x["v"]))
     one = F.array(F.struct(items.alias("x"), n.alias("n"), w.alias("w"), lo.alias("lo"), hi.alias("hi")))
@@ -64,27 +111,8 @@ def part(items: Column) -> Column:
     return F.transform(F.transform(one, centred), kept)[0]  # in steps, so that each value is worked out once
 
 
-def merged(parts: Column) -> Column:
-    """The struct of a group from the array of its parts."""
-    some = F.filter(parts, lambda p: p["n"] > 0)
-    n = F.aggregate(some, F.lit(0).cast("long"), lambda acc, p: acc + p["n"])
-    lo, hi = F.array_min(F.transform(some, lambda p: p["lo"])), F.array_max(F.transform(some, lambda p: p["hi"]))
-    one = F.array(F.struct(some.alias("x"), n.alias("n"), _sum(some, lambda p: p["w"]).alias("w"), lo.alias("lo"), hi.alias("hi")))
-
-    def centred(s: Column) -> Column:
-        mean = F.when(s["lo"] == s["hi"], s["lo"]).otherwise(safe_div(_sum(s["x"], lambda p: p["w"] * p["mean"]), s["w"]))
-        return F.struct(s["x"].alias("x"), s["n"].alias("n"), s["w"].alias("w"), s["lo"].alias("lo"), s["hi"].alias("hi"), mean.alias("mean"))
-
-    def kept(s: Column) -> Column:
-        squares = F.when(s["lo"] == s["hi"], F.lit(0.0)).otherwise(_sum(s["x"], lambda p: p["ss"] + p["w"] * (p["mean"] - s["mean"]) * (p["mean"] - s["mean"])))
-        made = {"n": s["n"], "w": s["w"], "w2": _sum(s["x"], lambda p: p["w2"]), "mean": s["mean"], "ss": squares, "lo": s["lo"], "hi": s["hi"]}
-        return F.struct(*[made[k].alias(k) for k in _KEPT])
-
-    return F.transform(F.transform(one, centred), kept)[0]
-
-
 def moments(p: Column) -> Moments:
-    """Weighted mean, and the variance that is unbiased for repeated observations, of a struct of ``part`` or ``merged``."""
+    """Weighted mean, and the variance that is unbiased for repeated observations, of a struct of ``part`` or ``with_parts``."""
     return Moments(F.coalesce(p["n"], F.lit(0)), p["mean"], safe_div(p["w"], p["w"] * p["w"] - p["w2"]) * p["ss"])
 
 

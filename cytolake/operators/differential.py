@@ -2,34 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import ratio
-from ..functions.stats import merged, observations, part, two_tailed_p, with_moments, with_welch
+from ..functions.stats import count_sums, two_tailed_p, with_moments, with_parts, with_welch
 from ..schema import SIGNIFICANCE, TEST_DEPTH
 from .calls import first_strand
 
-#: Bases in a bin of the interval join.
-BIN = 16_384
+#: Bases in a bin of the interval join on its first level, how many bins make one of the next level, and levels.
+BIN, FAN, LEVELS = 16_384, 8, 6
 
 
-def _observed() -> list:
-    one = F.col("condition") == 0
-    value = ratio(F.col("methylated"), F.col("total"))
-    return [observations(value, F.col("total"), one).alias("_1"), observations(value, F.col("total"), ~one).alias("_2")]
+def _observed() -> list[Column]:
+    m, t, one = F.col("methylated"), F.col("total"), F.col("condition") == 0
+    return [*count_sums(m, t, one, "_1"), *count_sums(m, t, ~one, "_2")]
 
 
 def _parts(groups: DataFrame) -> DataFrame:
-    """``part_1`` and ``part_2`` instead of the observations gathered."""
-    return groups.withColumns({"part_1": part(F.col("_1")), "part_2": part(F.col("_2"))}).drop("_1", "_2")
+    """``part_1`` and ``part_2`` instead of the sums."""
+    return with_parts(groups, {"part_1": "_1", "part_2": "_2"})
 
 
 def _by_site(calls: DataFrame, min_depth: int, least: int = 0) -> DataFrame:
-    """Sites with ``least`` observations or more in both conditions. A site has one call by sample, so they are few."""
+    """Sites with ``least`` observations or more in both conditions."""
     covered = calls.where(F.col("total") >= min_depth)
     sites = covered.groupBy("contig", "position").agg(first_strand(calls), *_observed())
-    return _parts(sites.where((F.size("_1") >= least) & (F.size("_2") >= least)) if least else sites)
+    return _parts(sites.where((F.col("_1n") >= least) & (F.col("_2n") >= least)) if least else sites)
 
 
 def tested(groups: DataFrame, keep: list[str]) -> DataFrame:
@@ -64,14 +62,37 @@ def only_significant(rows: DataFrame, significance: float) -> DataFrame:
     return rows.select(F.inline(kept))
 
 
+def _run(low: Column, high: Column) -> Column:
+    return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))
+
+
+def _covering(bin_size: int) -> Column:
+    """Structs (_level, _bin) of bins that together hold a region and do not overlap: wide ones inside, narrow ones to its
+    ends. A level has fewer than twice ``FAN`` of them, but for the last, whose bins are half a billion bases at the usual size."""
+    out = []
+    for level in range(LEVELS):
+        first, last = F.floor(F.col("start") / bin_size), F.floor(F.col("stop") / bin_size)
+        low, high = F.ceil(first / FAN**level), F.floor((last + 1) / FAN**level) - 1
+        if level == LEVELS - 1:
+            runs = _run(low, high)
+        else:
+            up, down = F.ceil(first / FAN ** (level + 1)) * FAN, F.floor((last + 1) / FAN ** (level + 1)) * FAN
+            runs = F.when(up < down, F.concat(_run(low, up - 1), _run(down, high))).otherwise(_run(low, high))
+        out.append(F.transform(runs, lambda b: F.struct(F.lit(level).alias("_level"), b.alias("_bin"))))
+    return F.flatten(F.array(*out))
+
+
 def region_calls(calls: DataFrame, regions: DataFrame, bin_size: int = BIN) -> DataFrame:
     """Calls in regions, ends included: the region's id, start, stop and ordinal beside the call.
 
-    Both sides meet by contig and bin. A call is in one bin and a region in each that it
-    touches, so a match is found once, and a contig is spread over as many keys as it has bins."""
-    spread = regions.select("*", F.explode(F.expr(f"sequence(floor(start / {bin_size}), floor(stop / {bin_size}))")).alias("_bin")).where("start <= stop")
-    placed = calls.withColumn("_bin", F.floor(F.col("position") / F.lit(bin_size)))
-    return placed.join(spread, ["contig", "_bin"]).where("position between start and stop").drop("_bin")
+    Both sides meet by contig and bin, on several levels of bins each eight times as wide. A region is a few bins of each
+    level, and a call is in one of its bins at most, so a match is found once; calls look on those levels alone that
+    some region uses. Where a wide region makes a bin hot, its calls are split by the engine's skew join."""
+    spread = regions.where("start <= stop").select("*", F.inline(_covering(bin_size)))
+    used = sorted(r["_level"] for r in spread.select("_level").distinct().collect())  # LEVELS rows at most
+    at = F.array(*[F.struct(F.lit(k).alias("_level"), F.floor(F.col("position") / F.lit(bin_size * FAN**k)).alias("_bin")) for k in used or [0]])
+    placed = calls.select("*", F.inline(at))
+    return placed.join(spread, ["contig", "_level", "_bin"]).where("position between start and stop").drop("_level", "_bin")
 
 
 def with_ordinals(regions: DataFrame) -> DataFrame:
@@ -87,10 +108,7 @@ def differential_regions(calls: DataFrame, regions: DataFrame, dictionary: DataF
     NaN is kept, so that a missing test and one without variance stay apart."""
     known = with_ordinals(regions).join(dictionary.select("contig"), "contig", "left_semi")
     covered = calls.where(F.col("total") >= min_depth).select("contig", "position", "condition", "methylated", "total")
-    # a bin's calls are bounded by its bases and samples; a region's bins are merged by their moments
-    binned = region_calls(covered, known, bin_size).withColumn("_bin", F.floor(F.col("position") / F.lit(bin_size)))
-    parts = _parts(binned.groupBy("region_ordinal", "contig", "_bin").agg(*_observed()))
-    pooled = parts.groupBy("region_ordinal").agg(F.collect_list("part_1").alias("_1"), F.collect_list("part_2").alias("_2"))
-    pooled = pooled.select("region_ordinal", merged(F.col("_1")).alias("part_1"), merged(F.col("_2")).alias("part_2"))
+    # sums of a region's calls, made before they are shuffled
+    pooled = _parts(region_calls(covered, known, bin_size).groupBy("region_ordinal").agg(*_observed()))
     whole = known.join(pooled, "region_ordinal", "left")
     return tested(whole.select("id", "contig", "start", "stop", "region_ordinal", "part_1", "part_2"), ["id", "contig", "start", "stop", "region_ordinal"])

@@ -14,6 +14,8 @@ _READ = "struct<ordinal:bigint,flag:int,contig:string,start:int,cigar:string,xm:
 
 #: Records in a block of the search for mates.
 BLOCK = 8_192
+#: Blocks in a group, and groups whose sums are carried on; together they hold some 10**13 records.
+CARRY = 65_536
 
 
 def pairs_up(flag: Column) -> Column:
@@ -47,10 +49,18 @@ def fragments(reads: DataFrame, block: int = BLOCK) -> DataFrame:
     stop = F.when(~F.col("_opens"), F.col("ordinal"))
     inside = ahead.withColumn("_stop", F.max(stop).over(w.rowsBetween(Window.unboundedPreceding, -1))).where("_block = _home")
 
-    # the last record of earlier blocks that takes nothing along: one row for each block, summed up by one task
+    # the last record of earlier blocks that takes nothing along: one row for each block, in groups of blocks, and
+    # one for each group; a window holds ``CARRY`` rows at most
     ends = ahead.where("_block = _home").groupBy("_block").agg(F.max(stop).alias("_last"), F.min("ordinal").alias("_least"))
-    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.select("_block", F.coalesce(F.max("_last").over(before), F.min("_least").over(before) - 1, F.col("_least") - 1).alias("_carried"))
+    ends = ends.withColumn("_group", F.floor(F.col("_block") / CARRY))
+    earlier = lambda key, top: Window.partitionBy(top).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    own, over = earlier("_block", "_group"), earlier("_group", F.floor(F.col("_group") / CARRY))
+    groups = ends.groupBy("_group").agg(F.max("_last").alias("_glast"), F.min("_least").alias("_gleast"))
+    groups = groups.select("_group", F.max("_glast").over(over).alias("_glast"), F.min("_gleast").over(over).alias("_gleast"))
+    blocks_ = ends.select("_block", "_group", "_least", F.max("_last").over(own).alias("_before"), F.min("_least").over(own).alias("_first"))
+    carried = blocks_.join(groups, "_group").select(
+        "_block", F.coalesce("_before", "_glast", F.least("_least", "_first", "_gleast") - 1).alias("_carried")
+    )
     known = inside.join(carried, "_block").withColumn("_gap", F.col("ordinal") - F.coalesce("_stop", "_carried"))
 
     taken = (F.col("_gap") > 1) & (F.col("_gap") % 2 == 0)

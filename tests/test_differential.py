@@ -152,3 +152,47 @@ def expected_variance(x):
     v, w = (np.array(c, dtype=np.longdouble) for c in zip(*x, strict=True))
     m = (v * w).sum() / w.sum()
     return float(w.sum() / (w.sum() ** 2 - (w * w).sum()) * (w * (v - m) ** 2).sum())
+
+
+@pytest.mark.parametrize("bin_size", [1, 3, 16_384])
+def test_a_region_is_few_bins_that_do_not_overlap(spark, bin_size):
+    rng = np.random.default_rng(bin_size)
+    top = bin_size * D.FAN**D.LEVELS
+    spans = [(0, top), (5, 5), (bin_size, 2 * bin_size - 1), (0, 8 * bin_size - 1), (1, 8 * bin_size)]
+    spans += [tuple(sorted(int(x) for x in rng.integers(0, n, 2))) for n in (50, 10 * bin_size, 100 * bin_size, 5_000 * bin_size, top // 2) for _ in range(30)]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(spans)], "i int, start long, stop long")
+    held = {}
+    for r in df.select("i", F.inline(D._covering(bin_size))).collect():
+        held.setdefault(r["i"], []).append((r["_bin"] * bin_size * D.FAN ** r["_level"], (r["_bin"] + 1) * bin_size * D.FAN ** r["_level"], r["_level"]))
+    for i, (a, b) in enumerate(spans):
+        bins = sorted(held[i])
+        assert bins[0][0] == a // bin_size * bin_size and bins[-1][1] == (b // bin_size + 1) * bin_size
+        assert all(x[1] == y[0] for x, y in zip(bins, bins[1:]))
+        assert all(sum(x[2] == k for x in bins) < 2 * D.FAN for k in range(D.LEVELS - 1))
+
+
+def test_whole_chromosomes_and_points_meet_their_calls_once(spark):
+    calls = spark.range(0, 200_000, 1, 4).select(F.lit("2").alias("contig"), (F.col("id") * 1000 + 1).cast("int").alias("position"))
+    regions = spark.createDataFrame([("all", "2", 1, 249_000_000), ("point", "2", 5_001, 5_001), ("none", "2", 5_002, 5_003), ("half", "2", 70_000_000, 140_000_001)], "id string, contig string, start int, stop int")
+    got = {r["id"]: (r["n"], r["d"]) for r in D.region_calls(calls, regions).groupBy("id").agg(F.count("*").alias("n"), F.countDistinct("position").alias("d")).collect()}
+    assert got == {"all": (200_000, 200_000), "point": (1, 1), "half": (70_001, 70_001)}
+
+
+def test_sums_merge_before_the_shuffle(spark):
+    rows = [("2", 1 + i % 3, "+", i % 5, 9, i % 2, i) for i in range(60)]
+    plan = D.site_moments(spark.createDataFrame(rows, KINDS))._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "partial_sum" in plan and plan.count("Exchange") == 1
+
+
+def test_counts_whose_squares_are_no_longs(spark):
+    t = 9_000_000_000
+    rows = [("2", 1, "+", t // 2 + d, t, c, i) for c in (0, 1) for i, d in enumerate((0, 1_000, 30_000))]
+    r = D.site_moments(spark.createDataFrame(rows, KINDS.replace("methylated int, total int", "methylated long, total long"))).first()
+    want = expected_variance([(0.5 + d / t, t) for d in (0, 1_000, 30_000)])
+    assert np.allclose([r["variance_1"], r["variance_2"]], want, rtol=1e-6)
+
+
+def test_sites_of_depth_zero_have_no_moments(spark):
+    rows = [("2", 1, "+", 0, 0, 0, 0), ("2", 1, "+", 1, 4, 0, 1), ("2", 1, "+", 1, 4, 1, 2), ("2", 1, "+", 2, 8, 1, 3)]
+    r = D.site_moments(spark.createDataFrame(rows, KINDS), 0).first()
+    assert math.isnan(r["mean_1"]) and (r["mean_2"], r["variance_2"]) == (0.25, 0.0)

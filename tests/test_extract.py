@@ -87,14 +87,17 @@ def scanned(rows):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("block", [1, 2, 5, 64, 8_192])
-def test_pairing_is_that_of_a_scan_whatever_the_blocks(spark, block):
+@pytest.mark.parametrize("block,carry", [(1, 3), (1, 65_536), (2, 5), (5, 2), (64, 1), (8_192, 65_536)])
+def test_pairing_is_that_of_a_scan_whatever_the_blocks(spark, monkeypatch, block, carry):
+    monkeypatch.setattr(X, "CARRY", carry if carry > 100 else 20 * carry)
     rng = np.random.default_rng(block)
     rows, name = [], 0
     for _ in range(400):
         name += rng.random() < 0.3
         rows.append((f"n{name if name % 5 else 0}", int(rng.choice([1, 1, 1, 1, 0, 4, 5, 9])), "1", int(rng.integers(1, 9)), "1M", "Z", "CT"))
-    got = X.fragments(reads(spark, rows).repartition(3), block).collect()
+    found = X.fragments(reads(spark, rows).repartition(3), block)
+    assert "SinglePartition" not in found._jdf.queryExecution().executedPlan().toString()
+    got = found.collect()
     assert sorted(((r["first"]["ordinal"], r["second"] and r["second"]["ordinal"]) for r in got), key=str) == scanned(rows)
 
 
