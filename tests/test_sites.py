@@ -242,3 +242,31 @@ def test_sorted_rows_are_written_as_they_come(spark, tmp_path):
     write_calls(merged, str(tmp_path / "a"), own.dictionary, sorted_=True)
     write_calls(merged, str(tmp_path / "b"), own.dictionary)
     assert (tmp_path / "a").read_text() == (tmp_path / "b").read_text()
+
+
+# --- many files in any order ---------------------------------------------------
+
+
+def test_hundreds_of_files_are_one_scan(spark, tmp_path):
+    paths = []
+    for k in range(300):
+        path = tmp_path / f"s {k}+é%20.tab"  # a name that a path has in another form
+        path.write_text(HEAD + f"L\t{k + 1}\t-\t0\t1\n7\t{k % 7 + 1}\t+\t1\t2\n")
+        paths.append(str(path))
+    packed = tmp_path / "z.tab"
+    packed.write_bytes(gzip.compress((HEAD + "7\t1\t+\t1\t2\n").encode()))
+    mixed = [*paths, str(packed), paths[0]]  # compressed, and one that is given twice
+    conditions = [k % 3 for k in range(302)]
+    calls, d = read_samples(spark, mixed, conditions)
+    assert [c for c, _ in d.ordered] == ["L", "7", "1"]
+    assert calls._jdf.queryExecution().optimizedPlan().toString().count("Relation") < 5
+    rows = calls.collect()
+    assert len(rows) == 2 * 301 + 1 and all(r["condition"] == r["sample_id"] % 3 for r in rows)
+    got = {(r["sample_id"], r["contig"], r["position"]) for r in rows}
+    want = {(k, "7", k % 7 + 1) for k in range(300)} | {(k, "L", k + 1) for k in range(300)} | {(300, "7", 1), (301, "7", 1), (301, "L", 1)}
+    assert got == want
+    (tmp_path / "other.tab").write_text(HEAD.replace("4000", "4001"))
+    with pytest.raises(ValueError, match="other.tab has other contigs"):
+        read_samples(spark, [*mixed, str(tmp_path / "other.tab")])
+    sites = T.read_sites(spark, T.call_files(spark, paths))
+    assert {(r["position"], r["total"]) for r in S.merge_sites(sites).where("contig = '7'").collect()} == {(p, 2 * sum(k % 7 + 1 == p for k in range(300))) for p in range(1, 8)}
