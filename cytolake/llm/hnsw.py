@@ -46,6 +46,10 @@ class Graphs:
 
 
 _QUERIES = 512  # searched in lockstep
+_STRIPE = 256  # queries compared with a whole shard at once
+#: Links that a search may hold as a list beside those of its first beams. Where queries with full beams may have more of them,
+#: they are counted and joined stripe by stripe, so a tile's memory does not grow with its links.
+_LISTED = 1 << 22
 
 
 def _top(sim: np.ndarray, k: int) -> np.ndarray:
@@ -240,10 +244,12 @@ class Hnsw:
 
 @dataclass
 class Found:
-    """keys: ``query * rows + row`` of the links; beam: the width that passed; near_found of near_all:
-    nearest neighbours of the audit's sample that the walk met at that width."""
+    """keys: ``query * rows + row`` of the links; dense: the queries whose links are not, or not all, among them and are
+    read off by stripes; beam: the width that passed; near_found of near_all: nearest neighbours of the audit's sample
+    that the walk met at that width."""
 
     keys: np.ndarray
+    dense: np.ndarray
     beam: int
     near_found: int
     near_all: int
@@ -261,7 +267,8 @@ def _pairs(index: Hnsw, unit: np.ndarray, q: np.ndarray, least: float, how: Grap
     ``unit`` and ``q``: rows of length one in double precision. Every query walks the graph first. A
     query whose beam holds nothing but links may have more of them, and is searched again with a wider
     beam of its own; once that is a quarter of the shard, its links are read off by a scan. So is a
-    shard whose audit fails even at a beam of all its nodes, which means that its graph falls apart."""
+    shard whose audit fails even at a beam of all its nodes, which means that its graph falls apart.
+    Queries that could have more than ``_LISTED`` links between them are left to ``_stripes``."""
 
     def scan(rows: np.ndarray) -> np.ndarray:
         out = [np.empty(0, np.int64)]
@@ -281,7 +288,7 @@ def _pairs(index: Hnsw, unit: np.ndarray, q: np.ndarray, least: float, how: Grap
     near_all = k * len(sample)
     beam = min(how.beam, n)
     while True:
-        keys, rows, width, near_found = [], np.arange(len(q)), beam, 0
+        keys, rows, width, near_found, dense = [], np.arange(len(q)), beam, 0, np.zeros(len(q), dtype=bool)
         while len(rows):
             node, sim = index.query(q[rows], width)
             if width == beam:
@@ -290,20 +297,48 @@ def _pairs(index: Hnsw, unit: np.ndarray, q: np.ndarray, least: float, how: Grap
             a, b = np.nonzero(hit)
             keys.append(rows[a] * n + node[a, b])
             rows = rows[hit.all(1)] if width < n else rows[:0]
+            if len(rows) * n > _LISTED:
+                dense[rows] = True
+                break
             width = 4 * width
             if len(rows) and 4 * width > n:
                 keys.append(scan(rows))
                 break
         found = np.unique(np.concatenate(keys))
-        good = near_found >= how.near_recall * near_all and (not len(truth) or np.isin(truth, found).mean() >= how.recall)
+        found = found[~dense[found // n]]
+        known = truth[~dense[truth // n]]
+        good = near_found >= how.near_recall * near_all and (not len(known) or np.isin(known, found).mean() >= how.recall)
         if not good and beam >= n:
-            found, near_found, good = np.unique(scan(np.arange(len(q)))), near_all, True
+            near_found, good = near_all, True
+            if len(q) * n > _LISTED:
+                found, dense[:] = found[:0], True
+            else:
+                found = np.unique(scan(np.arange(len(q))))
         if good:
             exact = [np.einsum("nd,nd->n", q[p // n], unit[p % n]) >= least for p in np.array_split(found, len(found) // 100_000 + 1)]
-            return Found(found[np.concatenate(exact)], beam, near_found, near_all)
+            return Found(found[np.concatenate(exact)], dense, beam, near_found, near_all)
         beam = min(2 * beam, n)
 
 
+def _stripes(q: np.ndarray, unit: np.ndarray, rows: np.ndarray, least: float):
+    """(some of ``rows``, which of them link to which rows of ``unit``): a stripe at a time, verified in double precision."""
+    for at in range(0, len(rows), _STRIPE):
+        part = rows[at : at + _STRIPE]
+        cosine = q[part] @ unit.T
+        hit = cosine >= least
+        i, j = np.nonzero(np.abs(cosine - least) < 1e-9)  # decided as all other pairs are, whatever the order of sums
+        hit[i, j] = np.einsum("nd,nd->n", q[part[i]], unit[j]) >= least
+        yield part, hit
+
+
+def _join(low: np.ndarray, me: int, others: np.ndarray) -> None:
+    """``me`` and ``others`` get the least label of their groups in ``low``."""
+    labels = low[others]
+    first, last = min(low[me], labels.min()), max(low[me], labels.max())
+    if first != last:
+        low[np.isin(low, np.append(labels, low[me]))] = first
+
+
 def _unit(rows) -> np.ndarray:
     x = np.array(rows, dtype=np.float64)
     x /= np.abs(x).max(1, keepdims=True)  # so that squares of very large or small numbers stay finite
@@ -346,19 +381,45 @@ def _tile(least: float, how: Graphs):
         n = len(node_b)
         searches = [_pairs(index_b, unit_b, unit_a, least, how)]
         i, j = searches[0].keys // n, searches[0].keys % n
+        dense_a = searches[0].dense
+        dense_b = dense_a
         if same:
             i, j = np.concatenate([i, j]), np.concatenate([j, i])
         else:
             searches.append(_pairs(index_a, unit_a, unit_b, least, how))
-            back = searches[1].keys
+            back, dense_b = searches[1].keys, searches[1].dense
             i, j = np.concatenate([i, back % len(node_a)]), np.concatenate([j, back // len(node_a)])
         keys = np.unique(i * n + j)
         i, j = keys // n, keys % n
+        listed = ~dense_a[i] & ~dense_b[j]
+        i, j = i[listed], j[listed]
         i, j = (i[i != j], j[i != j]) if same else (i, j)
-        tree = star_edges(node_a[i], node_b[j])
-        sides = [(node_a, np.bincount(i, weights=copies_b[j], minlength=len(node_a)))]
+        count_a = np.bincount(i, weights=copies_b[j], minlength=len(node_a)).astype(np.float64)
+        count_b = count_a if same else np.bincount(j, weights=copies_a[i], minlength=n).astype(np.float64)
+        # links of dense queries: counted, and joined to groups, stripe by stripe; rows of b come after those of a
+        shift = 0 if same else len(node_a)
+        low = np.arange(len(node_a) + (0 if same else n))
+        for part, hit in _stripes(unit_a, unit_b, np.flatnonzero(dense_a), least):
+            if same:
+                hit[np.arange(len(part)), part] = False
+            count_a[part] += hit @ copies_b.astype(np.float64)
+            once = copies_a[part].astype(np.float64) @ hit
+            count_b += np.where(dense_a, 0, once) if same else once
+            for r, row in zip(part, hit, strict=True):
+                if len(c := np.flatnonzero(row)):
+                    _join(low, r, c + shift)
         if not same:
-            sides.append((node_b, np.bincount(j, weights=copies_a[i], minlength=n)))
+            for part, hit in _stripes(unit_b, unit_a, np.flatnonzero(dense_b), least):
+                hit[:, dense_a] = False
+                count_b[part] += hit @ copies_a.astype(np.float64)
+                count_a += copies_b[part].astype(np.float64) @ hit
+                for r, row in zip(part, hit, strict=True):
+                    if len(c := np.flatnonzero(row)):
+                        _join(low, r + shift, c)
+        every = node_a if same else np.concatenate([node_a, node_b])
+        moved = np.flatnonzero(low != np.arange(len(low)))
+        tree = star_edges(np.concatenate([node_a[i], every[moved]]), np.concatenate([node_b[j], every[low[moved]]]))
+        sides = [(node_a, count_a)] if same else [(node_a, count_a), (node_b, count_b)]
         none = {"beam": 0, "near_found": 0, "near_all": 0}
         out = [pd.DataFrame({"node": r[c > 0], "links": c[c > 0].astype(np.int64), "root": -1, **none}) for r, c in sides]
         out.append(pd.DataFrame({"node": tree[0], "links": 0, "root": tree[1], **none}))

@@ -6,7 +6,7 @@ from pathlib import Path
 import public_tokenizers as P
 import pytest
 
-from cytolake.llm import bpe_replay, cdc_dedup, compression_bands, hash_tree, hnsw, importance, packing, secret_forest, simhash, url_lists
+from cytolake.llm import bpe_replay, cdc_dedup, compression_bands, hash_tree, hnsw, importance, merkle, packing, secret_forest, simhash, token_counts, url_lists, vector_codes
 
 SOURCE = Path(bpe_replay.__file__).parent
 OWN = {"doc_id", "text", "source", "lang", "embedding", "label", "vec_id", "url", "page_id", "fetched_at", "quality", "toxic", "list", "pattern", "action", "at"}
@@ -46,6 +46,8 @@ DOCUMENTS = {
     "cut": lambda s, df: cdc_dedup.cut(df),
     "resample": lambda s, df: importance.resample(df, labels(s)),
     "rules": lambda s, df: compression_bands.quality_rules(df, bands=compression_bands.fit(df, labels(s)), lang_col="lang"),
+    "tokens": lambda s, df: token_counts.count_tokens(df, P.path("byte_bpe_50k.json"), P.PATTERN),
+    "manifest": lambda s, df: merkle.prove(merkle.build(df, ["doc_id", "text", "source"])),
     "prints": lambda s, df: simhash.with_fingerprints(df),
 }
 
@@ -72,5 +74,7 @@ def test_documents(spark, name):
 def test_vectors_and_pages(spark):
     plain, wide = frames(spark, [(1, [1.0, 0.0], 1), (2, [1.0, 0.01], 1), (3, None, 1)], "vec_id long, embedding array<double>, label int")
     same(hnsw.near_dedup(plain), hnsw.near_dedup(wide))
+    plain, wide = frames(spark, [(1, [1.0, 0.0, 2.0, 1.0], 1), (2, [1.0, 0.01, 0.0, 0.5], 1), (3, None, 1)], "vec_id long, embedding array<double>, label int")
+    same(vector_codes.compress(plain).codes, vector_codes.compress(wide).codes)
     plain, wide = frames(spark, [(1, "http://x.a.org/p", 5), (2, None, 5)], "page_id long, url string, fetched_at long")
     same(pages(spark, plain), pages(spark, wide))

@@ -114,3 +114,50 @@ def test_many_shards_of_one_label(spark):
     assert sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in got), key=str) == brute(rows)
     seen = hnsw.audit(hnsw.search_all(df, how=how)[2]).first()
     assert seen["searches"] == 17**2 and seen["near_recall"] >= 0.9
+
+
+@pytest.mark.parametrize("shard_rows", [90, 10_000])
+def test_dense_queries_are_counted_by_stripes(spark, monkeypatch, shard_rows):
+    """Groups of near-equal vectors beside spread ones, with copies, in one shard and in many, as lists and as stripes."""
+    rng = np.random.default_rng(21)
+    v = rng.normal(size=(330, 16))
+    v[:150] = rng.normal(size=16) + 0.02 * rng.normal(size=(150, 16))
+    v[150:230] = rng.normal(size=16) + 0.12 * rng.normal(size=(80, 16))
+    rows = [(int(i), x.tolist(), 1) for i, x in enumerate(v.astype(np.float32))]
+    rows += [(1000 + i, rows[i][1], 1) for i in (0, 0, 3, 160, 300)]
+    want = brute(rows)
+    df = spark.createDataFrame(rows, KINDS).repartition(3)
+    run = hnsw._tile
+    for listed in (1 << 22, 0, 3_000):
+        def tile(least, how, listed=listed):  # the bound as the tasks see it
+            own = run(least, how)
+
+            def held(left, right):
+                hnsw._LISTED = listed
+                return own(left, right)
+
+            return held
+
+        monkeypatch.setattr(hnsw, "_tile", tile)
+        got = hnsw.near_dedup(df, how=hnsw.Graphs(shard_rows=shard_rows, audit=32, beam=16)).collect()
+        assert sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in got), key=str) == want
+
+
+def test_a_shard_of_near_equal_vectors_takes_memory_for_its_nodes_alone():
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    n, how = 6_000, hnsw.Graphs(audit=64)
+    v = hnsw._unit(rng.normal(size=32) + 1e-3 * rng.normal(size=(n, 32)))
+    import pandas as pd
+
+    frame = pd.DataFrame({"key": [f"{i:08d}" for i in range(n)], "v": list(v), "node": np.arange(n), "copies": np.ones(n, dtype=np.int64), "space": "s", "shard": 0, "shards": 1})
+    graph = hnsw._build(how)(frame)
+    side = graph.assign(a=0, b=0)
+    tracemalloc.start()
+    out = hnsw._tile(0.98, how)(side, side)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 200e6  # the links as a list would be 288 MB, several times
+    assert (out[out["links"] > 0]["links"] == n - 1).all() and (out["links"] > 0).sum() == n
+    assert ((out["links"] == 0) & (out["node"] >= 0)).sum() == n - 1
