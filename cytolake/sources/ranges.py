@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow.fs as pafs
 
@@ -29,11 +30,13 @@ def reachable(path: str) -> bool:
 
 
 class Bytes:
-    """A file opened for reading at any byte."""
+    """A file opened for reading at any byte. ``kept`` blocks of ``PROBE`` bytes in which places were looked for are remembered:
+    searches one after another meet in the same ones."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, kept: int = 64) -> None:
         fs, inner = located(path)
         self.path, self.size, self.stream = path, fs.get_file_info(inner).size, fs.open_input_file(inner)
+        self.probe = lru_cache(maxsize=kept)(self._probe)
 
     def __enter__(self) -> Bytes:
         return self
@@ -44,21 +47,28 @@ class Bytes:
     def at(self, start: int, n: int) -> bytes:
         return self.stream.read_at(n, start) if start < self.size else b""
 
+    def _probe(self, block: int) -> bytes:
+        return self.at(block * PROBE, PROBE)
+
+    def _until(self, start: int, stop: bytes) -> tuple[bytes, bool]:
+        """The bytes from ``start`` to before the first ``stop``, and whether there is one."""
+        out = b""
+        while start < self.size:
+            got = self.probe(start // PROBE)[start % PROBE :]
+            k = got.find(stop)
+            if k >= 0:
+                return out + got[:k], True
+            out += got
+            start += len(got)
+        return out, False
+
     def line_end(self, start: int) -> int:
         """The byte after the line that holds byte ``start``."""
-        at = start
-        while at < self.size:
-            got = self.at(at, PROBE)
-            if (k := got.find(b"\n")) >= 0:
-                return at + k + 1
-            at += len(got)
-        return self.size
+        line, ended = self._until(start, b"\n")
+        return start + len(line) + ended
 
     def line(self, start: int) -> bytes:
-        got = self.at(start, PROBE)
-        if (k := got.find(b"\n")) >= 0:
-            return got[:k]
-        return self.at(start, self.line_end(start) - start).rstrip(b"\n")
+        return self._until(start, b"\n")[0]
 
     def line_from(self, start: int, first: int) -> int:
         """Where the first line starts at byte ``start`` or later; one starts at ``first``."""
@@ -73,8 +83,15 @@ class Bytes:
         return start, None
 
     def bisect(self, key: Callable[[bytes], int | None], first: int, target: int) -> int:
-        """Where the first line starts, from ``first`` on, whose key is ``target`` or more; lines with a key are sorted by it."""
-        low, high = first, self.size
+        """Where the first line starts, from ``first`` on, whose key is ``target`` or more; lines with a key are sorted by it.
+        The search goes ahead in steps that double, so that a place near ``first`` costs little."""
+        low, high, step = first, self.size, PROBE
+        while low + step < high:
+            start, k = self.keyed(key, self.line_from(low + step, low), high)
+            if k is None or k >= target:
+                high = min(start, high)
+                break
+            low, step = self.line_end(start), 2 * step
         while low < high:
             middle = (low + high) // 2
             start, k = self.keyed(key, self.line_from(middle, low), high)

@@ -188,13 +188,23 @@ def _parsed(text: bytes) -> pa.Table:
     return pa.table({n: pa.array(c, k) for (n, k), c in zip(_KINDS.items(), made, strict=True)})
 
 
-def _stream(f: Bytes, body: int, low: int, high: int, orders: dict[str, int], step: int) -> Iterator[tuple[np.ndarray, pa.Table]]:
-    """(keys, calls) of the lines of a file from key ``low`` to below ``high``; lines out of order are an error."""
+def _ends(f: Bytes, body: int, low: int, high: int, orders: dict[str, int]) -> tuple[int, int]:
+    """The bytes from which on keys are ``low`` and ``high`` or more, from byte ``body`` on. Both are looked for from there, so
+    that pieces which meet at a key meet at a byte, in files out of order too, and no line is between them unread."""
     key = _keys(orders)
-    start, stop = f.bisect(key, body, low), f.bisect(key, body, high)
-    error = ValueError(f"{f.path} is not in the order of its contigs and positions; read it as unsorted")
+    start, stop = f.bisect(key, body, low) if low else body, f.bisect(key, body, high) if high < _LAST else f.size
     if start > stop:
-        raise error
+        raise _disordered(f)
+    return start, stop
+
+
+def _disordered(f: Bytes) -> ValueError:
+    return ValueError(f"{f.path} is not in the order of its contigs and positions; read it as unsorted")
+
+
+def _stream(f: Bytes, start: int, stop: int, low: int, high: int, orders: dict[str, int], step: int) -> Iterator[tuple[np.ndarray, pa.Table]]:
+    """(keys, calls) of the lines of a file from byte ``start`` to ``stop``, whose keys are from ``low`` to below ``high``;
+    lines out of order are an error."""
     last = low
     for text in f.lines(start, stop, step):
         t = _parsed(text)
@@ -208,7 +218,7 @@ def _stream(f: Bytes, body: int, low: int, high: int, orders: dict[str, int], st
         order = np.array([orders[n] for n in names], dtype=np.int64)[contig.indices.to_numpy(zero_copy_only=False)]
         keys = order << 32 | t["position"].to_numpy().astype(np.int64)
         if keys[0] < last or keys[-1] >= high or (keys[1:] < keys[:-1]).any():
-            raise error
+            raise _disordered(f)
         last = keys[-1]
         yield keys, t
 
@@ -270,17 +280,21 @@ def _rows(keys: np.ndarray, samples: np.ndarray, t: pa.Table, conditions: list[i
 
 def _read(files: Files, tasks: list[list[tuple[int, int]]]):
     """The numbers of tasks to the sites of their ranges of keys."""
-    orders = _orders(files.dictionary)
+    orders, n = _orders(files.dictionary), len(files.paths)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = max(HELD // len(files.paths), 1 << 16)
+        step, kept = max(HELD // n, 1 << 16), max(1024 // n, 4)
         for b in batches:
-            for low, high in [r for i in b.column(0).to_pylist() for r in tasks[i]]:
+            for i in b.column(0).to_pylist():
                 with ExitStack() as stack:
-                    opened = [stack.enter_context(Bytes(p)) for p in files.paths]
-                    streams = [_stream(f, body, low, high, orders, step) for f, (body, _) in zip(opened, files.bodies, strict=True)]
-                    for keys, samples, t in _together(streams):
-                        yield from _rows(keys, samples, t, files.conditions)
+                    opened = [stack.enter_context(Bytes(p, kept)) for p in files.paths] if tasks[i] else []
+                    places = [body for body, _ in files.bodies]  # ranges ascend, so a search goes on from the last one's end
+                    for low, high in tasks[i]:
+                        ends = [_ends(f, at, low, high, orders) for f, at in zip(opened, places, strict=True)]
+                        places = [stop for _, stop in ends]
+                        streams = [_stream(f, *own, low, high, orders, step) for f, own in zip(opened, ends, strict=True)]
+                        for keys, samples, t in _together(streams):
+                            yield from _rows(keys, samples, t, files.conditions)
 
     return run
 
