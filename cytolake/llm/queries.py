@@ -72,7 +72,9 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op4_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each secret; its CRC stands for the secret itself."""
-    found = secret_forest.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    forest = secret_forest.fit(spark, usual=secret_forest.language(docs, table(spark, sf_dir, "labels")))
+    found = secret_forest.scan(docs, forest=forest)
     return found.select("doc_id", "start", "length", unsigned32(F.crc32(F.col("secret").cast("binary"))).alias("secret_crc32"), "votes")
 
 
