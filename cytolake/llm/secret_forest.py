@@ -147,11 +147,10 @@ def features(left: Column, candidate: Column, right: Column, letters: tuple[floa
 
 @dataclass(frozen=True)
 class Training:
-    """rows: labelled findings that a forest is fitted on at most; documents: those whose letters and words are counted at
-    most; words: the most frequent of these that join the dictionary; the rest as for a random forest."""
+    """rows: findings that are composed where none are given; words: the most frequent of labelled documents that join the
+    dictionary; the rest as for a random forest."""
 
     rows: int = 6000
-    documents: int = 2000
     words: int = 150
     trees: int = 25
     depth: int = 7
@@ -374,16 +373,16 @@ class Language:
 
 
 def language(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality", how: Training | None = None) -> Language:
-    """The language of documents of quality 1, of at most ``how.documents`` of them, those with the lowest hash of the id.
+    """The language of all documents of quality 1.
 
     Their whole texts are read and words are added up before they are shuffled; a row for each pair of letters
-    and ``how.words`` words come to the driver. Rows with a null id or text are ignored; without a good label
+    and ``how.words`` words come to the driver. Few labels are broadcast, by the engine's threshold; with more, the texts
+    are shuffled once by their ids. Rows with a null id or text are ignored; without a good label
     it is empty. Of words that come equally often, those that sort first are taken."""
     how = how or Training()
-    good = labels.where(F.col(f"`{quality_col}`") == 1).select(F.col(f"`{id_col}`").cast("long").alias("_id")).where("_id is not null").distinct()
-    picked = F.broadcast(good.orderBy(F.xxhash64("_id"), "_id").limit(how.documents))  # as many rows as the parameter says
+    good = labels.where(F.col(f"`{quality_col}`") == 1).select(F.col(f"`{id_col}`").cast("long").alias("_id")).where("_id is not null")
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("text")).dropna()
-    counted = _words(docs.join(picked, "_id", "left_semi")).cache()
+    counted = _words(docs.join(good, "_id", "left_semi")).cache()
     try:
         frequent = counted.where(F.length("word").between(4, 12)).orderBy(F.desc("n"), "word").limit(how.words).select("word").collect()
         return Language(tuple(sorted(_pairs(counted).items())), tuple(r["word"] for r in frequent))
@@ -392,21 +391,22 @@ def language(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def fit(spark: SparkSession, findings: DataFrame | None = None, how: Training | None = None, usual: Language | None = None) -> Forest:
-    """Fit on labelled findings (left, candidate, right, is_secret), by default the composed ones;
-    of more than ``how.rows`` those with the lowest hash are taken. Rows with nulls are ignored.
+    """Fit on labelled findings (left, candidate, right, is_secret), all of those that are given; by default on
+    ``how.rows`` composed ones. Rows with nulls are ignored.
 
     Letter pairs are counted in ``usual`` and in the findings: in those that are no secrets, and in the text before any."""
     how, usual = how or Training(), usual or Language()
     rows = labelled_findings(spark, how.rows) if findings is None else findings
     rows = rows.select("left", "candidate", "right", F.col("is_secret").cast("double").alias("label")).dropna()
-    rows = rows.orderBy(F.xxhash64("left", "candidate", "right"), "left", "candidate", "right", "label").limit(how.rows)
+    rows = rows.orderBy(F.xxhash64("left", "candidate", "right"), "left", "candidate", "right", "label")
     counts = dict(usual.pairs)
     for pair, n in _pairs(_words(rows.select(F.concat_ws(" ", "left", F.when(F.col("label") == 0, F.col("candidate"))).alias("text")))).items():
         counts[pair] = counts.get(pair, 0) + n
     letters, words = transitions(counts), usual.words
     one = F.array(F.struct(F.col("left").alias("l"), F.col("candidate").alias("c"), F.col("right").alias("r")))
     f = F.transform(one, lambda x: features(x["l"], x["c"], x["r"], letters, words))[0]
-    rows = rows.select(f.alias("f"), "label").select("f.*", "label").coalesce(1)
+    rows = rows.select(f.alias("f"), "label").select("f.*", "label")
+    rows = rows.coalesce(1) if findings is None else rows  # the composed ones are few, and one part makes the same trees anywhere
     data = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows).select("features", "label").cache()
     try:
         model = RandomForestClassifier(numTrees=how.trees, maxDepth=how.depth, seed=how.seed, featureSubsetStrategy="sqrt").fit(data)

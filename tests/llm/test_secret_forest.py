@@ -297,6 +297,20 @@ def test_language_matches_a_plain_count(spark):
     assert S.language(docs.limit(0), labels) == S.language(docs, labels.limit(0)) == S.Language()
 
 
+def test_language_is_of_all_good_documents(spark):
+    n = 2500  # more than a sample of 2,000 would have
+    docs = spark.range(n).selectExpr("id as doc_id", "concat('word', translate(cast(id as string), '0123456789', 'abcdefghij')) as text")
+    got = S.language(docs, docs.selectExpr("doc_id", "1 as quality"), how=S.Training(words=n))
+    assert len(got.words) == n and dict(got.pairs)["wo"] == n
+
+
+def test_all_given_findings_count(spark):
+    rows = [("x = ", f"{i:032x}", " ", i % 2 == 0) for i in range(40)]
+    findings = spark.createDataFrame(rows, "left string, candidate string, right string, is_secret boolean")
+    few = S.fit(spark, findings.limit(0).unionByName(findings), S.Training(rows=5, trees=3))
+    assert few == S.fit(spark, findings, S.Training(rows=40, trees=3))
+
+
 def test_columns_of_any_name_stay(spark, forest):
     names = ["_seen", "_beside", "_found", "_gaps", "_pairs", "_before", "_after", "_uid", "_FOUND_", "votes", "secret"]
     df = spark.createDataFrame([(1, TEXTS[1], *names), (2, "plain", *names)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
