@@ -174,12 +174,10 @@ def quality_rules(
 
 @dataclass(frozen=True)
 class Fit:
-    """rows: labelled good documents that bands are fitted on at most (those of the lowest hash of the id);
-    least: of a language and doubling of length, below which it has no band of its own; below, above: standard
+    """least: good documents of a language and doubling of length, below which it has no band of its own; below, above: standard
     deviations from the mean to a limit, more above, since addresses and keys raise a clean text's ratio now and
     then; margin: added to both, and to the least and greatest ratio seen."""
 
-    rows: int = 20_000
     least: int = 30
     below: float = 4.0
     above: float = 8.0
@@ -187,17 +185,20 @@ class Fit:
 
 
 def _ratios(level: int):
+    """(id, lang, text) to (id, lang, bits, ratio) of the texts that pass the base rules."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=level)
         for batch in slices(batches):
             rows = []
             for i in range(batch.num_rows):
-                raw = batch.column(1)[i].as_py().encode("utf-8", "surrogatepass")
+                raw = batch.column(2)[i].as_py().encode("utf-8", "surrogatepass")
                 n, *_, repeat = base_counts(raw)
                 if not fails_base(n, repeat):
-                    rows.append((batch.column(0)[i].as_py(), len(raw).bit_length(), len(z.compress(raw)) / len(raw)))
-            cols = list(zip(*rows, strict=True)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int32(), pa.float64()), strict=True)], ["lang", "bits", "ratio"])
+                    rows.append((batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), len(raw).bit_length(), len(z.compress(raw)) / len(raw)))
+            cols = list(zip(*rows, strict=True)) or [()] * 4
+            kinds = (pa.int64(), pa.string(), pa.int32(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["_id", "lang", "bits", "ratio"])
 
     return run
 
@@ -212,16 +213,16 @@ def fit(
     how: Fit | None = None,
     bands: Bands | None = None,
 ) -> Bands:
-    """``bands`` with limits fitted on documents of quality 1 that pass the base rules.
+    """``bands`` with limits fitted on all documents of quality 1 that pass the base rules.
 
-    Rows with a null id, text or language are ignored; without a good label nothing is fitted. What comes
-    to the driver is a row for each language and doubling of length of at most ``how.rows`` documents."""
+    Rows with a null id, text or language are ignored; without a good label nothing is fitted. Every text is
+    measured where it is read, and its ratio, not the text, meets the labels; a row for each language and doubling of length
+    comes to the driver."""
     how, bands = how or Fit(), bands or Bands()
-    good = labels.where(F.col(f"`{quality_col}`") == 1).select(F.col(f"`{id_col}`").cast("long").alias("_id")).where("_id is not null").distinct()
-    picked = F.broadcast(good.orderBy(F.xxhash64("_id"), "_id").limit(how.rows))  # as many rows as the parameter says
+    good = labels.where(F.col(f"`{quality_col}`") == 1).select(F.col(f"`{id_col}`").cast("long").alias("_id")).where("_id is not null")
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{lang_col}`").cast("string").alias("_lang"), F.col(f"`{text_col}`").cast("string").alias("_text"))
-    known = docs.dropna().join(picked, "_id", "left_semi").select("_lang", "_text")
-    cells = known.mapInArrow(_ratios(bands.level), "lang string, bits int, ratio double").groupBy("lang", "bits").agg(
+    measured = docs.dropna().mapInArrow(_ratios(bands.level), "_id long, lang string, bits int, ratio double")
+    cells = measured.join(good, "_id", "left_semi").groupBy("lang", "bits").agg(
         F.count("*").alias("n"), F.avg("ratio").alias("mean"), F.stddev_pop("ratio").alias("sd"), F.min("ratio").alias("low"), F.max("ratio").alias("high")
     )
     fitted = {}

@@ -175,6 +175,16 @@ def test_query_matches_the_plain_version(spark, tmp_path):
     assert 0 < sum(r["kept"] for r in got) < len(docs) - 5
 
 
+def test_bands_are_fitted_on_all_good_documents(spark):
+    words = [f"w{i * i % 977}" for i in range(400)]
+    docs = [(i, " ".join(words[(i * 7 + k * (1 + i % 5)) % 400] for k in range(60)), "xx") for i in range(20_100)]  # more than a sample of 20,000
+    labels = [(d, 1) for d, _, _ in docs]
+    got = B.fit(spark.createDataFrame(docs, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int")).fitted
+    want = plain_fit(docs, labels)
+    assert got.keys() == want.keys() and want
+    assert all(np.allclose(got[k], want[k], rtol=0, atol=1e-12) for k in want)
+
+
 def test_fitted_bands_on_documents_held_out(spark):
     """Fitted on one half of the labelled documents of the tables, bands keep the good ones of the other half."""
     folder = "/root/testdata/sf0.1"
