@@ -6,7 +6,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bgzf import is_blocked, loaded
@@ -100,15 +100,15 @@ WITHIN = 33
 
 
 def consecutive(df: DataFrame, number: str, name: str) -> DataFrame:
-    """``df`` with ``name`` instead of ``number``, the place of each row from 0 on in the order of numbers that grow along
-    partitions. Rows are ranked in their partition; one count for each partition is summed up on the driver."""
-    part = F.shiftright(number, WITHIN)
-    counts = sorted((r["p"], r["count"]) for r in df.groupBy(part.alias("p")).count().collect())
+    """``df`` with ``name`` instead of ``number``, the place of each row from 0 on in the order of numbers that grow from row
+    to row and along the partitions, as a scan gives them. No row is moved or held; one count for each partition is summed
+    up on the driver."""
+    counts = sorted((r["p"], r["count"]) for r in df.groupBy(F.spark_partition_id().alias("p")).count().collect())
     offsets, before = [], 0
     for p, n in counts:
         offsets.append((p, before))
         before += n
-    own = df.withColumn("_part", part)
-    known = own.join(df.sparkSession.createDataFrame(offsets, "_part long, _before long"), "_part")
-    rank = F.row_number().over(Window.partitionBy("_part").orderBy(number)) - 1
-    return known.withColumn(name, (F.col("_before") + rank).cast("long")).drop("_part", "_before", number)
+    own = df.drop(number).withColumn("_line", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_line", WITHIN))
+    starts = df.sparkSession.createDataFrame(offsets, "_part long, _before long")
+    known = own.join(F.broadcast(starts), "_part")  # 16 bytes for each partition
+    return known.withColumn(name, F.col("_before") + F.col("_line").bitwiseAND((1 << WITHIN) - 1)).drop("_part", "_before", "_line")

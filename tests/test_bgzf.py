@@ -167,6 +167,21 @@ def test_text_in_blocks(spark, tmp_path):
     assert [r["value"] for r in lines(spark, str(path)).orderBy("line").collect()] == ["#head", *rows]
 
 
+def test_places_need_no_shuffle(spark, tmp_path):
+    """Rows are numbered where they are, those of a SAM file too, whose numbers are of one row of partitions."""
+    path = tmp_path / "x.sam"
+    path.write_text("@SQ\tSN:a\tLN:100\n" + "".join(f"r{i}\t0\ta\t1\t255\t1M\t*\t0\t0\t*\t*\tXM:Z:z\tXG:Z:CT\n" for i in range(5_000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")
+    try:
+        numbered = consecutive(read_alignments(spark, str(path))[0], "ordinal", "place")
+        assert [(r["qname"], r["place"]) for r in numbered.orderBy("place").collect()] == [(f"r{i}", i) for i in range(5_000)]
+        assert numbered.rdd.getNumPartitions() > 4
+        plan = numbered._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and "Exchange hashpartitioning" not in plan
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_stretches_without_blocks(tmp_path):
     path = tmp_path / "x"
     path.write_bytes(b"")
