@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import sys
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -19,6 +20,7 @@ class _Parser(argparse.ArgumentParser):
         self.exit(0, f"{self.prog}: {message}\n")
 
 
+@cache
 def parser() -> argparse.ArgumentParser:
     top = _Parser(prog="cytolake", description="Methylation calls from bisulfite sequencing.")
     sub = top.add_subparsers(dest="verb")

@@ -556,7 +556,10 @@ def cli_other_verbs(spark: SparkSession, sf_dir: str) -> DataFrame:
                         out.append(e.code if "usage" in said.getvalue() else 1)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.int32())], ["verb", "code"])
 
-    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_name").alias("verb")).mapInArrow(codes, "verb string, code int")
+    verbs = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_name").alias("verb"))
+    # one small file, and each row is a call: a number of parts that is not merged for their few bytes
+    own = verbs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "verb")
+    return own.mapInArrow(codes, "verb string, code int")
 
 
 @query(

@@ -176,6 +176,17 @@ def test_gzip_members_and_a_folder_of_them(spark, tmp_path, monkeypatch):
     assert both.select("line").distinct().count() == both.count() == 10_000
 
 
+def test_verbs_of_a_table_are_run_by_many_tasks(spark, tmp_path):
+    """One small file, and each row is a call of the command line."""
+    from cytolake.plans.file_queries import cli_other_verbs
+
+    spark.range(40).selectExpr("concat('verb', id) as s_name").coalesce(1).write.parquet(str(tmp_path / "supplier.parquet"))
+    got = cli_other_verbs(spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == sorted((f"verb{i}", 0) for i in range(40))
+    assert got.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert cli.parser() is cli.parser()
+
+
 def test_help(capsys):
     assert cli.main([]) == 0
     assert "popCall" in capsys.readouterr().out
