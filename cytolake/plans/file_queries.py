@@ -12,6 +12,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,9 +31,10 @@ from ..schema import CONSENSUS_PRAGMA, CONTEXT_FILES
 from ..scratch import new_path
 from ..sinks import write_bytes, write_call_files, write_calls, write_files, write_lines
 from ..sources.alignments import open_alignments, read_alignments
-from ..sources.bgzf import BLOCK
+from ..sources.bgzf import BLOCK, STRETCH
 from ..sources.files import read_calls, read_consensus, read_regions, read_samples
 from ..sources.lines import consecutive, lines
+from ..sources.ranges import Bytes
 from ..sources.sites import call_files, contig_ranges, read_sites, region_ranges
 from . import views as V
 from .registry import COUNTED, ORACLE, RAW, READS, TEST_SQL, moments_sql, query, rounded
@@ -353,12 +355,19 @@ def scan_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _numbered(read_alignments(spark, path)[0])
 
 
+@cache
+def _packed(cigar: str) -> tuple[int, bytes]:
+    """The number of operations, and their codes as a record has them."""
+    ops = [(int(n), "MIDNSHP=X".index(o)) for n, o in re.findall(r"(\d+)(\D)", cigar)]
+    return len(ops), struct.pack(f"<{len(ops)}I", *[n << 4 | o for n, o in ops])
+
+
 def _bam_record(contigs: list[str], qname: str, flag: int, contig: str, start: int, cigar: str, xm: str, xg: str) -> bytes:
     """A record of the format: fixed fields, name, operations, no bases, and three tags."""
-    ops = [(int(n), "MIDNSHP=X".index(o)) for n, o in re.findall(r"(\d+)(\D)", cigar)]
+    n, ops = _packed(cigar)
     ref = contigs.index(contig) if contig in contigs else -1
     name = qname.encode() + b"\0"
-    raw = struct.pack("<iiBBHHHiiii", ref, start - 1, len(name), 255, 0, len(ops), flag, 0, -1, -1, 0) + name + struct.pack(f"<{len(ops)}I", *[n << 4 | o for n, o in ops])
+    raw = struct.pack("<iiBBHHHiiii", ref, start - 1, len(name), 255, 0, n, flag, 0, -1, -1, 0) + name + ops
     raw += b"NMi" + struct.pack("<i", 0) + b"XMZ" + xm.encode() + b"\0XGZ" + xg.encode() + b"\0"
     return struct.pack("<i", len(raw)) + raw
 
@@ -378,24 +387,32 @@ def _bam_file(spark: SparkSession, sf_dir: str, path: str, block: int = 4000) ->
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            held, out = b"", []
+            held, out = bytearray(), []
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 held += _bam_record(contigs, *row)
                 if len(held) >= block:
-                    out.append(_block(held[:block]))  # a record may go on in the next block
-                    held = held[block:]
-            yield pa.RecordBatch.from_arrays([pa.array([*out, _block(held)], pa.binary())], ["value"])
+                    out.append(_block(bytes(held[:block])))  # a record may go on in the next block
+                    del held[:block]
+            yield pa.RecordBatch.from_arrays([pa.array([*out, _block(bytes(held))], pa.binary())], ["value"])
 
     reads = V.mixed_reads(spark, sf_dir).orderBy("ordinal").select("qname", "flag", "contig", "start", "cigar", "xm", "xg")
     write_bytes(reads.mapInArrow(encode, "value binary"), path, _block(head))
 
 
+def scan_stretch(size: int) -> int:
+    """Bytes of a stretch of a BAM file of ``size`` bytes: small, so that there are many, but not more the larger the file is,
+    since each looks up where its records start and the next one's; of large files as by default."""
+    return min(max(1 << 15, size // 256), STRETCH)
+
+
 @query(ORACLE["scan_alignments"])
 def scan_bam(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A BAM file read back in many tasks, whose stretches begin anywhere in its blocks."""
     path = new_path(spark, "scan") + ".bam"
     _bam_file(spark, sf_dir, path)
-    return open_alignments(spark, path, stretch=1 << 15).reads.withColumnRenamed("ordinal", "place")
+    with Bytes(path) as f:
+        stretch = scan_stretch(f.size)
+    return open_alignments(spark, path, stretch=stretch).reads.withColumnRenamed("ordinal", "place")
 
 
 @query(ORACLE["cli_extract"])

@@ -80,8 +80,9 @@ def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders 2k and 2k+1 are mates that overlap."""
     orders = _table(spark, sf_dir, "orders").select("o_orderkey").withColumn("n", F.floor(F.col("o_orderkey") / 2).cast("long"))
-    # the orders are one small file, and a read is many rows later: a number of parts that is not merged for its few bytes
-    own = _contig(spark, sf_dir, orders.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "o_orderkey"), "n")
+    # the orders are one small file, and a read is many rows later: a number of parts that is not merged for its few bytes;
+    # by ranges of the key, so that a file of reads in its order needs no second shuffle
+    own = _contig(spark, sf_dir, orders.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "o_orderkey"), "n")
     key = F.col("o_orderkey")
     return own.select(
         F.concat(F.lit("read"), F.col("n").cast("string")).alias("qname"), F.lit(3).alias("flag"), "contig",

@@ -12,6 +12,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -248,12 +249,16 @@ def _tags(raw: bytes, at: int) -> tuple[str | None, str | None]:
     return found.get(b"XM"), found.get(b"XG")
 
 
+@lru_cache(maxsize=10_000)
+def _cigar(ops: bytes) -> str:
+    return "".join(f"{x >> 4}{_OPS[x & 15]}" for (x,) in struct.iter_unpack("<I", ops)) or "*"
+
+
 def decoded(raw: bytes, contigs: list[str]) -> tuple:
     """A row of ``RECORDS`` from a record without its size."""
     ref, pos, name, _, _, ops, flag, bases, _, _ = _FIXED.unpack_from(raw)
     at = 32 + name + 4 * ops
-    cigar = "".join(f"{x >> 4}{_OPS[x & 15]}" for x in struct.unpack_from(f"<{ops}I", raw, 32 + name)) or "*"
-    return (raw[32 : 32 + name - 1].decode(), flag, contigs[ref] if ref >= 0 else "*", pos + 1, cigar, *_tags(raw, at + (bases + 1) // 2 + bases))
+    return (raw[32 : 32 + name - 1].decode(), flag, contigs[ref] if ref >= 0 else "*", pos + 1, _cigar(raw[32 + name : at]), *_tags(raw, at + (bases + 1) // 2 + bases))
 
 
 def record_batch(rows: list[tuple]) -> pa.RecordBatch:

@@ -167,6 +167,31 @@ def test_text_in_blocks(spark, tmp_path):
     assert [r["value"] for r in lines(spark, str(path)).orderBy("line").collect()] == ["#head", *rows]
 
 
+def test_stretches_of_a_large_file_are_not_many_more():
+    from cytolake.plans.file_queries import scan_stretch
+
+    assert scan_stretch(0) == scan_stretch(8 << 20) == 1 << 15  # as many as can be of a small file
+    assert all(-(-n // scan_stretch(n)) <= 257 for n in range(1 << 20, 8 << 30, 99_999_989))
+    assert scan_stretch(1 << 40) == B.STRETCH
+
+
+def test_records_are_decoded_once_for_an_extraction(spark, tmp_path):
+    """The search for mates reads them several times."""
+    from cytolake.operators import extract as X
+    from cytolake.plans import file_queries, verbs
+
+    sf = "/root/testdata/sf0.001"
+    file_queries._bam_file(spark, sf, f"file:{tmp_path}/x.bam", 60_000)
+    found, real = open_alignments(spark, f"file:{tmp_path}/x.bam"), X.extract
+    seen = []
+    try:
+        X.extract = lambda reads, paired=True: seen.append((reads.storageLevel.useDisk, paired)) or real(reads, paired)
+        verbs.extract(spark, f"file:{tmp_path}/x.bam", f"file:{tmp_path}/out")
+    finally:
+        X.extract = real
+    assert found.paired and seen == [(True, True)]
+
+
 def test_places_need_no_shuffle(spark, tmp_path):
     """Rows are numbered where they are, those of a SAM file too, whose numbers are of one row of partitions."""
     path = tmp_path / "x.sam"
