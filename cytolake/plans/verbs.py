@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import SparkSession
 
 from ..operators import calls as C
@@ -20,12 +21,16 @@ def extract(spark: SparkSession, source: str, folder: str, controls: tuple[str,
     for mates, so their reads are not shuffled."""
     found = open_alignments(spark, source, controls)
     dictionary = found.dictionary
-    counts = X.extract(found.reads, found.paired).cache()  # two outputs read it
+    # the search for mates reads the records several times, each time other columns, and they are decoded once for all
+    reads = found.reads.persist(StorageLevel.DISK_ONLY) if found.paired else found.reads
+    counts = X.extract(reads, found.paired).cache()  # two outputs read it
     try:
         write_contexts(counts, folder, dictionary)
         write_summary(X.extract_summary(counts, dictionary.frame(spark)), f"{folder}/summary.tab")
     finally:
         counts.unpersist()
+        if found.paired:
+            reads.unpersist()
 
 
 def _aligned(spark: SparkSession, sources: list[str], unsorted: bool) -> bool:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators.dictionary import SequenceDictionary
 from ..operators.extract import pairs_up
-from .bgzf import RECORDS, ROWS, Contents, decoded, is_blocked, loaded, read_header, record_batch
+from .bgzf import RECORDS, ROWS, STRETCH, Contents, decoded, is_blocked, loaded, read_header, record_batch
 from .lines import GZIP, WITHIN, first_bytes, header, is_stretched, lines
 from .ranges import Bytes, reachable
 
@@ -143,8 +143,12 @@ def _open_whole_bam(spark: SparkSession, path: str, controls: tuple[str, ...]) -
 
 
 def _open_bam(spark: SparkSession, path: str, controls: tuple[str, ...], stretch: int | None) -> Alignments:
-    """A BAM file of blocks, a stretch of them a task. The pass before the work counts records and does not decode them."""
-    how = {} if stretch is None else {"stretch": str(stretch)}
+    """A BAM file of blocks, a stretch of them a task; by default four for each core, of 1 MB to 32 MB. The pass before the work
+    counts records and does not decode them."""
+    if stretch is None:
+        with Bytes(path) as f:
+            stretch = min(STRETCH, max(1 << 20, f.size // (4 * spark.sparkContext.defaultParallelism)))
+    how = {"stretch": str(stretch)}
     numbered = loaded(spark, "bam", path, summary="true", **how).select(F.spark_partition_id().alias("p"), "n", "pairs")
     seen = numbered.collect()
     records = loaded(spark, "bam", path, **how).withColumn("line", F.monotonically_increasing_id())
