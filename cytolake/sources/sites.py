@@ -32,7 +32,7 @@ _NAMES = ["contig", "position", "strand", "methylated", "total", "ratio"]
 _KINDS = dict(zip(_NAMES, [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.float64()], strict=True))
 
 #: Bytes of all files in a piece of the genome, about, and of all streams of a task that are held at once.
-PIECE, HELD = 128 << 20, 32 << 20
+PIECE, HELD = 128 << 20, 4 << 20
 #: Regions beyond this number, or beyond half of the genome, are read by a scan of everything.
 MOST_REGIONS = 20_000
 #: Bases between two regions that are read as one.

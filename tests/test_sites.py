@@ -270,3 +270,20 @@ def test_hundreds_of_files_are_one_scan(spark, tmp_path):
         read_samples(spark, [*mixed, str(tmp_path / "other.tab")])
     sites = T.read_sites(spark, T.call_files(spark, paths))
     assert {(r["position"], r["total"]) for r in S.merge_sites(sites).where("contig = '7'").collect()} == {(p, 2 * sum(k % 7 + 1 == p for k in range(300))) for p in range(1, 8)}
+
+
+def test_a_task_holds_little_of_its_piece(tmp_path, monkeypatch):
+    """Of a piece of 12 MB, which is less than a task's share, a few MB are parsed at a time."""
+    import pyarrow as pa
+
+    from cytolake.operators.dictionary import SequenceDictionary
+    from cytolake.sources import sites
+
+    path, n = tmp_path / "x.tab", 600_000
+    path.write_text("".join(f"contig_a\t{i}\t+\t1\t20\n" for i in range(1, n + 1)))
+    files = sites.Files([str(path)], [(0, path.stat().st_size)], SequenceDictionary((("contig_a", n),), ()))
+    sizes, real = [], sites._parsed
+    monkeypatch.setattr(sites, "_parsed", lambda text: sizes.append(len(text)) or real(text))
+    batches = sites._read(files, [[(0, sites._LAST)]])(iter([pa.record_batch([pa.array([0])], ["id"])]))
+    assert sum(b.num_rows for b in batches) == n
+    assert sum(sizes) == path.stat().st_size > 10 << 20 and max(sizes) < 5 << 20
