@@ -376,13 +376,13 @@ def language(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """The language of all documents of quality 1.
 
     Their whole texts are read and words are added up before they are shuffled; a row for each pair of letters
-    and ``how.words`` words come to the driver. Few labels are broadcast, by the engine's threshold; with more, the texts
-    are shuffled once by their ids. Rows with a null id or text are ignored; without a good label
+    and ``how.words`` words come to the driver. Texts and labels meet by a merge join at every
+    size, so the texts are shuffled once by their ids and no list of labels is broadcast. Rows with a null id or text are ignored; without a good label
     it is empty. Of words that come equally often, those that sort first are taken."""
     how = how or Training()
     good = labels.where(F.col(f"`{quality_col}`") == 1).select(F.col(f"`{id_col}`").cast("long").alias("_id")).where("_id is not null")
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("text")).dropna()
-    counted = _words(docs.join(good, "_id", "left_semi")).cache()
+    counted = _words(docs.join(good.hint("merge"), "_id", "left_semi")).cache()
     try:
         frequent = counted.where(F.length("word").between(4, 12)).orderBy(F.desc("n"), "word").limit(how.words).select("word").collect()
         return Language(tuple(sorted(_pairs(counted).items())), tuple(r["word"] for r in frequent))
