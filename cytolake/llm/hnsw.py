@@ -2,11 +2,12 @@
 
 Vectors of a label are dealt to shards of bounded size, and each shard gets a graph
 of its own: few nodes on the upper layers, all on the lowest, every node linked to
-near and diverse neighbours. Every shard is searched for the neighbours of every
-vector: a task holds two shards and searches each with the other's vectors. An audit
+near and diverse neighbours. Every two shards meet in a task, where all vectors of one
+walk the other's graph, and a shard's vectors walk their own. The few that a walk towards
+themselves does not find walk the other way instead, since nothing else might find them. An audit
 compares a sample with brute force, by its nearest neighbours whether they are links
 or not and by its links, and the beam is widened until both are found, for each pair
-of shards anew. What the search finds is verified by cosine in double precision;
+of shards anew, before all other vectors are searched at that beam. What the search finds is verified by cosine in double precision;
 links are counted in the task, and only a spanning forest leaves it, so a dense group
 never becomes rows of pairs.
 
@@ -33,7 +34,7 @@ class Graphs:
     """shard_rows: most vectors in a shard, about; links: of a node on upper layers, twice as
     many on the lowest; build_beam and beam: first widths; audit: vectors that an audit
     compares with brute force; recall: of the audit's links, and near_recall: of its ``near``
-    nearest neighbours in the shard, below either of which the beam is doubled."""
+    nearest neighbours in the shard, below either of which the beam is made half as wide again."""
 
     shard_rows: int = 16_384
     links: int = 16
@@ -45,7 +46,11 @@ class Graphs:
     near_recall: float = 0.95
 
 
-_QUERIES = 512  # searched in lockstep
+_QUERIES = 256  # searched in lockstep
+#: Partitions for each shard or pair of shards, and most of them: a task is many seconds for few bytes, so that partitions
+#: merged by their bytes would leave cores idle.
+_SPREAD, _PARTS = 4, 8192
+_SELF = 16  # beam with which a vector is looked for in its own graph, far narrower than those of searches
 _STRIPE = 256  # queries compared with a whole shard at once
 #: Links that a search may hold as a list beside those of its first beams. Where queries with full beams may have more of them,
 #: they are counted and joined stripe by stripe, so a tile's memory does not grow with its links.
@@ -61,6 +66,11 @@ def _top(sim: np.ndarray, k: int) -> np.ndarray:
     return np.argsort(-sim, axis=1, kind="stable")
 
 
+def _some(sim: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k greatest of each row, in any order."""
+    return np.argpartition(sim, sim.shape[1] - k, axis=1)[:, sim.shape[1] - k :] if sim.shape[1] > k else np.broadcast_to(np.arange(sim.shape[1]), sim.shape)
+
+
 def search(v: np.ndarray, graph: np.ndarray, q: np.ndarray, entry: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
     """Beam search of one layer for many queries at once: (nodes, similarities), best first, -1 where none.
 
@@ -74,9 +84,10 @@ def search(v: np.ndarray, graph: np.ndarray, q: np.ndarray, entry: np.ndarray, b
 
 
 def _search(v, graph, q, entry, beam):
-    rows = len(q)
+    rows, wide = len(q), min(max(4, beam // 16), 16)  # nodes expanded in a step
     seen = np.zeros((rows, len(v) + 1), dtype=bool)
     seen[:, -1] = True  # stands for "none": -1 is the last column
+    flags = seen.reshape(-1)
     node = np.full((rows, beam), -1, dtype=np.int64)
     sim = np.full((rows, beam), -np.inf, dtype=np.float32)
     k = min(entry.shape[1], beam)
@@ -86,36 +97,38 @@ def _search(v, graph, q, entry, beam):
     np.put_along_axis(seen, node[:, :k], True, 1)
     done = node < 0
     active = np.arange(rows)
-    wide = 4  # nodes expanded in a step
     while len(active):
-        a_done = done[active]
-        pending = np.where(a_done, -np.inf, sim[active])
-        pick = np.argsort(-pending, axis=1, kind="stable")[:, :wide] if beam <= 8 else _top(pending, wide)
+        pending = np.where(done[active], -np.inf, sim[active])
+        pick = _some(pending, wide)
         live = np.isfinite(np.take_along_axis(pending, pick, 1))
         some = live.any(1)
         active, pick, live = active[some], pick[some], live[some]
         if not len(active):
             break
-        a_done = done[active]
+        a_node, a_done = node[active], done[active]
         np.put_along_axis(a_done, pick, np.take_along_axis(a_done, pick, 1) | live, 1)
-        done[active] = a_done
-        near = np.where(live[:, :, None], graph[np.take_along_axis(node[active], pick, 1)], -1).reshape(len(active), -1)
+        near = np.where(live[:, :, None], np.take(graph, np.take_along_axis(a_node, pick, 1), axis=0), -1).reshape(len(active), -1)
         near = np.sort(near, axis=1)
         near[:, 1:][near[:, 1:] == near[:, :-1]] = -1
-        old = seen[active[:, None], near]
-        near[old] = -1
-        seen[active[:, None], near] = True
-        i, j = np.nonzero(near >= 0)
+        at = (active * (len(v) + 1))[:, None] + np.where(near < 0, len(v), near)
+        new = ~np.take(flags, at)
+        flags[at[new]] = True
+        near = np.where(new, near, -1)
+        x, ends = np.take(v, near[new], axis=0), np.cumsum(new.sum(1))
+        found = np.empty(len(x), dtype=np.float32)
+        for r, start, end in zip(active.tolist(), [0, *ends.tolist()], ends.tolist(), strict=False):
+            np.dot(x[start:end], q[r], out=found[start:end])
         s = np.full(near.shape, -np.inf, dtype=np.float32)
-        s[i, j] = np.einsum("nd,nd->n", v[near[i, j]], q[active[i]])
-        all_n = np.concatenate([node[active], near], axis=1)
+        s[new] = found
+        all_n = np.concatenate([a_node, near], axis=1)
         all_s = np.concatenate([sim[active], s], axis=1)
-        all_d = np.concatenate([done[active], near < 0], axis=1)
-        best = _top(all_s, beam)
+        all_d = np.concatenate([a_done, near < 0], axis=1)
+        best = _some(all_s, beam)
         node[active] = np.take_along_axis(all_n, best, 1)
         sim[active] = np.take_along_axis(all_s, best, 1)
         done[active] = np.take_along_axis(all_d, best, 1)
-    return node, sim
+    order = np.argsort(-sim, axis=1, kind="stable")
+    return np.take_along_axis(node, order, 1), np.take_along_axis(sim, order, 1)
 
 
 def _diverse(v: np.ndarray, cand: np.ndarray, sim: np.ndarray, keep: int) -> np.ndarray:
@@ -261,10 +274,12 @@ def _near(unit: np.ndarray, q: np.ndarray, k: int) -> np.ndarray:
     return -np.partition(-sim, k - 1, axis=1)[:, k - 1]
 
 
-def _pairs(index: Hnsw, unit: np.ndarray, q: np.ndarray, least: float, how: Graphs) -> Found:
-    """The pairs of at least that cosine, the beam widened until an audit passes.
+def _pairs(index: Hnsw, unit: np.ndarray, q: np.ndarray, least: float, how: Graphs, rows: np.ndarray | None = None) -> Found:
+    """The pairs of at least that cosine, at the first beam that passes an audit; with ``rows``, of those queries and of the
+    audit's sample alone.
 
-    ``unit`` and ``q``: rows of length one in double precision. Every query walks the graph first. A
+    ``unit`` and ``q``: rows of length one in double precision. A sample of the queries walks the graph
+    alone, with wider and wider beams, until the audit passes; then every query walks it once. A
     query whose beam holds nothing but links may have more of them, and is searched again with a wider
     beam of its own; once that is a quarter of the shard, its links are read off by a scan. So is a
     shard whose audit fails even at a beam of all its nodes, which means that its graph falls apart.
@@ -278,26 +293,18 @@ def _pairs(index: Hnsw, unit: np.ndarray, q: np.ndarray, least: float, how: Grap
             out.append(part[i] * n + j)
         return np.concatenate(out)
 
-    n = len(unit)
-    loose = np.float32(least - 1e-4)
-    sample = np.unique(np.linspace(0, len(q) - 1, min(how.audit, len(q))).astype(int))
-    i, j = np.nonzero(q[sample] @ unit.T >= least)
-    truth = sample[i] * n + j
-    k = min(how.near, n)
-    bound = _near(unit, q[sample], k) - 1e-5
-    near_all = k * len(sample)
-    beam = min(how.beam, n)
-    while True:
-        keys, rows, width, near_found, dense = [], np.arange(len(q)), beam, 0, np.zeros(len(q), dtype=bool)
+    def walk(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(links of those of ``rows`` that are not dense, dense, similarities at the first width)."""
+        keys, width, first, each = [], beam, None, n * len(every) // len(rows)
+        dense = np.zeros(len(q), dtype=bool)
         while len(rows):
             node, sim = index.query(q[rows], width)
-            if width == beam:
-                near_found = int((sim[sample][:, :k] >= bound[:, None]).sum())
+            first = sim[:, :k].copy() if first is None else first
             hit = (sim >= loose) & (node >= 0)
             a, b = np.nonzero(hit)
             keys.append(rows[a] * n + node[a, b])
             rows = rows[hit.all(1)] if width < n else rows[:0]
-            if len(rows) * n > _LISTED:
+            if len(rows) * each > _LISTED:
                 dense[rows] = True
                 break
             width = 4 * width
@@ -305,19 +312,39 @@ def _pairs(index: Hnsw, unit: np.ndarray, q: np.ndarray, least: float, how: Grap
                 keys.append(scan(rows))
                 break
         found = np.unique(np.concatenate(keys))
-        found = found[~dense[found // n]]
+        return found[~dense[found // n]], dense, first
+
+    def whole(found: np.ndarray, dense: np.ndarray) -> bool:
         known = truth[~dense[truth // n]]
-        good = near_found >= how.near_recall * near_all and (not len(known) or np.isin(known, found).mean() >= how.recall)
+        return not len(known) or np.isin(known, found).mean() >= how.recall
+
+    n = len(unit)
+    loose = np.float32(least - 1e-4)
+    sample = np.unique(np.linspace(0, len(q) - 1, min(how.audit, len(q))).astype(int))
+    every = np.arange(len(q)) if rows is None else np.union1d(rows, sample)
+    i, j = np.nonzero(q[sample] @ unit.T >= least)
+    truth = sample[i] * n + j
+    k = min(how.near, n)
+    bound = _near(unit, q[sample], k) - 1e-5
+    near_all = k * len(sample)
+    beam = min(how.beam, n)
+    while True:
+        found, dense, first = walk(sample)
+        near_found = int((first >= bound[:, None]).sum())
+        good = near_found >= how.near_recall * near_all and whole(found, dense)
+        if good and len(sample) < len(every):
+            found, dense, _ = walk(every)
+            good = whole(found, dense)
         if not good and beam >= n:
-            near_found, good = near_all, True
-            if len(q) * n > _LISTED:
-                found, dense[:] = found[:0], True
+            near_found, good, dense = near_all, True, np.zeros(len(q), dtype=bool)
+            if len(every) * n > _LISTED:
+                found, dense[every] = found[:0], True
             else:
-                found = np.unique(scan(np.arange(len(q))))
+                found = np.unique(scan(every))
         if good:
             exact = [np.einsum("nd,nd->n", q[p // n], unit[p % n]) >= least for p in np.array_split(found, len(found) // 100_000 + 1)]
             return Found(found[np.concatenate(exact)], dense, beam, near_found, near_all)
-        beam = min(2 * beam, n)
+        beam = min(beam + (beam + 1) // 2, n)
 
 
 def _stripes(q: np.ndarray, unit: np.ndarray, rows: np.ndarray, least: float):
@@ -354,19 +381,20 @@ def _build(how: Graphs):
             short = v.astype(np.float32)  # half the bytes to move, where nothing is lost
         v = short if (short == v).all() else v
         layers = [(m.astype(np.int32), g.astype(np.int32)) for m, g in index.layers]
-        blob = pickle.dumps((pdf["node"].to_numpy(), pdf["copies"].to_numpy(), v, layers), 5)
+        unfound = (index.query(index.v, min(_SELF, len(v)))[0] != np.arange(len(v))[:, None]).all(1)
+        blob = pickle.dumps((pdf["node"].to_numpy(), pdf["copies"].to_numpy(), v, layers, np.flatnonzero(unfound)), 5)
         return pd.DataFrame({"space": [pdf["space"].iloc[0]], "shard": [pdf["shard"].iloc[0]], "shards": [pdf["shards"].iloc[0]], "graph": [blob]})
 
     return run
 
 
 def _load(blob: bytes, how: Graphs):
-    node, copies, v, layers = pickle.loads(blob)
+    node, copies, v, layers, unfound = pickle.loads(blob)
     unit = _unit(v)
     index = Hnsw.__new__(Hnsw)
     index.v, index.how = unit.astype(np.float32), how
     index.layers = [(m.astype(np.int64), g.astype(np.int64)) for m, g in layers]
-    return node, copies, unit, index
+    return node, copies, unit, index, unfound
 
 
 #: Rows of a tile: links of a node; a node and its root in the tile's forest (links 0); the audit of one search (node -1).
@@ -374,10 +402,15 @@ TILE = "node long, links long, root long, beam long, near_found long, near_all l
 
 
 def _tile(least: float, how: Graphs):
+    """Two shards with each other, or one with itself. Every vector of the first walks the second's graph, which finds all
+    links; the other way go those of the second that a walk towards themselves does not find, and the audit's sample."""
+
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        node_a, copies_a, unit_a, index_a = _load(left["graph"].iloc[0], how)
+        node_a, copies_a, unit_a, index_a, unfound_b = _load(left["graph"].iloc[0], how)
         same = int(left["a"].iloc[0]) == int(left["b"].iloc[0])
-        node_b, copies_b, unit_b, index_b = (node_a, copies_a, unit_a, index_a) if same else _load(right["graph"].iloc[0], how)
+        node_b, copies_b, unit_b, index_b = node_a, copies_a, unit_a, index_a
+        if not same:
+            node_b, copies_b, unit_b, index_b, unfound_b = _load(right["graph"].iloc[0], how)
         n = len(node_b)
         searches = [_pairs(index_b, unit_b, unit_a, least, how)]
         i, j = searches[0].keys // n, searches[0].keys % n
@@ -386,7 +419,7 @@ def _tile(least: float, how: Graphs):
         if same:
             i, j = np.concatenate([i, j]), np.concatenate([j, i])
         else:
-            searches.append(_pairs(index_a, unit_a, unit_b, least, how))
+            searches.append(_pairs(index_a, unit_a, unit_b, least, how, unfound_b))
             back, dense_b = searches[1].keys, searches[1].dense
             i, j = np.concatenate([i, back % len(node_a)]), np.concatenate([j, back // len(node_a)])
         keys = np.unique(i * n + j)
@@ -458,13 +491,15 @@ def search_all(
     nodes = named.where("key is not null").groupBy("key").agg(F.min("_id").alias("least_id"), F.count("*").alias("copies"), F.first("space").alias("space"), F.first("v").alias("v"))
     nodes = save(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")  # numbers hold once they are written
     sizes = nodes.groupBy("space").agg(F.ceil(F.count("*") / how.shard_rows).cast("int").alias("shards"))
+    n_shards, n_tiles = sizes.agg(F.sum("shards"), F.sum(F.expr("shards * (shards + 1L) div 2"))).first()
+    spread = lambda df, n, *keys: df.repartition(min(_SPREAD * (n or 1), _PARTS), *keys).groupBy(*keys)
     dealt = nodes.join(sizes, "space").withColumn("shard", F.pmod(F.xxhash64("key"), F.col("shards")).cast("int"))
     graphs = save(
-        dealt.groupBy("space", "shard").applyInPandas(_build(how), "space string, shard int, shards int, graph binary"), "graphs"
+        spread(dealt, n_shards, "space", "shard").applyInPandas(_build(how), "space string, shard int, shards int, graph binary"), "graphs"
     )
     left = graphs.select("space", F.col("shard").alias("a"), F.explode(F.expr("sequence(shard, shards - 1)")).alias("b"), "graph")
     right = graphs.select("space", F.explode(F.expr("sequence(0, shard)")).alias("a"), F.col("shard").alias("b"), "graph")
-    tiles = left.groupBy("space", "a", "b").cogroup(right.groupBy("space", "a", "b"))
+    tiles = spread(left, n_tiles, "space", "a", "b").cogroup(spread(right, n_tiles, "space", "a", "b"))
     found = save(tiles.applyInPandas(_tile(least, how), TILE), "links")
     drop(graphs)
     return named, nodes, found

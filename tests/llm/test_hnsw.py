@@ -161,3 +161,52 @@ def test_a_shard_of_near_equal_vectors_takes_memory_for_its_nodes_alone():
     assert most < 200e6  # the links as a list would be 288 MB, several times
     assert (out[out["links"] > 0]["links"] == n - 1).all() and (out["links"] > 0).sum() == n
     assert ((out["links"] == 0) & (out["node"] >= 0)).sum() == n - 1
+
+
+def _walks(monkeypatch):
+    """(graph, width) to the number of queries that walk."""
+    seen, run = {}, hnsw.Hnsw.query
+
+    def query(self, q, beam):
+        seen[id(self), beam] = seen.get((id(self), beam), 0) + len(q)
+        return run(self, q, beam)
+
+    monkeypatch.setattr(hnsw.Hnsw, "query", query)
+    return seen
+
+
+def test_beams_that_fail_the_audit_are_walked_by_its_sample_alone(monkeypatch):
+    rng = np.random.default_rng(3)
+    v, q = (hnsw._unit(rng.normal(size=(900, 48))) for _ in range(2))
+    how = hnsw.Graphs(beam=4, audit=100)
+    index = hnsw.Hnsw(v, how)
+    seen = _walks(monkeypatch)
+    found = hnsw._pairs(index, v, q, 0.98, how)
+    widths = {beam: n for (_, beam), n in seen.items()}
+    assert len(widths) > 2 and widths.pop(found.beam) == 100 + 900 and set(widths.values()) == {100}
+
+
+def test_two_shards_are_searched_one_way_but_for_vectors_that_walks_do_not_find(monkeypatch):
+    import pickle
+
+    import pandas as pd
+
+    rng = np.random.default_rng(9)
+    a, b = (rng.normal(size=(400, 32)).astype(np.float32) for _ in range(2))
+    b[7] = a[11] + 0.001
+    how = hnsw.Graphs(audit=10)
+
+    def shard(v, k):
+        return hnsw._build(how)(pd.DataFrame({"key": [f"{i:08d}" for i in range(len(v))], "v": list(v), "node": np.arange(len(v)) + 1000 * k, "copies": np.ones(len(v), dtype=np.int64), "space": "s", "shard": k, "shards": 2})).assign(a=0, b=1)
+
+    left, right = shard(a, 0), shard(b, 1)
+    node, copies, v, layers, unfound = pickle.loads(right["graph"].iloc[0])
+    assert not len(unfound)
+    blind = [(m, np.where(g == 7, -1, g)) for m, g in layers if 7 not in m[:1]]  # no walk arrives at it
+    for graph, lost, links in ((layers, [], 1), (blind, [], 0), (blind, [7], 1)):
+        seen = _walks(monkeypatch)
+        out = hnsw._tile(0.98, how)(left, right.assign(graph=[pickle.dumps((node, copies, v, graph, np.array(lost, dtype=np.int64)), 5)]))
+        got = out[out["links"] > 0].set_index("node")["links"].to_dict()
+        assert got == ({11: 1, 1007: 1} if links else {})
+        assert sum(seen.values()) < 400 + 10 * 2 * 8 + 10  # each of a once, and samples of both
+        monkeypatch.undo()
