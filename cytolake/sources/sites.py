@@ -315,7 +315,9 @@ def read_sites(spark: SparkSession, files: Files, piece: int = PIECE, ranges: li
                 else:
                     break
         tasks = [t for t in tasks if t] or [[]]  # where nothing is read, there is no task
-    return spark.range(0, len(tasks), 1, len(tasks)).mapInArrow(_read(files, tasks), SITES)
+    # not spark.range, whose eight bytes a row the planner would take for the size of the sites, and broadcast them in joins
+    numbers = spark.createDataFrame(spark.sparkContext.parallelize([(i,) for i in range(len(tasks))], len(tasks)), "i long")
+    return numbers.mapInArrow(_read(files, tasks), SITES)
 
 
 def contig_ranges(files: Files, contigs: set[str]) -> list[tuple[int, int]]:

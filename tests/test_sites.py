@@ -287,3 +287,18 @@ def test_a_task_holds_little_of_its_piece(tmp_path, monkeypatch):
     batches = sites._read(files, [[(0, sites._LAST)]])(iter([pa.record_batch([pa.array([0])], ["id"])]))
     assert sum(b.num_rows for b in batches) == n
     assert sum(sizes) == path.stat().st_size > 10 << 20 and max(sizes) < 5 << 20
+
+
+def test_the_planner_does_not_broadcast_the_calls_of_sorted_files(spark, tmp_path):
+    paths = files(tmp_path)
+    own = T.call_files(spark, paths, [1, 1, 0, 0])
+    sites = T.read_sites(spark, own, 20_000)
+    assert sites._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() >= sum(size - body for body, size in own.bodies)
+    rows = [("7", 40 * k + 1, 40 * k + 60, k) for k in range(100)]
+    regions = spark.createDataFrame(rows, "contig string, start int, stop int, region_ordinal long")
+    found = D.region_calls(S.site_calls(sites), regions)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "BroadcastHashJoin" not in plan
+    plain, _ = read_samples(spark, paths, [1, 1, 0, 0])
+    columns = ["region_ordinal", "position", "sample_id", "methylated", "total"]
+    assert rounded(found.select(columns)) == rounded(D.region_calls(plain, regions).select(columns))
